@@ -11,6 +11,12 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark, sf_dir):
     from .secret_scan import secret_scan
 
@@ -35,7 +41,7 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVIN
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op6_secret_scan, op10_decontaminate)}
+    return {f.__name__: f for f in (op3_quality_rules, op5_mixing, op6_secret_scan, op10_decontaminate)}
 
 
 def oracle_sql():
