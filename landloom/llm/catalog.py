@@ -23,6 +23,12 @@ def op6_secret_scan(spark, sf_dir):
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark, sf_dir):
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     from .decontaminate import decontaminate
 
@@ -41,7 +47,7 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVIN
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op5_mixing, op6_secret_scan, op10_decontaminate)}
+    return {f.__name__: f for f in (op3_quality_rules, op5_mixing, op6_secret_scan, op7_simhash, op10_decontaminate)}
 
 
 def oracle_sql():
