@@ -5,6 +5,12 @@ from __future__ import annotations
 from .common import table
 
 
+def op2_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark, sf_dir):
     from .quality_rules import quality_rules
 
@@ -47,7 +53,7 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVIN
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op5_mixing, op6_secret_scan, op7_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op5_mixing, op6_secret_scan, op7_simhash, op10_decontaminate)}
 
 
 def oracle_sql():
