@@ -17,6 +17,12 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark, sf_dir):
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark, sf_dir):
     from .mixing import mix
 
@@ -53,7 +59,7 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVIN
 
 
 def queries():
-    return {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op5_mixing, op6_secret_scan, op7_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_html_extract, op5_mixing, op6_secret_scan, op7_simhash, op10_decontaminate)}
 
 
 def oracle_sql():
