@@ -41,6 +41,12 @@ def op7_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_phrase_dedup(spark, sf_dir):
+    from .phrase_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     from .decontaminate import decontaminate
 
@@ -59,7 +65,7 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVIN
 
 
 def queries():
-    return {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_html_extract, op5_mixing, op6_secret_scan, op7_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_html_extract, op5_mixing, op6_secret_scan, op7_simhash, op8_phrase_dedup, op10_decontaminate)}
 
 
 def oracle_sql():

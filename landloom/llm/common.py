@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_at_exit, spark, path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of finished stages now
     return spark.read.parquet(path)
 
 
