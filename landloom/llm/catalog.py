@@ -47,6 +47,12 @@ def op8_phrase_dedup(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     from .decontaminate import decontaminate
 
@@ -65,7 +71,7 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVIN
 
 
 def queries():
-    return {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_html_extract, op5_mixing, op6_secret_scan, op7_simhash, op8_phrase_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_html_extract, op5_mixing, op6_secret_scan, op7_simhash, op8_phrase_dedup, op9_suffix_dedup, op10_decontaminate)}
 
 
 def oracle_sql():
