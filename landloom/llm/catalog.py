@@ -5,6 +5,12 @@ from __future__ import annotations
 from .common import table
 
 
+def op1_token_output(spark, sf_dir):
+    from .token_output import token_output
+
+    return token_output(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     from .toxicity import toxicity
 
@@ -71,7 +77,7 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVIN
 
 
 def queries():
-    return {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_html_extract, op5_mixing, op6_secret_scan, op7_simhash, op8_phrase_dedup, op9_suffix_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_quality_rules, op4_html_extract, op5_mixing, op6_secret_scan, op7_simhash, op8_phrase_dedup, op9_suffix_dedup, op10_decontaminate)}
 
 
 def oracle_sql():
