@@ -71,3 +71,23 @@ def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null and blank texts give an empty array."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WS, -1))
+
+
+#: Rows of two longs that a filtering step may broadcast.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, bad: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose keys (name in ``bad`` -> expression on ``docs``) are not in ``bad``.
+
+    The keys are counted first: few are broadcast so that texts stay where they are, many are joined by shuffle.
+    """
+    bad = materialise(bad.select(*keys).distinct(), "bad-keys")
+    few = bad.count() <= BROADCAST_KEYS
+    named = {f"_bad_{k}": k for k in keys}
+    bad = bad.select(*[F.col(k).alias(n) for n, k in named.items()])
+    on = None
+    for n, k in named.items():
+        same = keys[k].eqNullSafe(F.col(n))
+        on = same if on is None else on & same
+    return docs.join(F.broadcast(bad) if few else bad, on, "left_anti")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import materialise, without, words_of
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -98,5 +98,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", ite
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that contain no item (all columns kept)."""
-    found = decontaminate(docs, items, id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    found = decontaminate(docs, items, id_col, **options).select("doc_id")
+    return without(docs, found, {"doc_id": F.col(id_col)})

@@ -86,7 +86,11 @@ def quotas(claims: DataFrame, group: list[str], claimant: list[str]) -> DataFram
     return ranked.groupBy(*group, *claimant).agg((F.max("sure") + F.sum(won)).alias("quota"))
 
 
-def mix(
+def _row_key(id_col: str, seed: str):
+    return F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.coalesce("text", F.lit("")))
+
+
+def plan(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -94,14 +98,13 @@ def mix(
     shard_words: int = SHARD_WORDS,
     max_repeats: int = MAX_REPEATS,
     seed: str = SEED,
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken (and the columns named in ``keep``)."""
+    """One row per input row: doc_id, key, size, source_size, target, passes, and ``parts``, the word ranges taken once more."""
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         _size(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.coalesce("text", F.lit(""))).alias("key"),
+        _row_key(id_col, seed).alias("key"),
     )
     d = materialise(d, "mix-sizes")  # no text from here on
     sources = d.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -138,19 +141,44 @@ def mix(
         "doc_id", "key", "size", "upto", "source", "shard", F.explode(F.sequence(F.floor((F.col("upto") - F.col("size")) / block), F.floor((F.col("upto") - 1) / block))).alias("n")
     )
     hit = spans.join(chosen, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("shard") == F.col("b_shard")) & (F.col("n") == F.col("b")))
-    overlap = F.least(F.col("upto"), (F.col("n") + 1) * block) - F.greatest(F.col("upto") - F.col("size"), F.col("n") * block)
-    got = hit.groupBy("source", "shard", "upto", "key").agg(F.sum(overlap).alias("part"))
-    got = got.select(F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), F.col("upto").alias("p_upto"), F.col("key").alias("p_key"), "part")
+    begin = F.col("upto") - F.col("size")
+    piece = F.struct((F.greatest(begin, F.col("n") * block) - begin).alias("s"), (F.least(F.col("upto"), (F.col("n") + 1) * block) - begin).alias("e"))
+    got = hit.groupBy("source", "shard", "upto", "key").agg(F.sort_array(F.collect_list(piece)).alias("parts"))
+    got = got.select(F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), F.col("upto").alias("p_upto"), F.col("key").alias("p_key"), "parts")
     out = d.join(
         got,
         F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")) & (F.col("upto") == F.col("p_upto")) & (F.col("key") == F.col("p_key")) & (F.col("size") > 0),
         "left",
     )
-    return out.select(
-        "doc_id",
-        "size",
-        F.col("source_size").cast("bigint").alias("source_size"),
-        F.col("target"),
-        (F.col("passes") * F.col("size") + F.coalesce("part", F.lit(0))).cast("bigint").alias("taken"),
-        *(["key"] if "key" in keep else []),
-    )
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    return out.select("doc_id", "key", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "passes", F.coalesce("parts", none).alias("parts"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken."""
+    once = F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
+    return plan(docs, **options).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + once).cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED, **options) -> DataFrame:
+    """The mix itself: ``docs`` rows, whole ones as often as passes take them, then the words taken once more, if any.
+
+    A row taken in part has those words (single spaces) as its text and, where there is such a column, their number of
+    characters as n_chars. Rows that are equal in id and text are planned one by one and emitted under one of them.
+    """
+    p = plan(docs, id_col=id_col, seed=seed, **options).groupBy("doc_id", "key").agg(F.sum("passes").alias("_passes"), F.flatten(F.collect_list("parts")).alias("_parts"))
+    p = p.filter("_passes > 0 or size(_parts) > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_passes", "_parts")
+    p = p.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes") + F.when(F.size("_parts") > 0, 1).otherwise(0))))
+    keyed = docs.withColumn("_own", _row_key(id_col, seed)).dropDuplicates([id_col, "_own"]) if _repeats(docs, id_col, seed) else docs.withColumn("_own", _row_key(id_col, seed))
+    out = keyed.join(p, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), WS, -1)
+    out = out.withColumn("_words", F.when(F.col("_copy") > F.col("_passes"), words))
+    cut = F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice("_words", (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")))), " ")
+    out = out.withColumn("text", F.when(F.col("_copy") > F.col("_passes"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def _repeats(docs: DataFrame, id_col: str, seed: str) -> bool:
+    return bool(docs.groupBy(id_col, _row_key(id_col, seed)).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count())

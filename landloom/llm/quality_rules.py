@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import materialise, without, words_of
 
 #: Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -41,9 +41,13 @@ BROADCAST_LANGS = 1000
 _CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("stop", "[.,;:!?'\"()-]+"), ("symbol", r"[\x00-\x7F]+"), ("letter", r"\p{L}+"))
 
 
+def _row_key():
+    return F.xxhash64(F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))
+
+
 def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per row: the base counts and the two histograms (arrays of counts), in one pass over the text."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("t"), _row_key().alias("row_key"))
     df = df.withColumn("w", words_of(F.col("t"))).withColumn("left0", F.regexp_replace("t", r"[\x20\x09-\x0D]+", ""))
     df = df.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("known", F.filter("w", lambda x: (F.octet_length(x) <= _LONGEST) & x.isin(*COMMON_WORDS)))
@@ -88,6 +92,7 @@ def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.select(
         "doc_id",
         "lang",
+        "row_key",
         F.size("w").cast("bigint").alias("n_words"),
         F.length("left0").cast("bigint").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
@@ -151,4 +156,11 @@ def judge(
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", **limits) -> DataFrame:
     """One row per input row: base counts, distances to the language's references, and ``kept``."""
     # Features are read twice (references, verdicts); written once they cost one pass over the texts.
-    return judge(materialise(features(docs, id_col), "quality-features"), **limits)
+    return judge(materialise(features(docs, id_col), "quality-features"), **limits).drop("lang", "row_key")
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns."""
+    judged = judge(materialise(features(docs, id_col), "quality-features"), **limits)
+    bad = judged.filter(~F.col("kept")).select("doc_id", "row_key")
+    return without(docs, bad, {"doc_id": F.col(id_col), "row_key": _row_key()})

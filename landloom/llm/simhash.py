@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without
 from .components import components
 
 RADIUS = 3
@@ -61,12 +61,16 @@ def _fingerprints(batches):
     for batch in batches:
         # Text by text, so that a batch of very long texts needs no second copy of itself.
         fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): fp as a signed bigint."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    """(doc_id, h, fp): h a hash of the text, fp the fingerprint as a signed bigint."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text"), _text_hash().alias("h")).mapInArrow(_fingerprints, "doc_id bigint, h bigint, fp bigint")
 
 
 def _links(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
@@ -140,15 +144,35 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return work.mapInArrow(_compare(radius), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
-    fp = materialise(fingerprints(docs, id_col), "simhash-fps")
+def _grouped(fp: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(fp, first, root) of the distinct fingerprints."""
     classes = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = links(classes.select("fp"), radius, tile)
     roots = components(edges)
     tagged = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    tagged = materialise(tagged, "simhash-roots")
+    return materialise(tagged, "simhash-roots")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
+    fp = materialise(fingerprints(docs, id_col), "simhash-fps")
+    tagged = _grouped(fp, radius, tile)
     least = tagged.groupBy("root").agg(F.min("first").alias("component_id"))
     by_class = tagged.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id")
     out = fp.join(by_class, F.col("fp") == F.col("c_fp"), "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each group of near-duplicates (the smallest id; null ids last, text hash among equal ids), all columns."""
+    fp = materialise(fingerprints(docs, id_col), "simhash-fps")
+    tagged = _grouped(fp, radius, tile).select(F.col("fp").alias("c_fp"), "root")
+    rows = fp.join(tagged, F.col("fp") == F.col("c_fp")).select("doc_id", "h", "root")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
+    best = rows.groupBy("root").agg(F.min(place).alias("best")).select(F.col("root").alias("b_root"), "best")
+    bad = rows.join(best, F.col("root") == F.col("b_root")).filter(~place.eqNullSafe(F.col("best"))).select("doc_id", "h")
+    out = without(docs, bad, {"doc_id": F.col(id_col), "h": _text_hash()})
+    # Repeated rows are equal in id and text; only where there are any does the result need a pass over them.
+    if fp.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        out = out.withColumn("_h", _text_hash()).dropDuplicates([id_col, "_h"]).drop("_h")
+    return out
