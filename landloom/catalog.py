@@ -1,11 +1,670 @@
-"""Registered queries of the land-use engine and their DuckDB oracles."""
+"""Registered queries of the land-use engine and their DuckDB oracles.
+
+The rasters of these queries are one grid laid out from the orders table (see ``grid.order_grid``); the oracle builds
+the same grid in SQL. Counts are BIGINT and scores are DOUBLE rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .grid import Grid, Raster, order_grid, wrap
+from .operators import accuracy, automata, charts, indicators, infrastructure, inspection, knowledge, manifest, markov, preprocess, priority, registry, rules, transition_ml
+from .operators.align import align, mask_by, overview, resample
+from .operators.focal import class_share
+from .session import table
+
+#: The demonstration's parameters.
+FACTORS = {1: -1.0, 2: -20.0, 3: -5.0, 4: -0.5, 5: 5.0, 6: 0.3}
+MOVES = {2: [2, 5, 6], 4: [5]}
+RATIO = 0.012
+
+GRID = """s AS (SELECT CASE WHEN count(*) <= 1500 THEN 50 WHEN count(*) <= 15000 THEN 150 ELSE 500 END AS w FROM orders),
+g AS (SELECT k, k % w AS x, k // w AS y, i AS init_lu, CASE WHEN i IS NOT NULL THEN CASE WHEN hot THEN 1 + (c + p) % 6 ELSE i END END AS curr_lu,
+  CASE WHEN k % 3 = 0 THEN CASE WHEN i IS NOT NULL THEN CASE WHEN hot THEN 1 + (c + p) % 6 ELSE i END END ELSE i END AS sim_lu,
+  pop0, pop0 * f AS pop1, CASE WHEN k % 5 < 2 THEN 1 END AS buf
+  FROM (SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS p, o_totalprice AS pop0, w, o_orderpriority IN ('1-URGENT', '2-HIGH') AS hot,
+    CASE WHEN o_orderkey % 17 <> 0 THEN 1 + o_custkey % 6 END AS i, CASE o_orderstatus WHEN 'F' THEN 1.10::DOUBLE WHEN 'P' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS f FROM orders, s))"""
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = f"WITH {GRID} {sql}" if " g" in sql or sql.startswith(",") else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _cells(spark, sf_dir, **names) -> DataFrame:
+    cells, _ = order_grid(spark, sf_dir)
+    return cells.select("x", "y", *[F.col(c).alias(n) for n, c in names.items()]) if names else cells
+
+
+def _r(name: str, digits: int = 6):
+    return F.round(F.col(name).cast("double"), digits).alias(name)
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names or df.columns})
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators, the six rules, their merge and level statistics of one grid."""
+    cells, grid = order_grid(spark, sf_dir)
+    masks = _masks(cells)
+    levels = priority.level_stats(priority.merge(masks), grid, compat=False)
+    scores = indicators.land_proportion(cells, [2, 3], "curr_lu").select(F.col("score").alias("proportion"))
+    scores = scores.join(indicators.land_conversion(cells, MOVES, "init_lu", "curr_lu").select(F.col("score").alias("conversion")))  # one row each
+    scores = scores.join(indicators.coverage_population(cells, "pop0", "buf").select(F.col("score").alias("coverage")))
+    return levels.join(F.broadcast(scores)).orderBy("level")
+
+
+def _masks(cells: DataFrame) -> list[DataFrame]:
+    return [
+        priority.loss(cells, [2, 3], "init_lu", "curr_lu"),
+        priority.converted(cells, MOVES, "init_lu", "curr_lu"),
+        priority.uncovered_class(cells, [5], "init_lu"),
+        priority.uncovered_population(cells, 250000, "pop0"),
+        priority.emission_growth(cells, FACTORS, 3, "init_lu", "curr_lu"),
+        priority.people_and_land(cells, [5], 3, ("init_lu", "curr_lu"), ("pop0", "pop1")),
+    ]
+
+
+# Scores in SQL, over pct with bounds.
+def _pos(pct: str, low: str = "0", high: str = "100") -> str:
+    return f"greatest(0.0, least(100.0, ({pct} - {low}) / ({high} - {low}) * 100.0))"
+
+
+@query("SELECT n_class, n_valid, round(100.0 * n_class / n_valid, 6) AS pct, round(100.0 * n_class / n_valid, 6) AS score FROM (SELECT count(*) FILTER (init_lu IN (2, 3)) AS n_class, count(init_lu) AS n_valid FROM g)")
+def land_proportion(spark, sf_dir):
+    return indicators.land_proportion(_cells(spark, sf_dir), [2, 3], "init_lu").select("n_class", "n_valid", _r("pct"), _r("score"))
+
+
+_CONV = "SELECT count(*) FILTER (init_lu <> curr_lu AND ((init_lu = 2 AND curr_lu IN (2, 5, 6)) OR (init_lu = 4 AND curr_lu = 5))) AS n_converted, count(*) FILTER ({base}) AS n_base FROM g"
+_CONV_OUT = "SELECT n_converted, n_base, round(pct, 6) AS pct, round({score}, 6) AS score FROM (SELECT *, 100.0 * n_converted / n_base AS pct FROM ({inner}))"
+
+
+@query(_CONV_OUT.format(score=_pos("pct"), inner=_CONV.format(base="init_lu <> curr_lu AND init_lu = 2")))
+def land_conversion_pos(spark, sf_dir):
+    return indicators.land_conversion(_cells(spark, sf_dir), MOVES, "init_lu", "curr_lu").select("n_converted", "n_base", _r("pct"), _r("score"))
+
+
+@query(_CONV_OUT.format(score="100 - " + _pos("pct"), inner=_CONV.format(base="init_lu <> curr_lu AND init_lu = 2")))
+def land_conversion_neg(spark, sf_dir):
+    return indicators.land_conversion(_cells(spark, sf_dir), MOVES, "init_lu", "curr_lu", positive=False).select("n_converted", "n_base", _r("pct"), _r("score"))
+
+
+@query(_CONV_OUT.format(score=_pos("pct"), inner=_CONV.format(base="init_lu IN (2, 4) AND curr_lu IS NOT NULL")))
+def land_conversion_fixed(spark, sf_dir):
+    return indicators.land_conversion(_cells(spark, sf_dir), MOVES, "init_lu", "curr_lu", compat=False).select("n_converted", "n_base", _r("pct"), _r("score"))
+
+
+@query("SELECT covered, total, round(100.0 * covered / total, 6) AS pct, round(100.0 * covered / total, 6) AS score FROM (SELECT CAST(count(*) FILTER (init_lu IN (2, 3) AND buf IS NOT NULL) AS DOUBLE) AS covered, CAST(count(*) FILTER (init_lu IN (2, 3)) AS DOUBLE) AS total FROM g)")
+def buffer_class(spark, sf_dir):
+    return indicators.coverage_class(_cells(spark, sf_dir), [2, 3], "init_lu").select("covered", "total", _r("pct"), _r("score"))
+
+
+@query("SELECT round(100.0 * sum(pop0) FILTER (buf IS NOT NULL) / sum(pop0), 6) AS pct, round(100.0 * sum(pop0) FILTER (buf IS NOT NULL) / sum(pop0), 6) AS score FROM g")
+def buffer_population(spark, sf_dir):
+    return indicators.coverage_population(_cells(spark, sf_dir), "pop0").select(_r("pct"), _r("score"))
+
+
+_GROWTH = "SELECT *, ((u1 - u0) / u0) / ((p1 - p0) / p0) AS ratio FROM (SELECT CAST(count(*) FILTER (init_lu = 5) AS DOUBLE) u0, CAST(count(*) FILTER (curr_lu = 5) AS DOUBLE) u1, sum(pop0) p0, sum(pop1) p1 FROM g)"
+
+
+@query(f"SELECT u0, u1, round(ratio, 6) AS ratio, round(CASE WHEN ratio < 0 OR ratio > 100 THEN 0.0 WHEN ratio <= 1.12 THEN ratio / 1.12 * 100 ELSE (100 - ratio) / (100 - 1.12) * 100 END, 6) AS score FROM ({_GROWTH})")
+def growth_ratio_1131(spark, sf_dir):
+    return indicators.growth_ratio(_cells(spark, sf_dir), [5], ("init_lu", "curr_lu"), ("pop0", "pop1")).select("u0", "u1", _r("ratio"), _r("score"))
+
+
+def _factor_sql(column: str, factors: dict) -> str:
+    return "(CASE " + column + " " + " ".join(f"WHEN {k} THEN {v!r}::DOUBLE" for k, v in factors.items()) + " ELSE 0.0::DOUBLE END)"
+
+
+@query(f"SELECT round(e0, 6) AS e0, round(e1, 6) AS e1, round(e1 - e0, 6) AS delta, round(CASE WHEN e1 - e0 <= 0 THEN 100.0 ELSE greatest(0.0, least(100.0, (e1 - e0) / least(abs(e0), abs(e1)) * 100)) END, 6) AS score FROM (SELECT sum({_factor_sql('init_lu', FACTORS)}) AS e0, sum({_factor_sql('curr_lu', {k: v * (1 - RATIO) if v > 0 else v * (1 + RATIO) for k, v in FACTORS.items()})}) AS e1 FROM g)")
+def emission_1322(spark, sf_dir):
+    return indicators.emission_change(_cells(spark, sf_dir), FACTORS, RATIO, "init_lu", "curr_lu").select(_r("e0"), _r("e1"), _r("delta"), _r("score"))
+
+
+@query("SELECT round(CASE WHEN r >= 0.1 THEN r ELSE 0 END, 6) AS share FROM (SELECT count(*) FILTER (init_lu = 2) / count(init_lu) AS r FROM g)")
+def forest_minimum_share(spark, sf_dir):
+    return indicators.minimum_share(_cells(spark, sf_dir), [2], 0.1, "init_lu").select(_r("share"))
+
+
+_CONFUSION = "SELECT count(*) FILTER (curr_lu <> init_lu AND sim_lu = init_lu) a, count(*) FILTER (curr_lu <> init_lu AND sim_lu = curr_lu) b, count(*) FILTER (curr_lu <> init_lu AND sim_lu <> init_lu AND sim_lu <> curr_lu) c, count(*) FILTER (curr_lu = init_lu AND sim_lu <> init_lu) d FROM g WHERE init_lu IS NOT NULL AND curr_lu IS NOT NULL AND sim_lu IS NOT NULL"
+
+
+def _three(spark, sf_dir):
+    return _cells(spark, sf_dir, original="init_lu", simulated="sim_lu", real="curr_lu")
+
+
+@query(f"SELECT a, b, c, d, round(b / (a + b + c + d), 6) AS fom, round(b / (a + b + c), 6) AS pa, round(b / (b + c + d), 6) AS ua FROM ({_CONFUSION})")
+def accuracy_fom(spark, sf_dir):
+    return accuracy.change_accuracy(_three(spark, sf_dir)).select("a", "b", "c", "d", _r("fom"), _r("pa"), _r("ua"))
+
+
+@query(", v AS (SELECT sim_lu s, curr_lu r FROM g WHERE sim_lu IS NOT NULL AND curr_lu IS NOT NULL AND init_lu IS NOT NULL), m AS (SELECT sum(ns) n, sum(ns * nr) x FROM (SELECT r, CAST(count(*) AS DOUBLE) nr FROM v GROUP BY r) JOIN (SELECT s, CAST(count(*) AS DOUBLE) ns FROM v GROUP BY s) ON r = s), k AS (SELECT (SELECT count(*) FROM v WHERE s = r) / (SELECT count(*) FROM v) po, x / (n * n) pe, (SELECT count(*) FROM v WHERE s = r) / n oa FROM m) SELECT round(po, 6) AS po, round(pe, 6) AS pe, round(oa, 6) AS oa, round((po - pe) / (1 - pe), 6) AS kappa FROM k")
+def accuracy_kappa(spark, sf_dir):
+    return accuracy.map_agreement(_three(spark, sf_dir)).select(_r("po"), _r("pe"), _r("oa"), _r("kappa"))
+
+
+@query("SELECT a, b, c, d, round(a / (a + b + c), 6) AS fom, round(a / (a + b), 6) AS pa, round(a / (a + c), 6) AS ua FROM (SELECT count(*) FILTER (curr_lu <> init_lu AND sim_lu = curr_lu) a, count(*) FILTER (curr_lu <> init_lu AND sim_lu = init_lu) b, count(*) FILTER (sim_lu <> init_lu AND sim_lu <> curr_lu) c, count(*) FILTER (curr_lu = init_lu AND sim_lu = init_lu) d FROM g)")
+def accuracy_step(spark, sf_dir):
+    return accuracy.step_accuracy(_three(spark, sf_dir)).select("a", "b", "c", "d", _r("fom"), _r("pa"), _r("ua"))
+
+
+_TWO = "round((a + d) / n, 6) AS oa, round(((a + d) / n - pe) / (1 - pe), 6) AS kappa"
+
+
+@query(f"SELECT a, b, c, d, {_TWO} FROM (SELECT *, a + b + c + d AS n, ((a + b) * (a + c) + (c + d) * (b + d)) / ((a + b + c + d) * (a + b + c + d)) AS pe FROM (SELECT count(*) FILTER (curr_lu <> init_lu AND sim_lu <> init_lu) a, count(*) FILTER (curr_lu <> init_lu AND sim_lu = init_lu) b, count(*) FILTER (curr_lu = init_lu AND sim_lu <> init_lu) c, count(*) FILTER (curr_lu = init_lu AND sim_lu = init_lu) d FROM g))")
+def accuracy_change_binary(spark, sf_dir):
+    return accuracy.binary_change_accuracy(_three(spark, sf_dir), "original", "simulated", "real").select("a", "b", "c", "d", _r("oa"), _r("kappa"))
+
+
+@query(f"SELECT a, b, c, d, {_TWO}, round(a / (a + b), 6) AS pa, round(a / (a + c), 6) AS ua, round(a / (a + c + 0.1), 6) AS fom FROM (SELECT *, a + b + c + d AS n, ((a + b) * (a + c) + (c + d) * (b + d)) / ((a + b + c + d) * (a + b + c + d)) AS pe FROM (SELECT count(*) FILTER (p AND r) a, count(*) FILTER (NOT p AND r) b, count(*) FILTER (p AND NOT r) c, count(*) FILTER (NOT p AND NOT r) d FROM (SELECT coalesce(sim_lu = 5, false) p, coalesce(curr_lu = 5, false) r FROM g)))")
+def accuracy_infrastructure(spark, sf_dir):
+    cells = _cells(spark, sf_dir).select(infrastructure.occupied(F.col("sim_lu"), 5).alias("p"), infrastructure.occupied(F.col("curr_lu"), 5).alias("r"))
+    return accuracy.binary_accuracy(cells, "p", "r").select("a", "b", "c", "d", _r("oa"), _r("kappa"), _r("pa"), _r("ua"), _r("fom"))
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def pearson(spark, sf_dir):
+    return accuracy.pearson(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select(_r("r"))
+
+
+@query("SELECT round((avg(l_discount) - avg(l_tax)) / sqrt(var_samp(l_discount) / count(l_discount) + var_samp(l_tax) / count(l_tax)), 6) AS t FROM lineitem")
+def welch_t(spark, sf_dir):
+    return accuracy.welch_t(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax").select(_r("t"))
+
+
+@query("SELECT x, y, CAST(CASE WHEN init_lu <> curr_lu THEN 1 ELSE 0 END AS BIGINT) AS v FROM g")
+def detect_change_binary(spark, sf_dir):
+    return _long(preprocess.change_map(_cells(spark, sf_dir), "init_lu", "curr_lu"))
+
+
+@query("SELECT x, y, CAST(CASE WHEN init_lu <> curr_lu THEN init_lu * 1000 + curr_lu ELSE 0 END AS BIGINT) AS v FROM g")
+def detect_change_encoded(spark, sf_dir):
+    return _long(preprocess.change_map(_cells(spark, sf_dir), "init_lu", "curr_lu", encode=True))
+
+
+@query("SELECT n_changed, n_nodata, n_all, round(100.0 * n_changed / n_all, 6) AS pct FROM (SELECT count(*) FILTER (init_lu <> curr_lu) n_changed, count(*) FILTER (init_lu IS NULL OR curr_lu IS NULL) n_nodata, count(*) n_all FROM g)")
+def change_summary(spark, sf_dir):
+    return preprocess.change_summary(_cells(spark, sf_dir), "init_lu", "curr_lu").select("n_changed", "n_nodata", "n_all", _r("pct"))
+
+
+@query("SELECT x, y, round(CAST(CAST((pop0 - a) / (b - a) AS FLOAT) AS DOUBLE), 5) AS v FROM g, (SELECT min(pop0) a, max(pop0) b FROM g)")
+def normalize_minmax(spark, sf_dir):
+    out = preprocess.normalize(_cells(spark, sf_dir, v="pop0"))
+    return _long(out, "x", "y").withColumn("v", F.round(F.col("v").cast("double"), 5))
+
+
+@query("SELECT x, y, CAST(CASE WHEN init_lu IN (1, 2) THEN 10 WHEN init_lu = 3 THEN 20 WHEN init_lu IN (5, 6) THEN 241 ELSE init_lu END AS BIGINT) AS v FROM g")
+def reclass(spark, sf_dir):
+    return _long(preprocess.reclassify(_cells(spark, sf_dir, v="init_lu"), {1: 10, 2: 10, 3: 20}, [5, 6], -9999, "Byte"))
+
+
+@query("SELECT init_lu AS class, count(*) AS n FROM g WHERE init_lu IN (1, 2, 3) GROUP BY 1")
+def reclass_counts(spark, sf_dir):
+    return preprocess.reclass_counts(_cells(spark, sf_dir, v="init_lu"), {1: 10, 2: 10, 3: 20})
+
+
+@query("SELECT count(*) AS n_all, count(init_lu) AS n_valid, CAST(min(init_lu) AS DOUBLE) AS min, CAST(max(init_lu) AS DOUBLE) AS max, round(avg(init_lu), 6) AS mean, round(100.0 * (count(*) - count(init_lu)) / count(*), 6) AS nodata_pct, false AS all_zero, false AS all_same FROM g")
+def band_stats(spark, sf_dir):
+    return inspection.band_stats(_cells(spark, sf_dir), "init_lu").select("n_all", "n_valid", "min", "max", _r("mean"), _r("nodata_pct"), "all_zero", "all_same")
+
+
+@query("SELECT init_lu AS class, count(*) AS n FROM g WHERE init_lu IS NOT NULL GROUP BY 1")
+def class_coverage(spark, sf_dir):
+    return inspection.classes(_cells(spark, sf_dir), "init_lu")
+
+
+@query("SELECT e AS class FROM (SELECT unnest([1, 5, 7, 9])::BIGINT AS e) WHERE e NOT IN (SELECT init_lu FROM g WHERE init_lu IS NOT NULL)")
+def missing_types(spark, sf_dir):
+    return inspection.missing_classes(_cells(spark, sf_dir), [1, 5, 7, 9], "init_lu")
+
+
+@query("SELECT count(*) AS n_all, count(init_lu) AS n_valid, array_to_string([]::VARCHAR[], ',') AS errors, 'type_missing' AS warnings FROM g")
+def inspect_report(spark, sf_dir):
+    cells, grid = order_grid(spark, sf_dir)
+    out = inspection.inspect(cells, grid, grid, [1, 7], "init_lu")
+    return out.select("n_all", "n_valid", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
+
+def _mask(df: DataFrame) -> DataFrame:
+    return df.select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), F.coalesce("v", F.lit(0)).cast("bigint").alias("v"))
+
+
+_R1 = "CAST(coalesce(init_lu <> curr_lu AND init_lu IN (2, 3), false) AS BIGINT)"
+_R2 = "CAST(coalesce(init_lu <> curr_lu AND ((init_lu = 2 AND curr_lu IN (2, 5, 6)) OR (init_lu = 4 AND curr_lu = 5)), false) AS BIGINT)"
+_R3 = "CAST(coalesce(buf IS NULL AND init_lu = 5, false) AS BIGINT)"
+_R4 = "CAST(buf IS NULL AND pop0 >= 250000 AS BIGINT)"
+
+
+def _box(columns: str, low: str, high: str, source: str) -> str:
+    """Two window passes in SQL; ``columns`` are names of the source."""
+    names = columns.split()
+    one = ", ".join(f"sum({c}) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN {low} PRECEDING AND {high} FOLLOWING) AS a_{c}" for c in names)
+    two = ", ".join(f"sum(a_{c}) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN {low} PRECEDING AND {high} FOLLOWING) AS box_{c}" for c in names)
+    return f"SELECT *, {two} FROM (SELECT *, {one} FROM ({source}))"
+
+
+_GAIN = f"CAST(round(10 * ({_factor_sql('curr_lu', {k: k * v for k, v in FACTORS.items()})} - {_factor_sql('init_lu', {k: k * v for k, v in FACTORS.items()})})) AS BIGINT)"
+_R5_SQL = f"SELECT x, y, CAST(init_lu IS NOT NULL AND box_d > 0 AS BIGINT) AS v FROM ({_box('d', '2', '3', f'SELECT *, CASE WHEN x > 0 AND y > 0 THEN {_GAIN} ELSE 0 END AS d FROM g')})"
+_SEEN = "init_lu IS NOT NULL AND curr_lu IS NOT NULL"
+_R6_SQL = f"SELECT x, y, CAST({_SEEN} AND ((box_dp - dp > 0) <> (box_u0 - u0 <= box_u1 - u1)) AS BIGINT) AS v FROM ({_box('u0 u1 dp', '3', '3', f'SELECT *, CASE WHEN {_SEEN} AND init_lu = 5 THEN 1 ELSE 0 END AS u0, CASE WHEN {_SEEN} AND curr_lu = 5 THEN 1 ELSE 0 END AS u1, CASE WHEN {_SEEN} THEN pop1 - pop0 ELSE 0 END AS dp FROM g')})"
+
+
+@query(f"SELECT x, y, {_R1} AS v FROM g")
+def rule1_loss(spark, sf_dir):
+    return _mask(priority.loss(_cells(spark, sf_dir), [2, 3], "init_lu", "curr_lu"))
+
+
+@query(f"SELECT x, y, {_R2} AS v FROM g")
+def rule2_transition(spark, sf_dir):
+    return _mask(priority.converted(_cells(spark, sf_dir), MOVES, "init_lu", "curr_lu"))
+
+
+@query(f"SELECT x, y, {_R3} AS v FROM g")
+def rule3_outside_class(spark, sf_dir):
+    return _mask(priority.uncovered_class(_cells(spark, sf_dir), [5], "init_lu"))
+
+
+@query(f"SELECT x, y, {_R4} AS v FROM g")
+def rule4_outside_pop(spark, sf_dir):
+    return _mask(priority.uncovered(_cells(spark, sf_dir), "pop0", threshold=250000))
+
+
+@query(_R5_SQL)
+def rule5_emission(spark, sf_dir):
+    return _mask(priority.emission_growth(_cells(spark, sf_dir), FACTORS, 3, "init_lu", "curr_lu"))
+
+
+@query(_R6_SQL)
+def rule6_human_land(spark, sf_dir):
+    return _mask(priority.people_and_land(_cells(spark, sf_dir), [5], 3, ("init_lu", "curr_lu"), ("pop0", "pop1")))
+
+
+_MERGED = f"SELECT x, y, CAST(sum(v) AS BIGINT) AS level FROM (" + " UNION ALL ".join([*(f"SELECT x, y, {r} AS v FROM g" for r in (_R1, _R2, _R3, _R4)), f"({_R5_SQL})", f"({_R6_SQL})"]) + ") GROUP BY x, y"
+
+
+@query(_MERGED)
+def priority_merge(spark, sf_dir):
+    return _long(priority.merge(_masks(_cells(spark, sf_dir))))
+
+
+@query(f"SELECT l AS level, count(level) AS n_cells, round(CAST(count(level) AS DOUBLE) * 0.0009::DOUBLE, 6) AS km2 FROM (SELECT unnest(range(7)) AS l) LEFT JOIN (SELECT level FROM ({_MERGED}) WHERE level > 0) ON l = level GROUP BY l")
+def priority_stats(spark, sf_dir):
+    cells, grid = order_grid(spark, sf_dir)
+    return priority.level_stats(priority.merge(_masks(cells)), grid).select(F.col("level").cast("bigint").alias("level"), "n_cells", _r("km2"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (level > 0) AS priority, round(100.0 * count(*) FILTER (level > 0) / count(*), 6) AS pct, round(CAST(count(*) FILTER (level > 0) AS DOUBLE) * 0.0009::DOUBLE, 6) AS priority_km2 FROM ({_MERGED})")
+def priority_summary_fixed(spark, sf_dir):
+    cells, grid = order_grid(spark, sf_dir)
+    return priority.level_summary(priority.merge(_masks(cells)), grid, compat=False).select("total", "priority", _r("pct"), _r("priority_km2"))
+
+
+def _periods(spark, sf_dir):
+    cells, grid = order_grid(spark, sf_dir)
+    return {2010: Raster(cells.select("x", "y", F.col("init_lu").alias("v")), grid), 2020: Raster(cells.select("x", "y", F.col("curr_lu").alias("v")), grid)}
+
+
+@query("SELECT year, v AS class, count(*) AS n FROM (SELECT 2010 AS year, init_lu AS v FROM g UNION ALL SELECT 2020, curr_lu FROM g) WHERE v > 0 GROUP BY 1, 2")
+def class_counts(spark, sf_dir):
+    p = _periods(spark, sf_dir)
+    return markov.class_counts(p[2010].cells.withColumn("year", F.lit(2010)).unionByName(p[2020].cells.withColumn("year", F.lit(2020))))
+
+
+_CROSS = "SELECT init_lu AS \"from\", curr_lu AS \"to\", count(*) AS n FROM g WHERE init_lu > 0 AND curr_lu > 0 GROUP BY 1, 2"
+
+
+@query(_CROSS)
+def transition_matrix(spark, sf_dir):
+    return markov.transition_counts(_cells(spark, sf_dir), "init_lu", "curr_lu")
+
+
+@query(f"SELECT \"from\", \"to\", round(n / sum(n) OVER (PARTITION BY \"from\"), 6) AS p FROM ({_CROSS})")
+def transition_prob(spark, sf_dir):
+    return markov.transition_probabilities(markov.transition_counts(_cells(spark, sf_dir), "init_lu", "curr_lu")).withColumn("p", F.round("p", 6))
+
+
+@query(f"SELECT \"to\" AS class, round(sum(d.n * p.p), 4) AS n FROM (SELECT \"from\", \"to\", n / sum(n) OVER (PARTITION BY \"from\") AS p FROM ({_CROSS})) p JOIN (SELECT curr_lu AS class, count(*) AS n FROM g WHERE curr_lu > 0 GROUP BY 1) d ON \"from\" = class GROUP BY 1")
+def markov_step(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    p = markov.transition_probabilities(markov.transition_counts(cells, "init_lu", "curr_lu"))
+    now = cells.filter("curr_lu > 0").groupBy(F.col("curr_lu").cast("bigint").alias("class")).agg(F.count("*").alias("n"))
+    return markov.step(now, p).withColumn("n", F.round("n", 4))
+
+
+@query()
+def markov_predict(spark, sf_dir):
+    return markov.predict(_periods(spark, sf_dir), 3)
+
+
+@query("SELECT year AS \"Year\", " + ", ".join(f"count(*) FILTER (v = {k}) AS \"Type{k}\"" for k in range(1, 7)) + " FROM (SELECT 2010 AS year, init_lu AS v FROM g UNION ALL SELECT 2020, curr_lu FROM g) WHERE v > 0 GROUP BY 1")
+def demand_wide(spark, sf_dir):
+    return markov.wide(class_counts(spark, sf_dir))
+
+
+@query("SELECT x, y, " + ", ".join(f"round((box_u{k} - u{k}) / 3.0 / (box_one - one), 6) AS share_{k}" for k in (1, 2, 5)) + " FROM (" + _box("u1 u2 u5 one", "2", "2", "SELECT x, y, " + ", ".join(f"CASE WHEN init_lu = {k} THEN 1 ELSE 0 END AS u{k}" for k in (1, 2, 5)) + ", 1 AS one FROM g") + ")")
+def focal_share(spark, sf_dir):
+    out = class_share(_cells(spark, sf_dir, v="init_lu"), "v", [1, 2, 5], 5)
+    return _long(out.select("x", "y", *[_r(f"share_{k}") for k in (1, 2, 5)]), "x", "y")
+
+
+@query("SELECT label, moved, least(count(*), CASE WHEN moved = 1 THEN 60 ELSE 80 END) AS n FROM (SELECT curr_lu AS label, CAST(init_lu <> curr_lu AS BIGINT) AS moved FROM g WHERE init_lu > 0 AND curr_lu > 0) GROUP BY 1, 2")
+def stratified_cap_counts(spark, sf_dir):
+    s = transition_ml.samples(_cells(spark, sf_dir, before="init_lu", after="curr_lu", d0="pop0", d1="pop1"), ["d0", "d1"], cap_changed=60, cap_same=80)
+    return _long(s.groupBy("label", "moved").agg(F.count("*").alias("n")))
+
+
+_COARSE = "SELECT cx AS x, cy AS y, {v} AS v FROM (SELECT unnest(range(w // 2)) AS cx, h, w FROM (SELECT w, (SELECT max(y) + 1 FROM g) AS h FROM s)), LATERAL (SELECT unnest(range(h // 2)) AS cy) t {join}"
+
+
+@query(_COARSE.format(v="CAST(g.init_lu AS BIGINT)", join="LEFT JOIN g ON g.x = 2 * cx + 1 AND g.y = 2 * cy + 1"))
+def resample_nearest(spark, sf_dir):
+    cells, grid = order_grid(spark, sf_dir)
+    base = Grid(grid.width // 2, grid.height // 2, (0.0, 60.0, 0.0, 0.0, 0.0, -60.0), grid.crs)
+    return _long(resample(Raster(cells.select("x", "y", F.col("init_lu").alias("v")), grid), base))
+
+
+@query("SELECT cx AS x, cy AS y, round(avg(g.pop0), 4) AS v FROM (SELECT unnest(range(w // 2)) AS cx, h FROM (SELECT w, (SELECT max(y) + 1 FROM g) AS h FROM s)), LATERAL (SELECT unnest(range(h // 2)) AS cy) t LEFT JOIN g ON g.x // 2 = cx AND g.y // 2 = cy GROUP BY 1, 2")
+def resample_bilinear(spark, sf_dir):
+    cells, grid = order_grid(spark, sf_dir)
+    base = Grid(grid.width // 2, grid.height // 2, (0.0, 60.0, 0.0, 0.0, 0.0, -60.0), grid.crs)
+    out = resample(Raster(cells.select("x", "y", F.col("pop0").alias("v")), grid), base, "bilinear")
+    return _long(out, "x", "y").withColumn("v", F.round("v", 4))
+
+
+@query("SELECT x // 4 AS x, y // 4 AS y, arg_min(init_lu, y * 100000 + x) FILTER (init_lu IS NOT NULL) AS v FROM g GROUP BY 1, 2")
+def overview_nearest(spark, sf_dir):
+    return _long(overview(_cells(spark, sf_dir, v="init_lu"), 4))
+
+
+@query("SELECT x, y, CASE WHEN buf IS NULL THEN -1 ELSE init_lu END AS v FROM g")
+def mask_by_nodata(spark, sf_dir):
+    cells, grid = order_grid(spark, sf_dir)
+    return _long(mask_by(Raster(cells.select("x", "y", F.col("buf").alias("v")), grid), Raster(cells.select("x", "y", F.col("init_lu").alias("v")), grid), -1))
+
+
+@query("SELECT x, y, init_lu, curr_lu, pop0 FROM g")
+def align_stack(spark, sf_dir):
+    cells, grid = order_grid(spark, sf_dir)
+    return _long(align({c: Raster(cells.select("x", "y", F.col(c).alias("v")), grid) for c in ("init_lu", "curr_lu", "pop0")}), "x", "y", "init_lu", "curr_lu")
+
+
+@query("SELECT x, y, CASE WHEN pop0 >= 200000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM g")
+def rule_threshold(spark, sf_dir):
+    return _long(_cells(spark, sf_dir).select("x", "y", rules.predicate("pop0", ">=", 200000).alias("v")), "x", "y")
+
+
+@query("SELECT x, y, CASE WHEN pop0 >= (SELECT quantile_cont(pop0, 0.9) FROM g) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM g")
+def rule_ranking(spark, sf_dir):
+    return _long(rules.ranking(_cells(spark, sf_dir), "pop0", 10).select("x", "y", F.col("score").alias("v")), "x", "y")
+
+
+@query("SELECT x, y, CASE WHEN (pop1 - pop0) / abs(pop0) > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM g")
+def rule_change_rate(spark, sf_dir):
+    return _long(_cells(spark, sf_dir).select("x", "y", rules.change_rate("pop0", "pop1", ">", 0.05).alias("v")), "x", "y")
+
+
+@query("SELECT x, y, CASE WHEN box_m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (" + _box("m", "2", "2", "SELECT *, CASE WHEN init_lu = 5 AND buf IS NULL THEN 1 ELSE 0 END AS m FROM g") + ")")
+def rule_spatial(spark, sf_dir):
+    mask = priority.uncovered_class(_cells(spark, sf_dir), [5], "init_lu")
+    return _long(rules.within(mask, 2).select("x", "y", F.col("score").alias("v")), "x", "y")
+
+
+_PARTS = "CASE WHEN pop0 >= 200000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS a, CASE WHEN (pop1 - pop0) / abs(pop0) > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS b"
+
+
+def _declared(aggregation: str) -> list[dict]:
+    return [
+        {"id": "a", "type": "threshold", "weight": 0.7, "condition": {"indicator": "pop0", "operator": ">=", "value": 200000}},
+        {"id": "all", "type": "composite", "aggregation": aggregation, "sub_rules": ["a", {"id": "b", "type": "change_rate", "weight": 0.3, "condition": {"before": "pop0", "after": "pop1", "operator": ">", "value": 0.05}}]},
+    ]
+
+
+def _composite(spark, sf_dir, aggregation):
+    return _long(rules.evaluate(_cells(spark, sf_dir), _declared(aggregation)).select("x", "y", F.round("all", 6).alias("v")), "x", "y")
+
+
+@query(f"SELECT x, y, round(0.7 * a + 0.3 * b, 6) AS v FROM (SELECT x, y, {_PARTS} FROM g)")
+def composite_weighted_sum(spark, sf_dir):
+    return _composite(spark, sf_dir, "weighted_sum")
+
+
+@query(f"SELECT x, y, round(pow(a, 0.7) * pow(b, 0.3), 6) AS v FROM (SELECT x, y, {_PARTS} FROM g)")
+def composite_geometric_mean(spark, sf_dir):
+    return _composite(spark, sf_dir, "geometric_mean")
+
+
+@query(f"SELECT x, y, least(a, b) AS v FROM (SELECT x, y, {_PARTS} FROM g)")
+def composite_fuzzy_and(spark, sf_dir):
+    return _composite(spark, sf_dir, "fuzzy_and")
+
+
+@query(f"SELECT x, y, greatest(a, b) AS v FROM (SELECT x, y, {_PARTS} FROM g)")
+def composite_fuzzy_or(spark, sf_dir):
+    return _composite(spark, sf_dir, "fuzzy_or")
+
+
+@query("SELECT x, y, 1 + " + " + ".join(f"CAST(pop0 >= q[{k}] AS BIGINT)" for k in (1, 2, 3)) + " AS class FROM g, (SELECT quantile_cont(pop0, [0.25, 0.5, 0.75]) AS q FROM g)")
+def classify_quantile(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    return _long(cells.select("x", "y", rules.classify("pop0", rules.breaks(cells, "pop0", "quantile", 4)).alias("class")))
+
+
+@query("SELECT x, y, 1 + " + " + ".join(f"CAST(pop0 >= a + (b - a) * {k} / 5 AS BIGINT)" for k in (1, 2, 3, 4)) + " AS class FROM g, (SELECT min(pop0) a, max(pop0) b FROM g)")
+def classify_equal_interval(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    return _long(cells.select("x", "y", rules.classify("pop0", rules.breaks(cells, "pop0", "equal_interval", 5)).alias("class")))
+
+
+@query()
+def classify_natural_breaks(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    return _long(cells.select("x", "y", rules.classify("pop0", rules.breaks(cells, "pop0", "natural_breaks", 5)).alias("class")))
+
+
+def _scores(spark, sf_dir):
+    """Scores per segment and nation as stand-ins for indicators per region."""
+    c = table(spark, sf_dir, "customer")
+    dim = F.element_at(F.array(F.lit("economy"), F.lit("society"), F.lit("environment")), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    return c.select(F.col("c_mktsegment").alias("region"), dim.alias("dimension"), F.col("c_acctbal").alias("score"))
+
+
+_SCORES = "SELECT c_mktsegment AS region, ['economy', 'society', 'environment'][c_nationkey % 3 + 1] AS dimension, c_acctbal AS score FROM customer"
+
+
+@query(f"SELECT dimension, round(avg(score), 6) AS score FROM ({_SCORES}) GROUP BY 1")
+def dimension_scores(spark, sf_dir):
+    return rules.dimension_scores(_scores(spark, sf_dir)).select("dimension", _r("score"))
+
+
+@query(f"SELECT round(avg(s), 6) AS composite FROM (SELECT avg(score) AS s FROM ({_SCORES}) GROUP BY dimension)")
+def composite_score(spark, sf_dir):
+    return rules.composite_score(_scores(spark, sf_dir)).select(_r("composite"))
+
+
+@query(f"SELECT CAST(place AS INTEGER) AS place, a.dimension, round(coalesce(avg(score), 0), 6) AS score FROM (VALUES (0, 'economy'), (1, 'society'), (2, 'environment')) a(place, dimension) LEFT JOIN ({_SCORES}) b ON a.dimension = b.dimension GROUP BY 1, 2")
+def chart_radar(spark, sf_dir):
+    return charts.radar(_scores(spark, sf_dir)).select("place", "dimension", _r("score"))
+
+
+@query(f"SELECT p.region, a, round(x, 6) AS a_score, b, round(z, 6) AS b_score FROM (SELECT region, dimension AS a, avg(score) AS x FROM ({_SCORES}) GROUP BY 1, 2) p JOIN (SELECT region, dimension AS b, avg(score) AS z FROM ({_SCORES}) GROUP BY 1, 2) q ON p.region = q.region WHERE (a, b) IN (('economy', 'society'), ('economy', 'environment'), ('society', 'environment'))")
+def chart_pairs(spark, sf_dir):
+    return charts.pairs(_scores(spark, sf_dir)).select("region", "a", _r("a_score"), "b", _r("b_score"))
+
+
+@query(f"SELECT region, score FROM ((SELECT CAST(c_custkey AS VARCHAR) AS region, c_acctbal AS score FROM customer ORDER BY score DESC, region LIMIT 10) UNION (SELECT CAST(c_custkey AS VARCHAR), c_acctbal AS score FROM customer ORDER BY score, 1 LIMIT 5))")
+def chart_subregions(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("region"), F.col("c_acctbal").alias("score"))
+    return charts.subregions(rows)
+
+
+@query("SELECT year, level, n, round(n / sum(n) OVER (PARTITION BY year), 6) AS share, round(sum(n) OVER (PARTITION BY year ORDER BY level) / sum(n) OVER (PARTITION BY year), 6) AS upto FROM (SELECT 2010 AS year, init_lu AS level, count(*) AS n FROM g WHERE init_lu > 0 GROUP BY 2 UNION ALL SELECT 2020, curr_lu, count(*) FROM g WHERE curr_lu > 0 GROUP BY 2)")
+def chart_stacked_levels(spark, sf_dir):
+    return charts.stacked_levels(class_counts(spark, sf_dir).withColumnRenamed("class", "level")).select("year", "level", "n", _r("share"), _r("upto"))
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS event_id, round(c, 6) AS confidence, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.6 THEN 'medium' WHEN c >= 0.4 THEN 'low' ELSE 'very_low' END AS label FROM (SELECT event_id, (CASE WHEN event_type = 'purchase' THEN 0.7 ELSE 0.4 END) * ((event_id % 100) / 100.0) + 0.3 * ((user_id % 10) / 10.0) AS c FROM events)")
+def confidence_score(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool"), ((F.col("event_id") % 100) / 100.0).alias("coverage"), ((F.col("user_id") % 10) / 10.0).alias("freshness"))
+    return rules.confidence(e, {"coverage": 0.4, "freshness": 0.3}, {"purchase": {"coverage": 0.7}}).select("event_id", _r("confidence"), "label")
+
+
+@query("SELECT c_mktsegment AS region, round(avg(CAST(c_acctbal < 0 AS DOUBLE)), 6) AS share, CASE WHEN avg(CAST(c_acctbal < 0 AS DOUBLE)) < 0.2 THEN 'low' WHEN avg(CAST(c_acctbal < 0 AS DOUBLE)) < 0.4 THEN 'moderate' WHEN avg(CAST(c_acctbal < 0 AS DOUBLE)) < 0.6 THEN 'high' ELSE 'critical' END AS grade FROM customer GROUP BY 1")
+def priority_grade(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("region"), (F.col("c_acctbal") < 0).alias("hit"))
+    return rules.grade(c, "region", "hit").select("region", _r("share"), "grade")
+
+
+@query("SELECT tool, CASE max(CASE WHEN (tool = 'view' AND value > 90) OR value > 1000 OR value < 0 THEN 3 WHEN tool = 'click' AND value > 50 AND value < 60 THEN 2 ELSE 0 END) WHEN 3 THEN 'FAIL' WHEN 2 THEN 'WARN' ELSE 'PASS' END AS overall FROM (SELECT event_type AS tool, value FROM events WHERE event_type IN ('view', 'click')) GROUP BY 1")
+def validation_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), "value")
+    spec = [
+        {"tool": "view", "metric": "value", "valid_range": {"min": 0, "max": 1000}, "anomaly_patterns": [{"id": "high", "condition": "value > 90", "severity": "fail"}]},
+        {"tool": "click", "metric": "value", "valid_range": {"min": 0, "max": 1000}, "anomaly_patterns": [{"id": "odd", "condition": "value > 50 AND value < 60", "severity": "warn"}]},
+    ]
+    return rules.roll_up(rules.validate(e, spec))
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(lower(coalesce(text, '')), 'the') THEN 'first' WHEN contains(lower(coalesce(text, '')), 'de') THEN 'second' ELSE 'unknown' END AS intent FROM conversations")
+def intent_routing(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return rules.route(rows, [{"name": "second", "priority": 2, "keywords": ["de"]}, {"name": "first", "priority": 1, "keywords": ["the"]}]).select("conv_id", "turn", "intent")
+
+
+@query("SELECT doc_id, CAST(floor(1.5 * len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]')) + len(regexp_extract_all(regexp_replace(text, '[\\x{4E00}-\\x{9FFF}]', ' ', 'g'), '\\S+'))) AS INTEGER) AS tokens FROM documents")
+def kb_token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", knowledge.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT source, count(*) AS n_chunks, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS n_tokens FROM documents GROUP BY 1")
+def kb_source_stats(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return knowledge.stats(d.withColumn("token_count", knowledge.token_estimate(F.col("text"))))
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id = 0").first()["embedding"]
+    return knowledge.top_k(e, q, 10).select("vec_id", _r("score"))
+
+
+@query("SELECT doc_id, len(list_intersect(['the', 'de', 'la'], regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) / 3.0 AS score FROM documents")
+def keyword_score(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", knowledge.keyword_score(F.col("text"), "the de la").alias("score"))
+
+
+@query()
+def chunk_headings(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("# "), F.coalesce("lang", F.lit("")), F.lit("\n"), F.col("text")).alias("text"))
+    return knowledge.chunk(d)
+
+
+@query("SELECT coalesce(f.path, n.path) AS path, coalesce(f.region, n.region) AS region, CAST(coalesce(f.c, 0) + coalesce(n.c, 0) AS INTEGER) AS count FROM (SELECT 'f' || s_suppkey AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'r' || s_nationkey END AS region, 1 AS c FROM supplier) f FULL JOIN (SELECT path, max(region) AS region, count(*) AS c FROM (SELECT 'f' || (s_suppkey + 5) AS path, 'n' || s_nationkey AS region FROM supplier) GROUP BY 1) n ON f.path = n.path")
+def registry_upsert(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    none = F.lit(None)
+    old = s.select(F.concat(F.lit("f"), "s_suppkey").alias("path"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("r"), "s_nationkey")).alias("region"), none.cast("string").alias("category"), none.cast("int").alias("year"), F.lit(1).alias("count"), none.cast("string").alias("updated"))
+    new = s.select(F.concat(F.lit("f"), F.col("s_suppkey") + 5).alias("path"), F.concat(F.lit("n"), "s_nationkey").alias("region"), none.cast("string").alias("category"), none.cast("int").alias("year"), none.cast("string").alias("updated"))
+    return registry.upsert(old, new).select("path", "region", "count")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, 'orphan' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION SELECT CAST(l_orderkey AS VARCHAR), 'missing' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def orphan_antijoin(spark, sf_dir):
+    disk = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"))
+    listed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"))
+    return manifest.orphans(listed, disk)
+
+
+@query("SELECT CAST(c_mktsegment AS VARCHAR) AS dataset, list_sort(list(DISTINCT CAST(c_nationkey AS VARCHAR))) AS crs FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1")
+def crs_conflicts(spark, sf_dir):
+    return manifest.crs_conflicts(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("dataset"), F.col("c_nationkey").cast("string").alias("crs")))
+
+
+@query("SELECT conv_id AS session_id, arg_max(text, turn) FILTER (text IS NOT NULL) AS summary, count(*) AS n FROM conversations GROUP BY 1")
+def session_state(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), F.col("text").alias("summary"))
+    n = c.groupBy("session_id").agg(F.count("*").alias("n"))
+    return registry.current(c).join(n, "session_id")
+
+
+@query("SELECT p_partkey AS id, CAST((CAST(floor(p_retailprice) AS BIGINT) - 9999) % 256 + CASE WHEN (CAST(floor(p_retailprice) AS BIGINT) - 9999) % 256 < 0 THEN 256 ELSE 0 END AS BIGINT) AS v FROM part")
+def byte_wrap(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), wrap(F.floor("p_retailprice") - 9999, "Byte").cast("bigint").alias("v"))
+
+
+def _drivers(spark, sf_dir):
+    cells = _cells(spark, sf_dir, before="init_lu", after="curr_lu", d0="pop0")
+    return cells.withColumn("d1", (F.col("x") % 7).cast("double"))
+
+
+def _learned(spark, sf_dir, method):
+    cells, names = _drivers(spark, sf_dir), ["d0", "d1"]
+    model, classes = transition_ml.train(transition_ml.samples(cells, names, cap_changed=500, cap_same=500), names, method, trees=20)
+    return transition_ml.score(cells, model, names, classes).select("x", "y", F.transform("pg", lambda p: F.round(p, 6)).alias("pg"))
+
+
+@query()
+def pg_random_forest(spark, sf_dir):
+    return _learned(spark, sf_dir, "rf")
+
+
+@query()
+def pg_logit(spark, sf_dir):
+    return _learned(spark, sf_dir, "logit")
+
+
+@query()
+def pg_mlp(spark, sf_dir):
+    return _learned(spark, sf_dir, "ann")
+
+
+def _checkpoints(spark):
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="landloom-checkpoints-")  # local sessions only: a cluster names its own
+        spark.sparkContext.setCheckpointDir(named)
+
 
-def queries():
-    return {}
+@query()
+def ca_simulate(spark, sf_dir):
+    _checkpoints(spark)
+    cells = _cells(spark, sf_dir, v="init_lu", redline="buf")
+    classes = [1, 2, 3, 4, 5, 6]
+    pg = F.array(*[F.when(F.col("v").isNotNull(), 0.1 + 0.15 * ((F.col("x") + F.col("y") + k) % 6)).otherwise(0.0) for k in classes])
+    counts = {r["v"]: r["n"] for r in cells.groupBy("v").agg(F.count("*").alias("n")).collect() if r["v"]}  # a row a class
+    moved = max(1, sum(counts.values()) // 50)
+    wanted = {**counts, 5: counts.get(5, 0) + moved, 1: counts.get(1, 0) - moved}
+    out, _ = automata.simulate(cells.withColumn("pg", pg), wanted, classes, {1: [5]}, iterations=3)
+    return out.select("x", "y", "v")
 
 
-def oracle_sql():
-    return {}
+@query()
+def infra_simulate(spark, sf_dir):
+    _checkpoints(spark)
+    cells = _cells(spark, sf_dir).select("x", "y", F.when(F.col("init_lu") == 5, 1).otherwise(0).alias("v"), ((F.col("x") % 10) / 10.0).alias("zone"))
+    have = cells.agg(F.sum("v")).first()[0]
+    return infrastructure.simulate(cells, have + 50, iterations=3, compat=False)[0]
