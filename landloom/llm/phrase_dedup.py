@@ -10,8 +10,9 @@ document with a smaller id.
    confirm the recurring passages: maximal runs of windows that recur, in the document of smallest id that holds them.
 3. Passages are dealt into shards of about ``SHARD_WORDS`` words. A shard's automaton (pyahocorasick, words as numbers)
    holds every aligned phrase of ``WINDOW // 2`` words of its passages: each window contains a whole one. Every document
-   that has a minimizer of a shard's passages streams through its automaton; each phrase found is extended left and
-   right word by word, so the result rests on the words and not on hashes.
+   that has a confirmed window of a shard's passages streams through its automaton, with the owners of those windows;
+   each phrase found in one of their passages is extended left and right word by word, so the result rests on the words
+   and not on hashes.
 4. Covered words are joined by document and removed.
 
 Scale: hot passages cost one row per document that holds them; a shard that many documents stream through is copied to
@@ -25,20 +26,21 @@ searched whole; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_table, materialise
 from .rolling import prefix, sliding_min, spans, windows
 
 WINDOW = 50
 GRAM = 16
-SHARD_WORDS = 400_000
+SHARD_WORDS = 100_000
 #: Bytes of text that stream through one copy of an automaton.
-STREAM_BYTES = 24_000_000
+STREAM_BYTES = 4_000_000
 _LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -96,24 +98,20 @@ def _window_rows(window: int, gram: int):
     return run
 
 
-def _passages(window: int, gram: int):
-    """(id, words, confirmed window hashes) -> the passages they make up, with their minimizers."""
+def _passages(window: int):
+    """(id, words, confirmed window hashes) -> the passages they make up."""
 
     def run(batches):
         for batch in batches:
-            ids, texts, counts, anchors = [], [], [], []
+            ids, texts, counts = [], [], []
             for i, t, whs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 words = t.as_py().split(b" ")
                 sums = prefix(_hashes(words))
-                v = _minimizers(sums, window, gram)
                 for a, b in zip(*spans(np.isin(windows(sums, window), whs.values.to_numpy(zero_copy_only=False).view(np.uint64))), strict=True):
                     ids.append(i)
                     texts.append(b" ".join(words[a : b + window - 1]))
                     counts.append(int(b - a) + window - 1)
-                    anchors.append(np.unique(v[a:b]).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))], ["owner", "words", "n", "anchors"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(counts, pa.int64())], ["owner", "words", "n"])
 
     return run
 
@@ -126,14 +124,13 @@ class Automaton:
 
         self.window, self.phrase = window, window // 2
         self.codes: dict[bytes, int] = {}
-        self.owners = [owner for owner, _ in passages]
         self.passages = []
-        at: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, (_, text) in enumerate(passages):
+        at: dict[tuple[int, ...], dict[int, list[tuple[int, int]]]] = {}  # phrase -> owner -> places
+        for k, (owner, text) in enumerate(passages):
             codes = [self.codes.setdefault(w, len(self.codes) + 1) for w in text.split(b" ")]
             self.passages.append(np.array(codes, np.int64))
             for o in range(0, len(codes) - self.phrase + 1, self.phrase):
-                at.setdefault(tuple(codes[o : o + self.phrase]), []).append((k, o))
+                at.setdefault(tuple(codes[o : o + self.phrase]), {}).setdefault(owner, []).append((k, o))
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for phrase, places in at.items():
             self.tree.add_word(phrase, places)
@@ -141,8 +138,8 @@ class Automaton:
             self.tree.make_automaton()
         self.empty = not at
 
-    def covered(self, doc: int, text: bytes) -> list[tuple[int, int]]:
-        """Runs (start, end) of words of the document that passages of smaller ids repeat."""
+    def covered(self, text: bytes, owners: set[int]) -> list[tuple[int, int]]:
+        """Runs (start, end) of words of a document that passages of the owners repeat."""
         if self.empty:
             return []
         codes = [self.codes.get(w, 0) for w in text.split(b" ")]
@@ -151,8 +148,8 @@ class Automaton:
         found = []
         for end, places in self.tree.iter(tuple(codes)):
             s = end - self.phrase + 1
-            for k, o in places:
-                if self.owners[k] >= doc or done.get((k, s - o), -1) >= end:
+            for k, o in chain.from_iterable(places[w] for w in (owners if len(owners) < len(places) else places) if w in places and w in owners):
+                if done.get((k, s - o), -1) >= end:
                     continue
                 p = self.passages[k]
                 back = min(s, o)
@@ -174,7 +171,7 @@ def _stream(window: int):
         now, passages, automaton = None, [], None
         for batch in batches:
             ids, starts, ends = [], [], []
-            for shard, salt, kind, i, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for shard, salt, kind, i, text, owners in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if (shard, salt) != now:
                     now, passages, automaton = (shard, salt), [], None
                 if kind == 0:
@@ -182,7 +179,7 @@ def _stream(window: int):
                     continue
                 if automaton is None:
                     automaton = Automaton(passages, window)
-                for s, e in automaton.covered(i, text):
+                for s, e in automaton.covered(text, set(owners)):
                     ids.append(i)
                     starts.append(s)
                     ends.append(e)
@@ -228,23 +225,25 @@ def repeated(docs: DataFrame, id_col: str, window: int, gram: int, shard_words:
 
     texts = materialise(texts.mapInArrow(flat, "key binary, id bigint, words binary, vs array<bigint>"), "phrase-texts")
     # Confirmed windows and the smallest id that holds them.
-    seen = texts.select("id", "words", "vs").mapInArrow(_window_rows(window, gram), "wh bigint, id bigint")
-    sure = seen.groupBy("wh").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner <> last")
+    seen = materialise(texts.select("id", "words", "vs").mapInArrow(_window_rows(window, gram), "wh bigint, id bigint"), "phrase-windows")
+    sure = seen.groupBy("wh").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner <> last").select("wh", "owner")
+    sure = materialise(sure, "phrase-confirmed")
+    # Which documents stream past which owners' passages: they share a confirmed window.
+    meets = materialise(seen.join(sure, "wh").filter("id <> owner").select("id", "owner").distinct(), "phrase-routes")
+    drop_table(seen)
     owned = sure.groupBy("owner").agg(F.collect_list("wh").alias("whs"))
     passages = texts.join(owned, F.col("id") == F.col("owner")).select("id", "words", "whs")
-    passages = materialise(passages.mapInArrow(_passages(window, gram), "owner bigint, words binary, n bigint, anchors array<bigint>"), "phrase-passages")
+    passages = materialise(passages.mapInArrow(_passages(window), "owner bigint, words binary, n bigint"), "phrase-passages")
     total = passages.agg(F.sum("n")).first()[0] or 0
     shard = F.pmod(F.xxhash64("owner"), F.lit(-(-int(total) // shard_words) or 1)).cast("int").alias("shard")
-    # Which documents stream through which shards: they share a minimizer.
-    of_shard = passages.select(shard, F.explode("anchors").alias("v")).distinct()
-    routes = texts.select("id", F.explode("vs").alias("v")).join(of_shard, "v").select("id", "shard").distinct()
+    routes = meets.groupBy("id", shard).agg(F.collect_set("owner").alias("owners"))
     streams = materialise(routes.join(texts.select("id", "words", F.length("words").alias("size")), "id"), "phrase-streams")
     copies = streams.groupBy("shard").agg(F.ceil(F.sum("size") / stream_bytes).cast("int").alias("copies"))
-    work = streams.join(copies, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "words")
+    work = streams.join(copies, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "words", "owners")
     work = work.unionByName(
         passages.select(shard, F.col("owner").alias("id"), "words")
         .join(copies, "shard")
-        .select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), "id", "words")
+        .select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), "id", "words", F.lit(None).cast("array<bigint>").alias("owners"))
     )
     runs = work.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_stream(window), "id bigint, s bigint, e bigint")
     runs = runs.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
