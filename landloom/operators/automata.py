@@ -104,9 +104,9 @@ def exact(cells: DataFrame, left: dict[int, int], allowed: Mapping[int, Iterable
                 values[at] = to
         return pdf.assign(v=values)[["x", "y", "v"]]
 
-    keyed = cells.withColumn("_draw", F.xxhash64(F.lit(seed), F.lit(iteration), "x", "y")).select("x", "y", F.col("v").cast("double").alias("v"), "op", "_draw")
-    out = keyed.groupBy(F.lit(0)).applyInPandas(fold, "x int, y int, v double").select("x", "y", F.col("v").cast("int").alias("new"))
-    return cells.join(out, ["x", "y"]).withColumn("v", F.col("new")).drop("new", "op")
+    keyed = cells.withColumn("_draw", F.xxhash64(F.lit(seed), F.lit(iteration), "x", "y")).select("x", "y", F.col("v").cast("double").alias("v"), "op", "_draw", F.lit(0).alias("_all"))
+    out = keyed.groupBy("_all").applyInPandas(fold, "x int, y int, v double").select("x", "y", F.col("v").cast("int").alias("new"))
+    return cells.drop("v").join(out, ["x", "y"]).withColumn("v", F.col("new")).drop("new", "op")
 
 
 def simulate(

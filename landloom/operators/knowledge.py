@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 CHUNK = "source string, text string, heading string, breadcrumb string, chunk_index int, token_count int"
 _CJK = re.compile("[一-鿿]")
@@ -110,7 +111,7 @@ def hash_embedding(text: str, size: int = 384) -> np.ndarray:
 
 
 def embed(chunks: DataFrame, size: int = 384, text: str = "text") -> DataFrame:
-    schema = chunks.drop("embedding").schema.add("embedding", "array<float>")
+    schema = chunks.drop("embedding").schema.add("embedding", ArrayType(FloatType()))
 
     def run(batches):
         for batch in batches:

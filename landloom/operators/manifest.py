@@ -92,7 +92,7 @@ def integrity(files: DataFrame, scenarios: list[str], datasets: list[str]) -> Da
         F.array(
             F.when(F.col("path").isNull(), "no_path"),
             F.when(~F.col("year").between(1900, 2100), "year_out_of_range"),
-            F.when(~F.col("scenario").isin(scenarios), "scenario_not_declared"),
+            F.when(F.col("scenario").isNotNull() & ~F.col("scenario").isin(scenarios), "scenario_not_declared"),
             F.when(~F.col("dataset").isin(datasets), "unknown_dataset"),
         )
     )
