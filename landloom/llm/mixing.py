@@ -176,7 +176,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED, **options)
     cut = F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice("_words", (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")))), " ")
     out = out.withColumn("text", F.when(F.col("_copy") > F.col("_passes"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_copy") > F.col("_passes"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
