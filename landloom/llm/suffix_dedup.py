@@ -12,9 +12,10 @@ Texts are UTF-8 bytes. Every byte covered by a ``LENGTH``-byte string that also
 4. Suffixes that share their head are neighbours in the merged order, in clusters. The windows that belong to a
    cluster's suffixes are hashed (left context included) and those met twice are repeats.
 
-A part is merged as a stream and looked at in chunks of ``CHUNK`` bytes, so memory does not follow the size of a cluster.
-A cluster longer than a chunk leaves its windows that are single within a chunk undecided; those are counted by hash in
-a second, partially aggregated step. Front coding reduces equal contexts in a run to a few bytes each.
+A part is merged as a stream and looked at in chunks of ``CHUNK`` bytes. A head with more than ``HOT`` suffixes is dealt
+to several parts by document, so neither a chunk nor a part follows the size of a cluster. A cluster longer than a chunk,
+or dealt to several parts, leaves its windows that are single within a chunk undecided; those are counted by hash in a
+second, partially aggregated step. Front coding reduces equal contexts in a run to a few bytes each.
 
 Defined results for odd input: null texts have no bytes; ids may be null or repeated, repeated rows are repeats of each
 other; texts of any length are searched whole; extra columns are ignored; an empty table gives no rows.
@@ -38,6 +39,8 @@ GRAM = 16
 RUN_BYTES = 4_000_000
 CHUNK = 2_000_000
 PART_BYTES = 24_000_000
+#: Suffixes of one head that one part may hold.
+HOT = 50_000
 _LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -217,17 +220,17 @@ def merge(runs: list):
 
 
 def _send(length: int, gram: int, parts: int, run_bytes: int):
-    """(id, text, heads that recur) -> front-coded sorted runs, dealt by head."""
+    """(id, text, heads that recur with their salts) -> front-coded sorted runs, dealt by head (hot ones by salt too)."""
 
     def flush(found):
-        for part in sorted(found):
-            entries = sorted(found[part])
-            yield part, entries[0][2], encode_run(entries)
+        for part, hot in sorted(found):
+            entries = sorted(found[part, hot])
+            yield part, hot, entries[0][2], encode_run(entries)
 
     def run(batches):
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            found: dict[int, list] = {}
+            out: tuple[list, ...] = ([], [], [], [])
+            found: dict[tuple[int, bool], list] = {}
             size = 0
 
             def emit():
@@ -239,15 +242,21 @@ def _send(length: int, gram: int, parts: int, run_bytes: int):
             for i, t, hs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 b = t.as_py().encode()
                 pos, lo, hi, heads = suffixes(b, length, gram)
-                use = np.isin(heads, hs.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                for p, a, z, part in zip(pos[use].tolist(), lo[use].tolist(), hi[use].tolist(), (heads[use] % np.uint64(parts)).tolist(), strict=True):
-                    found.setdefault(part, []).append((b[p : z + length], b[a:p], i, p))
+                known, salts = (hs.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                order = np.argsort(known.view(np.uint64))
+                known, salts = known.view(np.uint64)[order], salts[order]
+                at = np.minimum(np.searchsorted(known, heads), len(known) - 1)
+                use = known[at] == heads
+                n_salts = salts[at][use]
+                dealt = (heads[use] + (np.int64(i) % n_salts).astype(np.uint64)) % np.uint64(parts)
+                for p, a, z, part, n in zip(pos[use].tolist(), lo[use].tolist(), hi[use].tolist(), dealt.tolist(), n_salts.tolist(), strict=True):
+                    found.setdefault((part, n > 1), []).append((b[p : z + length], b[a:p], i, p))
                 size += len(b)
                 if size >= run_bytes:
                     emit()
                     size = 0
             emit()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["part", "run", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["part", "hot", "run", "block"])
 
     return run
 
@@ -268,7 +277,7 @@ def _chunk_windows(entries: list, length: int):
 
 
 def _merge_parts(length: int, gram: int, chunk: int):
-    """Blocks sorted by part -> rows (id, s, e, wh, n): repeats (n null), and undecided windows of long clusters."""
+    """Blocks sorted by part and heat -> rows (id, s, e, wh, n): repeats (n null), and undecided windows of long clusters."""
     head = _head(length, gram)
 
     def look(entries, split):
@@ -304,14 +313,14 @@ def _merge_parts(length: int, gram: int, chunk: int):
             [pa.array(ids, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(hashes, pa.int64()), pa.array(ns, pa.int64())], ["id", "s", "e", "wh", "n"]
         )
 
-    def done(blocks):
-        entries, size, split = [], 0, False
+    def done(blocks, hot):
+        entries, size, split = [], 0, hot
         for entry, lcp in merge([decode_run(b) for b in blocks]):
             fresh = lcp < head
             if size >= chunk:
                 if fresh:
                     yield look(entries, split)
-                    entries, size, split = [], 0, False
+                    entries, size, split = [], 0, hot
                 elif size >= 2 * chunk:
                     yield look(entries, True)
                     entries, size, split = [], 0, True
@@ -323,12 +332,14 @@ def _merge_parts(length: int, gram: int, chunk: int):
     def run(batches):
         now, blocks = None, []
         for batch in batches:
-            for part, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if part != now:
-                    yield from done(blocks)
-                    now, blocks = part, []
+            for part, hot, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (part, hot) != now:
+                    if now is not None:
+                        yield from done(blocks, now[1])
+                    now, blocks = (part, hot), []
                 blocks.append(block.as_py())
-        yield from done(blocks)
+        if now is not None:
+            yield from done(blocks, now[1])
 
     return run
 
@@ -349,7 +360,7 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(shas)], ["key", "n_removed", "n_spans", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES, chunk: int = CHUNK, part_bytes: int = PART_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN_BYTES, chunk: int = CHUNK, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("id")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), ident, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text"))
@@ -362,16 +373,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH, gram: i
     each = base.select("id", "h", which, F.lit(0).alias("again"), F.explode("once").alias("head")).unionByName(
         base.select("id", "h", which, F.lit(1).alias("again"), F.explode("twice").alias("head"))
     )
-    recur = each.groupBy("head").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.max("again").alias("again")).filter("a <> b or again = 1").select("head")
-    cand = each.select("head", "id", "h").join(recur, "head").groupBy("id", "h").agg(F.collect_set("head").alias("heads")).join(reps, ["id", "h"])
+    recur = each.groupBy("head").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.max("again").alias("again"), F.ceil(F.count("*") / hot).cast("bigint").alias("salts")).filter("a <> b or again = 1").select("head", "salts")
+    cand = each.select("head", "id", "h").join(recur, "head").groupBy("id", "h").agg(F.collect_set(F.struct("head", "salts")).alias("heads")).join(reps, ["id", "h"])
     cand = materialise(cand, "suffix-candidates")
     # One class member's text travels; searching uses its own number, since ids may repeat.
     texts = rows.select("id", "h", "text").join(cand, ["id", "h"]).dropDuplicates(["id", "h"]).select("key", F.xxhash64("key").alias("no"), "text", "heads")
     texts = materialise(texts, "suffix-texts")
     n = texts.agg(F.sum(F.size("heads"))).first()[0] or 0
     parts = -(-int(n) * 3 * length // 2 // part_bytes) or 1
-    runs = texts.select("no", "text", "heads").mapInArrow(_send(length, gram, parts, run_bytes), "part int, run bigint, block binary")
-    sent = runs.repartition(max(1, parts), "part").sortWithinPartitions("part", "run").select("part", "block")
+    runs = texts.select("no", "text", "heads").mapInArrow(_send(length, gram, parts, run_bytes), "part int, hot boolean, run bigint, block binary")
+    sent = runs.repartition(max(1, parts), "part").sortWithinPartitions("part", "hot", "run").select("part", "hot", "block")
     found = materialise(sent.mapInArrow(_merge_parts(length, gram, chunk), "id bigint, s bigint, e bigint, wh bigint, n bigint"), "suffix-found")
     open_ = found.filter("n is not null")
     decided = open_.groupBy("wh").agg(F.sum("n").alias("total")).filter("total > 1").select(F.col("wh").alias("d_wh"))

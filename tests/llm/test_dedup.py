@@ -125,6 +125,8 @@ def test_suffixes(docs, rows, empty):
     # Shorter strings, runs and chunks: clusters longer than a chunk go through the second step.
     small = suffix_dedup.dedup(docs, length=60, gram=8, part_bytes=50_000, run_bytes=5_000, chunk=500).collect()
     assert sorted(str(tuple(r)) for r in small) == brute_suffixes(rows, 60)
+    hot = suffix_dedup.dedup(docs, length=60, gram=8, part_bytes=50_000, run_bytes=5_000, hot=3).collect()  # heads dealt to several parts
+    assert sorted(str(tuple(r)) for r in hot) == brute_suffixes(rows, 60)
     assert suffix_dedup.dedup(empty).count() == 0
 
 
