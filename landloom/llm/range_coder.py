@@ -50,10 +50,10 @@ class _Model:
         p1 = self.p1[:n]
         self.k1 = self.lane[:n] * _SLOTS1 + (p1 * 0x9E3B >> 5 & _SLOTS1 - 1)
         self.k2 = self.lane[:n] * _SLOTS2 + (p1 * 0x9E3B + self.p2[:n] * 0x1F35B >> 4 & _SLOTS2 - 1)
-        self.q1, self.q2 = self.t1[self.k1], self.t2[self.k2]
-        self.s1, self.s2 = self.c1[self.k1], self.c2[self.k2]
+        self.q1, self.q2 = self.t1.take(self.k1), self.t2.take(self.k2)
+        self.s1, self.s2 = self.c1.take(self.k1), self.c2.take(self.k2)
         self.r2, self.r1 = self.lane[:n] * _STATES + self.s2, self.lane[:n] * _STATES + self.s1
-        self.a, self.b, self.c = self.d2[self.r2], self.d1[self.r1], self.d0[:n]
+        self.a, self.b, self.c = self.d2.take(self.r2, axis=0), self.d1.take(self.r1, axis=0), self.d0[:n]
         w2, w1 = self.w2[:n, None], self.w1[:n, None]
         mixed = self.a - self.c
         mixed *= w2
@@ -66,12 +66,13 @@ class _Model:
 
     def learn(self, n: int, symbol: np.ndarray, x: np.ndarray) -> None:
         if self.step % 4 == 0:
-            lane = self.lane[:n]
-            after = np.minimum(symbol + 1, _SYMBOLS - 1)
+            first = self.lane[:n] * _SYMBOLS + symbol
+            after = first + (symbol < _SYMBOLS - 1)
             last = symbol == _SYMBOLS - 1
 
             def given(d):
-                return np.where(last, _TOTAL, d[lane, after]) - d[lane, symbol]
+                flat = np.ascontiguousarray(d).reshape(-1)
+                return np.where(last, _TOTAL, flat.take(after)) - flat.take(first)
 
             pa, pb, pc = given(self.a), given(self.b), given(self.c)
             best2, best1 = (pa >= pb) & (pa > pc), (pb > pa) & (pb > pc)
@@ -79,10 +80,15 @@ class _Model:
             w2 += np.where(best2, 248 - w2 - w1 >> 4, -(w2 >> 5))
             w1 += np.where(best1, 248 - w2 - w1 >> 4, -(w1 >> 5))
         self.step += 1
-        target = _TARGET[symbol]
-        self.d2[self.r2] = self.a + (target - self.a >> _RATE)
-        self.d1[self.r1] = self.b + (target - self.b >> _RATE)
-        self.c += target - self.c >> _RATE
+        target = _TARGET.take(symbol, axis=0)
+        for d, rows, own in ((self.d2, self.r2, self.a), (self.d1, self.r1, self.b)):
+            move = target - own
+            move >>= _RATE
+            move += own
+            d[rows] = move
+        target -= self.c
+        target >>= _RATE
+        self.c += target
         for t, c, k, q, s in ((self.t2, self.c2, self.k2, self.q2, self.s2), (self.t1, self.c1, self.k1, self.q1, self.s1)):
             hit = q == x
             t[k] = np.where(hit | (s <= 1), x, q)
@@ -118,15 +124,16 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     out, pos = np.zeros((lanes, 3 * steps + 16), np.uint16), np.zeros(lanes, np.int64)
 
-    def shift(at):
-        """Emit settled words of the lanes ``at`` until their range is wide enough."""
+    def shift(at, n=None):
+        """Emit settled words of the lanes ``at`` (or the first n) until their range is wide enough."""
         while len(at):
-            lo, sp = low[at], span[at]
+            lo, sp = (low[at], span[at]) if n is None else (low[:n], span[:n])
+            n = None
             settled = (lo ^ (lo + sp)) < _TOP
-            need = settled | (sp <= _LOW)
-            if not need.any():
+            need = np.flatnonzero(settled | (sp <= _LOW))
+            if not len(need):
                 return
-            at, lo, sp, settled = at[need], lo[need], sp[need], settled[need]
+            at, lo, sp, settled = at.take(need), lo.take(need), sp.take(need), settled.take(need)
             sp = np.where(settled, sp, -lo & _LOW)
             out[at, pos[at]] = (lo >> _U(48)).astype(np.uint16)
             pos[at] += 1
@@ -145,12 +152,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         symbol = np.where(place < 0, 2, 3 + _BITS[np.maximum(place, 0)])
         symbol[model.q1 == x] = 1
         symbol[model.q2 == x] = 0
-        start = mixed[at, symbol]
-        end = np.where(symbol == _SYMBOLS - 1, _TOTAL, mixed[at, np.minimum(symbol + 1, _SYMBOLS - 1)])
+        flat, first = mixed.reshape(-1), at * _SYMBOLS + symbol
+        start = flat.take(first)
+        end = np.where(symbol == _SYMBOLS - 1, _TOTAL, flat.take(first + (symbol < _SYMBOLS - 1)))
         r = span[:n] >> _U(_SCALE)
         low[:n] += r * start.astype(_U)
         span[:n] = r * (end - start).astype(_U)
-        shift(at)
+        shift(at, n)
         new = np.flatnonzero(symbol == 2)
         if len(new):
             code(new, x[new].astype(_U), _U(1), _U(ID_BITS))
@@ -186,14 +194,15 @@ def decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
     for k in range(4):
         value = value << _U(16) | words[:, k].astype(_U)
 
-    def shift(at):
+    def shift(at, n=None):
         while len(at):
-            lo, sp = low[at], span[at]
+            lo, sp = (low[at], span[at]) if n is None else (low[:n], span[:n])
+            n = None
             settled = (lo ^ (lo + sp)) < _TOP
-            need = settled | (sp <= _LOW)
-            if not need.any():
+            need = np.flatnonzero(settled | (sp <= _LOW))
+            if not len(need):
                 return
-            at, lo, sp, settled = at[need], lo[need], sp[need], settled[need]
+            at, lo, sp, settled = at.take(need), lo.take(need), sp.take(need), settled.take(need)
             sp = np.where(settled, sp, -lo & _LOW)
             value[at] = value[at] << _U(16) | words[at, np.minimum(pos[at], width - 1)].astype(_U)
             pos[at] += 1
@@ -214,11 +223,12 @@ def decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
         r = span[:n] >> _U(_SCALE)
         f = np.minimum((value[:n] - low[:n]) // r, _U(_TOTAL - 1)).astype(np.int32)
         symbol = (mixed <= f[:, None]).sum(axis=1, dtype=np.int64) - 1
-        start = mixed[at, symbol]
-        end = np.where(symbol == _SYMBOLS - 1, _TOTAL, mixed[at, np.minimum(symbol + 1, _SYMBOLS - 1)])
+        flat, first = mixed.reshape(-1), at * _SYMBOLS + symbol
+        start = flat.take(first)
+        end = np.where(symbol == _SYMBOLS - 1, _TOTAL, flat.take(first + (symbol < _SYMBOLS - 1)))
         low[:n] += r * start.astype(_U)
         span[:n] = r * (end - start).astype(_U)
-        shift(at)
+        shift(at, n)
         x = np.where(symbol == 0, model.q2, model.q1)
         new = np.flatnonzero(symbol == 2)
         if len(new):
