@@ -174,7 +174,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED, **options)
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), WS, -1)
     out = out.withColumn("_words", F.when(F.col("_copy") > F.col("_passes"), words))
     cut = F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice("_words", (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")))), " ")
-    out = out.withColumn("text", F.when(F.col("_copy") > F.col("_passes"), cut).otherwise(F.col("text")))
+    # Two uses of _words keep the optimizer from moving the split into the lambda, where it would run for every part.
+    out = out.withColumn("text", F.when(F.col("_words").isNotNull() & (F.size("_words") > 0), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_copy") > F.col("_passes"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
