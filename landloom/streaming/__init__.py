@@ -1,0 +1 @@
+"""No streaming operators: the workloads here have none (see README); batch frames are the only surface."""
