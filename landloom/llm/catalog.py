@@ -76,9 +76,47 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVIN
 """
 
 
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _op3_sql() -> str:
+    from .quality_rules import _CLASSES, COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS
+
+    ws = "[\\x20\\x09-\\x0D]"
+    peel = "".join(f", l{k} AS (SELECT *, regexp_replace(left{k - 1}, '{_quoted(p)}', '', 'g') AS left{k} FROM {'f' if k == 1 else f'l{k - 1}'})" for k, (_, p) in enumerate(_CLASSES, 1))
+    n = len(_CLASSES)
+    counts = ", ".join([*(f"length(left{k - 1}) - length(left{k})" for k in range(1, n + 1)), f"length(left{n})"])
+    words = ", ".join(f"len(list_filter(w, lambda x: x = '{c}'))" for c in COMMON_WORDS)
+    sums = lambda c, m: "[" + ", ".join(f"CAST(sum({c}[{k}]) AS BIGINT)" for k in range(1, m + 1)) + "]"
+
+    def distance(p: str, q: str, m: int) -> str:
+        a, b = f"({p}[k] / list_sum({p}))", f"({q}[k] / list_sum({q}))"
+        term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({a} + {b}) / 2)) ELSE 0 END"
+        total = f"list_sum(list_transform(range(1, {m + 1}), lambda k: ({term(a)} + {term(b)}) / 2))"
+        return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest({total}, 0.0)) ELSE 0.0 END"
+
+    return f"""
+WITH f AS (SELECT doc_id, lang, t, list_filter(string_split_regex(t, '{ws}+'), lambda x: x <> '') AS w, regexp_replace(t, '{ws}+', '', 'g') AS left0,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)){peel},
+h AS (SELECT *, [{counts}] AS chars, [{words}] AS common FROM l{n}),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM f)),
+rep AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN rep USING (doc_id, s)) GROUP BY doc_id),
+ref AS (SELECT lang AS r, {sums('chars', n + 1)} AS ref_chars, {sums('common', len(COMMON_WORDS))} AS ref_common FROM h GROUP BY lang),
+j AS (SELECT h.*, coalesce(cov.n, 0) AS nr, {distance('chars', 'ref_chars', n + 1)} AS cd, {distance('common', 'ref_common', len(COMMON_WORDS))} AS wd
+  FROM h LEFT JOIN cov USING (doc_id) JOIN ref ON h.lang IS NOT DISTINCT FROM ref.r),
+b AS (SELECT *, len(w) < 50 OR 100 * nr > 50 * len(w) AS failed FROM j)
+SELECT doc_id, len(w) AS n_words, length(left0) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  nr AS n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT (length(left0) >= {MIN_CHARS} AND cd > {MAX_CHAR_DISTANCE}) AND NOT (len(w) >= {MIN_WORDS} AND list_sum(common) >= {MIN_WORDS // 10} AND wd > {MAX_WORD_DISTANCE}) AS kept,
+  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM b
+"""
+
+
 def queries():
     return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_quality_rules, op4_html_extract, op5_mixing, op6_secret_scan, op7_simhash, op8_phrase_dedup, op9_suffix_dedup, op10_decontaminate)}
 
 
 def oracle_sql():
-    return {"op10_decontaminate": OP10_SQL}
+    return {"op3_quality_rules": _op3_sql(), "op10_decontaminate": OP10_SQL}
