@@ -163,16 +163,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIU
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of each group of near-duplicates (the smallest id; null ids last, text hash among equal ids), all columns."""
-    fp = materialise(fingerprints(docs, id_col), "simhash-fps")
-    tagged = _grouped(fp, radius, tile).select(F.col("fp").alias("c_fp"), "root")
-    rows = fp.join(tagged, F.col("fp") == F.col("c_fp")).select("doc_id", "h", "root")
+def without_later(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The first row of each group, all columns; ``rows`` (doc_id, h, root) has a row for each of ``docs``."""
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
     best = rows.groupBy("root").agg(F.min(place).alias("best")).select(F.col("root").alias("b_root"), "best")
     bad = rows.join(best, F.col("root") == F.col("b_root")).filter(~place.eqNullSafe(F.col("best"))).select("doc_id", "h")
     out = without(docs, bad, {"doc_id": F.col(id_col), "h": _text_hash()})
     # Repeated rows are equal in id and text; only where there are any does the result need a pass over them.
-    if fp.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+    if rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         out = out.withColumn("_h", _text_hash()).dropDuplicates([id_col, "_h"]).drop("_h")
     return out
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each group of near-duplicates (the smallest id; null ids last, text hash among equal ids), all columns."""
+    fp = materialise(fingerprints(docs, id_col), "simhash-fps")
+    tagged = _grouped(fp, radius, tile).select(F.col("fp").alias("c_fp"), "root")
+    rows = fp.join(tagged, F.col("fp") == F.col("c_fp")).select("doc_id", "h", "root")
+    return without_later(docs, rows, id_col)

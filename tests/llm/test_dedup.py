@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from landloom.llm import phrase_dedup, simhash, suffix_dedup
+from landloom.llm import near_copies, phrase_dedup, simhash, suffix_dedup
 from landloom.llm.components import components
 
 LAST = (1 << 63) - 1
@@ -64,6 +64,54 @@ def test_keep_first(docs, rows, empty):
     assert simhash.keep_first(empty).count() == 0
 
 
+def brute_near(rows, similarity=0.8):
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+
+    sets = [grams(r[1]) for r in rows]
+    near = [(i, k) for i, a in enumerate(sets) for k, b in enumerate(sets[:i]) if a == b or (a & b and len(a & b) >= round(similarity * len(a | b), 9))]
+    groups = {}
+    for k, g in brute_components(range(len(rows)), near).items():
+        groups.setdefault(g, []).append(rows[k][0])
+    return sorted((min(g, key=lambda i: (i is None, i)) for g in groups.values()), key=str)
+
+
+def test_keep_distinct(spark, docs, rows, empty):
+    """The pipeline's stage: copies with a few edits in 100 to 300 words go, which a radius of 3 bits keeps."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    more = list(rows)
+    for k in range(12):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(100, 300))]
+        for c in range(4):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), c * len(copy) // 100):
+                copy[at] = f"edit{c}"
+            more.append((2000 + 10 * k + c, " ".join(copy), *rows[0][2:]))
+    df = spark.createDataFrame(more, docs.schema).repartition(3)
+    want = brute_near(more)
+    for got in (corpus_pipeline.near_duplicates(spark, df, ""), near_copies.keep_distinct(df, tile=300)):  # the second cuts components into tiles
+        assert got.columns == df.columns
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == want
+    assert simhash.keep_first(df).count() > len(want)
+    assert near_copies.keep_distinct(empty).count() == 0
+
+
+def test_spanning():
+    rng = random.Random(4)
+    for _ in range(60):
+        sets = [set(rng.sample(range(14), rng.randint(0, 12))) for _ in range(rng.randint(2, 14))]
+        grams = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+        near = [(i, k) for i, a in enumerate(sets) for k, b in enumerate(sets[:i]) if a & b and len(a & b) >= round(0.6 * len(a | b), 9)]
+        got = near_copies.spanning(grams, 0.6)
+        assert brute_components(range(len(sets)), got) == brute_components(range(len(sets)), near)
+        left = len(sets) // 2
+        across = [(i, k) for i, k in near if (i < left) != (k < left)]
+        assert brute_components(range(len(sets)), near_copies.spanning(grams, 0.6, left)) == brute_components(range(len(sets)), across)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(k, k + 1) for k in range(0, 60)] + [(500, k) for k in range(501, 540)] + [(rng.randint(1000, 1200), rng.randint(1000, 1200)) for _ in range(150)]
