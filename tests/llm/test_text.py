@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -35,6 +36,20 @@ def test_quality(spark, docs, rows, empty):
     assert quality_rules.quality_rules(empty).count() == 0 and quality_rules.keep(empty).count() == 0
 
 
+def test_no_common_words(spark):
+    """The pipeline's stage rejects a long text without common words, and with few; the clean ones stay."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+
+    def prose(share, n):
+        return " ".join(rng.choice(quality_rules.COMMON_WORDS[:10]) if rng.random() < share else "".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+
+    rows = [(k, prose(0.3, 150), "en") for k in range(40)] + [(100, prose(0, 150), "en"), (101, prose(0.01, 300), "en"), (102, prose(0, 99), "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, df, "").collect()} == {r[0] for r in rows} - {100, 101}
+
+
 def test_divergence_by_hand(spark):
     """Distances against the formula on a two-document language."""
     a, b = "the of " * 60, "AAAA BBBB " * 60
