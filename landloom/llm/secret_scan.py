@@ -4,7 +4,7 @@ Strong findings (``assign``, ``access``, ``hex``) are reported by themselves. We
 are reported only where complementary parts lie in one scope:
 
 * ``id``: an access identifier (a user, login, client or account assignment, or an e-mail used as a login);
-* ``opaque``: a lone token of 16 to 200 base64-like characters with letters of both cases and digits;
+* ``opaque``: a lone token of 16 or more base64-like characters with letters of both cases and digits, of any length;
 * ``endpoint``: a URL or a ``host``/``server``/``endpoint`` assignment.
 
 A scope is ``SCOPE`` code points. Parts are dealt to the scope-sized cells they touch or border, the cells are
@@ -38,9 +38,11 @@ BASE = ("assign", "access", "hex")
 #: Weak candidates.
 WEAK = {
     "id": r"""(?<![A-Za-z0-9_])(?i:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,64}""",
-    "opaque": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]{0,199}[0-9])(?=[A-Za-z0-9+/_-]{0,199}[A-Z])(?=[A-Za-z0-9+/_-]{0,199}[a-z])[A-Za-z0-9+/_-]{16,200}={0,2}(?![A-Za-z0-9+/=_-])",
+    "opaque": r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/=_-])",
     "endpoint": r"""(?<![A-Za-z0-9])(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/_.?&=-]*|(?i:host(?:name)?|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?)""",
 }
+#: What an opaque token has to hold somewhere, asked of the whole match.
+MIXED = ("[0-9]", "[A-Z]", "[a-z]")
 KINDS = (*BASE, *WEAK)
 SCOPE = 200
 
@@ -81,6 +83,11 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per row: strong spans and weak candidate spans."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     t = F.col("t")
+
+    def mixed(x):
+        a, b, c = (x["m"].rlike(p) for p in MIXED)
+        return a & b & c
+
     df = df.select(
         "doc_id",
         F.xxhash64("t").alias("h"),
@@ -88,7 +95,7 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.filter(_spans(t, "assign", ASSIGN), lambda x: F.length(F.regexp_replace(x["m"], ASSIGN_VALUE, "")) >= 6).alias("assign"),
         _spans(t, "access", ACCESS).alias("access"),
         _spans(t, "hex", HEX).alias("hex"),
-        *[_spans(t, k, p).alias(k) for k, p in WEAK.items()],
+        *[(F.filter(_spans(t, k, p), mixed) if k == "opaque" else _spans(t, k, p)).alias(k) for k, p in WEAK.items()],
     )
     bare = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
     return df.select(

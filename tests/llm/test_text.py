@@ -99,6 +99,18 @@ def test_secrets(spark, empty):
     assert secret_scan.secret_scan(empty).count() == 0
 
 
+def spans_of(spark, *texts):
+    got = secret_scan.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return [set(filter(None, r["spans"].split(","))) for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def test_long_secret(spark):
+    """A token has no longest length, and its digit and cases may come late."""
+    late = "z" * 300 + "B7"
+    got = spans_of(spark, f"user = alice {'Zq9x' * 60}== end", f"user = alice {late} end", f"{late} far user = alice", f"user = alice {'z' * 300}")
+    assert got == [{"id:0:12", "opaque:13:255"}, {"id:0:12", "opaque:13:315"}, {"opaque:0:302", "id:307:319"}, set()]
+
+
 def test_decontaminate(spark, docs, rows, empty):
     long = max((r[1] or "" for r in rows), key=len).split()
     items = [(0, " ".join(long[100:140])), (1, " ".join([*long[200:230], "new", "words", "here"])), (2, " ".join([*long[300:315], *"quite other words make the rest of this".split()])), (3, "two words"), (4, None), (5, ""), (0, " ".join(long[100:140]))]
