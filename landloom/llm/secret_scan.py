@@ -115,7 +115,7 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     span = rows.select(*keys, F.explode(F.concat("base", "weak")).alias("x")).select(*keys, "x.s", "x.e", "x.k")
     rank = {k: KINDS.index(k) for k in KINDS}
     # A candidate asks in the cells it touches; a part answers in those and the two next to them.
-    ask = span.filter(F.col("k") >= len(BASE)).withColumn("cell", F.floor(F.col("s") / scope))
+    ask = span.filter(F.col("k") >= len(BASE)).withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / scope), F.floor((F.col("e") - 1) / scope))))
     say = span.withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("s") / scope) - 2, F.floor((F.col("e") - 1) / scope) + 2))
     ).select(*[F.col(c).alias(f"o_{c}") for c in (*keys, "s", "e", "k", "cell")])

@@ -111,6 +111,13 @@ def test_long_secret(spark):
     assert got == [{"id:0:12", "opaque:13:255"}, {"id:0:12", "opaque:13:315"}, {"opaque:0:302", "id:307:319"}, set()]
 
 
+def test_long_endpoint(spark):
+    """A long URL meets the partners that follow its end."""
+    url = "https://example.org/" + "p" * 680
+    got = spans_of(spark, f"{url} secret: abcdef12 user = alice", f"{url[:450]}{' ' * 160}Zq9xLm3pRt7vKw2n user = alice")
+    assert got[0] == {"endpoint:0:700", "assign:701:717", "id:718:730"} and got[1] == {"endpoint:0:450", "opaque:610:626", "id:627:639"}
+
+
 def test_decontaminate(spark, docs, rows, empty):
     long = max((r[1] or "" for r in rows), key=len).split()
     items = [(0, " ".join(long[100:140])), (1, " ".join([*long[200:230], "new", "words", "here"])), (2, " ".join([*long[300:315], *"quite other words make the rest of this".split()])), (3, "two words"), (4, None), (5, ""), (0, " ".join(long[100:140]))]
