@@ -1,6 +1,6 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search [native].
+"""Benchmark decontamination by bottom-k MinHash containment search, k set by the item's size [native].
 
-Items are partitioned by size: those whose number of distinct five-word shingles lies in [2^c, 2^(c+1)) form class c.
+Class c of an item (its number of distinct five-word shingles lies in [2^c, 2^(c+1))) is carried along but parts no join.
 The sketch of an item is its ``floor((1 - t) * n) + 1`` smallest shingle hashes (a bottom-k MinHash, with k set by the
 size): a document that contains a share ``t`` of the item's n shingles misses at most ``(1 - t) * n`` of them, so it
 must hold at least one hash of the sketch. The search therefore has no false negatives at any document length, which
