@@ -9,13 +9,14 @@ Texts are UTF-8 bytes. Every byte covered by a ``LENGTH``-byte string that also
 3. Every task sorts its suffixes and sends them as front-coded runs (shared-prefix length and the bytes after it), dealt
    by head. The receiver merges a part's runs with a loser tree that carries the length each entry shares with the last
    winner: unequal lengths decide without touching a byte, equal ones compare from there on.
-4. Suffixes that share their head are neighbours in the merged order, in clusters. The windows that belong to a
-   cluster's suffixes are hashed (left context included) and those met twice are repeats.
+4. The merged order decides what is repeated: the lengths that neighbours share, which the merge yields, and the same
+   for the left contexts, tell for every window whether another entry has it (``repeated``). Bytes decide, not hashes.
 
-A part is merged as a stream and looked at in chunks of ``CHUNK`` bytes. A head with more than ``HOT`` suffixes is dealt
-to several parts by document, so neither a chunk nor a part follows the size of a cluster. A cluster longer than a chunk,
-or dealt to several parts, leaves its windows that are single within a chunk undecided; those are counted by hash in a
-second, partially aggregated step. Front coding reduces equal contexts in a run to a few bytes each.
+A part is merged as a stream and looked at in chunks of ``CHUNK`` bytes. A head with more than ``HOT`` suffixes (a suffix
+with its context is at most 1.5 x ``LENGTH`` bytes) is dealt to several parts by document, so neither a chunk nor a part
+follows the size of a cluster. A cluster longer than a chunk, or dealt to several parts, leaves its windows that are single
+within a chunk undecided; those alone are counted by a 128-bit cryptographic digest of their bytes in a second, partially
+aggregated step. Front coding reduces equal contexts in a run to a few bytes each.
 
 Defined results for odd input: null texts have no bytes; ids may be null or repeated, repeated rows are repeats of each
 other; texts of any length are searched whole; extra columns are ignored; an empty table gives no rows.
@@ -40,7 +41,7 @@ RUN_BYTES = 4_000_000
 CHUNK = 2_000_000
 PART_BYTES = 24_000_000
 #: Suffixes of one head that one part may hold.
-HOT = 50_000
+HOT = 16_000
 _LAST = (1 << 63) - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -248,7 +249,7 @@ def _send(length: int, gram: int, parts: int, run_bytes: int):
                 at = np.minimum(np.searchsorted(known, heads), len(known) - 1)
                 use = known[at] == heads
                 n_salts = salts[at][use]
-                dealt = (heads[use] + (np.int64(i) % n_salts).astype(np.uint64)) % np.uint64(parts)
+                dealt = mix(heads[use] + (np.int64(i) % n_salts).astype(np.uint64)) % np.uint64(parts)
                 for p, a, z, part, n in zip(pos[use].tolist(), lo[use].tolist(), hi[use].tolist(), dealt.tolist(), n_salts.tolist(), strict=True):
                     found.setdefault((part, n > 1), []).append((b[p : z + length], b[a:p], i, p))
                 size += len(b)
@@ -261,73 +262,92 @@ def _send(length: int, gram: int, parts: int, run_bytes: int):
     return run
 
 
-def _chunk_windows(entries: list, length: int):
-    """(hash, entry number, window start) of all windows of the entries' contexts."""
-    texts = [left + suffix for suffix, _, left, _, _ in entries]
-    sizes = np.array([len(t) for t in texts])
-    sums = prefix(_BYTE[np.frombuffer(b"".join(texts), np.uint8)])
-    counts = sizes - length + 1
-    starts = np.cumsum(sizes) - sizes
-    entry = np.repeat(np.arange(len(texts)), counts)
-    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts[entry] + offset
-    wh = mix((sums[at + length] - sums[at]) * _inverse(at))
-    first = np.array([pos - len(left) for _, _, left, _, pos in entries])
-    return wh, entry, first[entry] + offset
+def repeated(entries: list, lcps: np.ndarray, length: int, most: int):
+    """(mask, valid): for neighbours of the merged order, whether the window that starts o bytes before entry i's suffix
+    also stands at another entry, for every i and every o from 0 to ``most``; and whether entry i has such a window.
+
+    ``lcps[i]`` is what entry i's suffix shares with the one before it. A window at o has ``length - o`` bytes of the
+    suffix and o of the left context. The entries that share the former are a run of the merged order, cut where a
+    shared prefix is shorter; those that share the latter are a run of the order by reversed context, cut likewise. Two
+    windows are equal when both runs are the same. No byte is compared again and nothing is hashed.
+    """
+    m = len(entries)
+    back = [e[2][::-1] for e in entries]
+    by_left = np.array(sorted(range(m), key=back.__getitem__), np.int64)
+    lcs = np.zeros(m, np.int64)
+    for k in range(1, m):
+        lcs[k] = shared(back[by_left[k - 1]], back[by_left[k]], 0)
+    right_len = np.array([len(e[0]) for e in entries], np.int64)
+    left_len = np.array([len(b) for b in back], np.int64)
+    mask, valid = np.zeros((m, most + 1), bool), np.zeros((m, most + 1), bool)
+    left_run = np.empty(m, np.int64)
+    for o in range(most + 1):
+        have = (right_len >= length - o) & (left_len >= o)
+        valid[:, o] = have
+        left_run[by_left] = np.cumsum(lcs < o)
+        at = np.flatnonzero(have)
+        run = (np.cumsum(lcps < length - o) * (m + 1) + left_run)[at]
+        order = np.argsort(run, kind="stable")
+        same = run[order][1:] == run[order][:-1]
+        mask[at[order], o] = np.append(same, False) | np.append(False, same)
+    return mask, valid
 
 
 def _merge_parts(length: int, gram: int, chunk: int):
     """Blocks sorted by part and heat -> rows (id, s, e, wh, n): repeats (n null), and undecided windows of long clusters."""
-    head = _head(length, gram)
+    head, most = _head(length, gram), length // 2 - gram
 
-    def look(entries, split):
-        wh, entry, start = _chunk_windows(entries, length)
-        values, inverse, counts = np.unique(wh, return_inverse=True, return_counts=True)
-        twice = counts[inverse] > 1
-        docs = np.array([e[3] for e in entries])
-        # Runs of repeated windows of one context: neighbours in the arrays with neighbouring starts.
-        a, b = spans(np.concatenate((twice, [False]))[:-1]) if len(twice) else (np.zeros(0, int),) * 2
-        ids, s, e, hashes, ns = [], [], [], [], []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            cut = [x, *(x + 1 + np.flatnonzero(np.diff(entry[x:y]))).tolist(), y]
-            for u, v in zip(cut[:-1], cut[1:], strict=True):
-                ids.append(int(docs[entry[u]]))
-                s.append(int(start[u]))
-                e.append(int(start[v - 1]) + length)
-                hashes.append(None)
-                ns.append(None)
-        if split:
-            for k in np.flatnonzero(~twice).tolist():
-                ids.append(int(docs[entry[k]]))
-                s.append(int(start[k]))
-                e.append(int(start[k]) + length)
-                hashes.append(int(wh[k : k + 1].view(np.int64)[0]))
-                ns.append(1)
-            for v in values[counts > 1].view(np.int64).tolist():
-                ids.append(None)
-                s.append(None)
-                e.append(None)
-                hashes.append(v)
-                ns.append(2)
+    def batch_of(ids, s, e, hashes, ns):
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(hashes, pa.int64()), pa.array(ns, pa.int64())], ["id", "s", "e", "wh", "n"]
+            [pa.array(ids, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(hashes, pa.binary()), pa.array(ns, pa.int64())], ["id", "s", "e", "wh", "n"]
         )
 
+    def look(entries, lcps, split):
+        mask, valid = repeated(entries, np.array(lcps, np.int64), length, most)
+        docs, pos = (np.array([e[k] for e in entries], np.int64) for k in (3, 4))
+        # Runs of offsets whose windows are repeated are runs of removed bytes.
+        edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, low), (_, high) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        none = [None] * len(row)
+        yield batch_of(docs[row], pos[row] - high + 1, pos[row] - low + length, none, none)
+        if not split:
+            return
+        # Undecided windows go on by a 128-bit cryptographic digest of their bytes; a repeated one stands for its like.
+        def digest(i, o):
+            suffix, _, left, _, _ = entries[i]
+            return hashlib.blake2b(left[len(left) - o :] + suffix[: length - o], digest_size=16).digest()
+
+        i, o = np.nonzero(valid & ~mask)
+        for a in range(0, len(i), 100_000):
+            x, y = i[a : a + 100_000], o[a : a + 100_000]
+            start = pos[x] - y
+            yield batch_of(docs[x], start, start + length, list(map(digest, x.tolist(), y.tolist())), np.ones(len(x), np.int64))
+        i, o = np.nonzero(mask)
+        seen: set[bytes] = set()
+        for x, y in zip(i.tolist(), o.tolist(), strict=True):
+            if lcps[x] == len(entries[x][0]) and x and entries[x - 1][2] == entries[x][2] and len(entries[x - 1][0]) == lcps[x]:
+                continue  # the entry before is the same in full and has said so
+            seen.add(digest(x, y))
+        if seen:
+            nothing = [None] * len(seen)
+            yield batch_of(nothing, nothing, nothing, sorted(seen), [2] * len(seen))
+
     def done(blocks, hot):
-        entries, size, split = [], 0, hot
+        entries, lcps, size, split = [], [], 0, hot
         for entry, lcp in merge([decode_run(b) for b in blocks]):
             fresh = lcp < head
             if size >= chunk:
                 if fresh:
-                    yield look(entries, split)
-                    entries, size, split = [], 0, hot
+                    yield from look(entries, lcps, split)
+                    entries, lcps, size, split = [], [], 0, hot
                 elif size >= 2 * chunk:
-                    yield look(entries, True)
-                    entries, size, split = [], 0, True
+                    yield from look(entries, lcps, True)
+                    entries, lcps, size, split = [], [], 0, True
+            lcps.append(lcp if entries else 0)
             entries.append(entry)
             size += len(entry[0]) + len(entry[2])
         if entries:
-            yield look(entries, split)
+            yield from look(entries, lcps, split)
 
     def run(batches):
         now, blocks = None, []
@@ -383,13 +403,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH, gram: i
     parts = -(-int(n) * 3 * length // 2 // part_bytes) or 1
     runs = texts.select("no", "text", "heads").mapInArrow(_send(length, gram, parts, run_bytes), "part int, hot boolean, run bigint, block binary")
     sent = runs.repartition(max(1, parts), "part").sortWithinPartitions("part", "hot", "run").select("part", "hot", "block")
-    found = materialise(sent.mapInArrow(_merge_parts(length, gram, chunk), "id bigint, s bigint, e bigint, wh bigint, n bigint"), "suffix-found")
+    found = materialise(sent.mapInArrow(_merge_parts(length, gram, chunk), "id bigint, s bigint, e bigint, wh binary, n bigint"), "suffix-found")
     open_ = found.filter("n is not null")
     decided = open_.groupBy("wh").agg(F.sum("n").alias("total")).filter("total > 1").select(F.col("wh").alias("d_wh"))
     late = open_.filter("id is not null").join(decided, F.col("wh") == F.col("d_wh")).select("id", "s", "e")
     spans_ = found.filter("n is null").select("id", "s", "e").unionByName(late).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     cut = texts.select("key", "no", "text").join(spans_, F.col("no") == F.col("id")).select("key", "text", "runs").mapInArrow(_cut, "key binary, n_removed bigint, n_spans bigint, kept_sha256 string")
-    by_class = classes.select("key", "members").join(cut, "key", "left")
+    # A table of its own, so that the last join has two plain shuffles and adaptive execution can split a hot text's copies.
+    by_class = materialise(classes.select("key", "members").join(cut, "key", "left").filter("members > 1 or n_removed is not null"), "suffix-classes-done")
     out = base.select("doc_id", "key", "n_bytes", "sha").join(by_class, "key", "left")
     copy = F.coalesce(F.col("members") > 1, F.lit(False))
     return out.select(
