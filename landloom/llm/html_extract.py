@@ -3,11 +3,13 @@
 A page is read once into blocks (runs of text between block-level tags) with their place in the element tree. A small
 logistic classifier gives every block a probability of being main text; the two label costs, -log p and -log(1 - p),
 become the capacities of its edges to the terminals. Neighbours in page order and blocks that stand near each other in
-the tree are joined by smoothness edges. Maximum flow then gives the labelling of least total cost: the blocks still
+the tree are joined by smoothness edges, which weigh about as much as the classifier's opinion of a block without marks:
+a short unmarked block goes with its neighbours, a marked one (-9) is beyond their reach. Maximum flow then gives the labelling of least total cost: the blocks still
 reachable from the source are main text.
 
 Defined results for odd input: null or blank html gives text "" and 0 characters; malformed markup is read leniently
-(missing end tags, stray end tags, a tag cut off at the end); white space inside a block becomes one space and blocks
+(missing end tags, stray end tags, a tag cut off at the end, quotes never closed; an element without text content that is
+never closed loses its tag alone, but an unclosed script or style runs to the page's end, and a head to its body); white space inside a block becomes one space and blocks
 are joined by one line feed; repeated rows each get a row; extra columns are ignored. Nothing is cut off or capped.
 """
 
@@ -22,17 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: One attribute: a name, and a value in quotes or bare (a quote inside a bare value, or one never closed, is a character).
+_ATTRIBUTE = r"[^\s/>=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*))?"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|head|select|textarea|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/](?:[^>]*)(?:>|\Z)"
+    rf"|<(/?)([A-Za-z][^\s/>]*)((?:[\s/=]+|{_ATTRIBUTE})*+)>"
+    r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[A-Za-z][^<>]*(?:>|\Z)",
-    re.S | re.I,
+    re.S,
 )
-_CUE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_NAMED = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
+#: Elements whose content is no text of the page. The first hold anything up to their end tag, or the page's.
+RAW = set("script style".split())
+DROP = set("noscript template svg iframe object head title select textarea button".split())
 #: HTML's block-level elements, and those that hold no main text.
 BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -65,19 +71,23 @@ WEIGHTS = {
     "sentence": 0.5,
 }
 #: Smoothness: between neighbours in page order, and between near blocks of the tree (divided by their distance).
-ADJACENT = 0.4
-PROXIMITY = 0.4
+ADJACENT = 1.2
+PROXIMITY = 1.2
 
-_FIRST = re.compile(r"[^A-Za-z0-9]+")
+_PARTS = re.compile(r"[^A-Za-z0-9]+")
 
 
-def _cues(attributes: str) -> tuple[bool, bool, bool]:
-    away = home = False
-    for m in _CUE.finditer(attributes):
-        parts = set(_FIRST.split(m.group(1).lower()))
-        away |= not parts.isdisjoint(AWAY_CUES)
-        home |= not parts.isdisjoint(HOME_CUES)
-    return away, home, bool(_HIDDEN.search(attributes))
+def _cues(attributes: str, here: bool) -> tuple[bool, bool, bool]:
+    """(away, home, hidden) by the attributes, read by name; a header's name says nothing within an article (``here``)."""
+    away = home = hidden = False
+    for m in _NAMED.finditer(attributes):
+        name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").strip().lower()
+        if name in ("class", "id", "role"):
+            parts = set(_PARTS.split(value))
+            away |= not parts.isdisjoint(AWAY_CUES - {"header", "masthead"} if here else AWAY_CUES)
+            home |= not parts.isdisjoint(HOME_CUES)
+        hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and bool(_NO_DISPLAY.search(value)))
+    return away, home, hidden
 
 
 def blocks(page: str) -> list[tuple[str, float, int, int]]:
@@ -104,19 +114,30 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
         texts.clear()
         linked.clear()
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
             piece = page[at : m.start()]
             texts.append(piece)
             if in_link:
                 linked.append(piece)
         at = m.end()
-        name = m.group(3)
-        if name is None:
-            if m.group(1):
-                texts.append(" ")
+        if m.group(2) is None:
+            continue
+        tag, closing, attributes = m.group(2).lower(), bool(m.group(1)), m.group(3)
+        if tag in RAW or tag in DROP:
+            if closing or attributes.endswith("/"):
+                continue
+            texts.append(" ")
+            if tag not in unclosed:
+                end = re.compile(rf"</{tag}\s*>|(?=<body\b)" if tag == "head" else rf"</{tag}\s*>", re.I).search(page, at)
+                if end is not None:
+                    at = end.end()
+                else:
+                    unclosed.add(tag)  # not looked for again: the cost stays in proportion to the page
+            if tag in unclosed and tag in RAW:
+                at = len(page)
             continue
-        tag, closing = name.lower(), bool(m.group(2))
         if tag == "a":
             in_link = not closing
             continue
@@ -133,14 +154,14 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
                     del stack[k:]
                     break
             continue
-        if tag in VOID or m.group(4).endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if stack[-1][0] == "p" or (tag == "li" and stack[-1][0] == "li"):
             stack.pop()
         _, _, home, home_cue, away, hidden = stack[-1]
-        a, h, hid = _cues(m.group(4)) if m.group(4) else (False, False, False)
-        made += 1
         here = home or tag in HOME
+        a, h, hid = _cues(attributes, here) if attributes else (False, False, False)
+        made += 1
         stack.append((tag, made, here, home_cue or h, away or tag in AWAY or a or (tag == "header" and not here), hidden or hid))
     if at < len(page):
         texts.append(page[at:])

@@ -1,6 +1,7 @@
 """Quality rules, secrets, decontamination, mixing, toxicity, extraction and the pipeline."""
 
 import hashlib
+import html.parser
 import math
 import random
 import re
@@ -257,6 +258,79 @@ def test_extract(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article style="overflow:hidden"><p>Some text.</p></article>', "Some text."),
+        ('<article><div aria-hidden="false"><p>Some text.</p></div><p hidden>No.</p><p aria-hidden=true>No.</p><p style="display: none">No.</p></article>', "Some text."),
+        ("<article><p title=it's>First</p><p>I don't know</p></article>", "First\nI don't know"),
+        ('<article><header class="article-header"><h1>Title</h1></header><p>Text here.</p></article><header><p>Site.</p></header>', "Title\nText here."),
+        ("<head><title>t</title><body><article><p>Text here.</p></article>", "Text here."),
+        ('<article><p>Before <svg width="1"/> after.</p><p>More text.</p></article>', "Before after.\nMore text."),
+        ("<article><p>One.</p><button>go<p>Two.</p></article>", "One.\ngo\nTwo."),
+        ("<article><p>One.</p><script>if (a < b) {", "One."),
+        ('<article><p data-x="never closed>Text here.</p></article>', "Text here."),
+    ],
+)
+def test_odd_markup(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_cut_against_threshold():
+    """Pages without article or main: short blocks between paragraphs, and a sentence among links, go with their neighbours."""
+    prose = "<p>A paragraph of ten words or more, that ends with a full stop.</p>"
+    menu = "".join(f"<div><a href=/{k}>Link {k}</a></div>" for k in range(6))
+    page = f"<body>{menu}<div>Latest news from our readers today.</div>{menu}<div>{prose * 3}<div>Total 27</div>{prose * 3}<div>In brief</div>{prose * 2}</div></body>"
+    found = html_extract.blocks(page)
+    cut, threshold = html_extract.label(found), [b[1] > 0 for b in found]
+    want = ["paragraph" in b[0] or b[0] in ("Total 27", "In brief") for b in found]
+    assert cut == want != threshold
+
+
+class _Plain(html.parser.HTMLParser):
+    """Text of the paragraphs and headings within article, on well-formed pages."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1"):
+            self.out.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1"):
+            self.out.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.out[-1] += data
+
+
+def test_extract_by_brute_force():
+    rng = random.Random(5)
+    words = "alpha beta g&amp;mma d&eacute;lta &lt;eps&gt; zeta &#233;ta theta".split()
+
+    def prose(n):
+        return " ".join(rng.choices(words, k=n)) + rng.choice([".", "", "\n"])
+
+    for _ in range(40):
+        body = "".join(f"<p>{prose(rng.randint(1, 30))} <b>{prose(2)}</b></p>" for _ in range(rng.randint(1, 8)))
+        page = f"<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><div class=ad>{prose(9)}</div><article><h1>{prose(3)}</h1>{body}</article><footer>{prose(12)}</footer></body></html>"
+        plain = _Plain()
+        plain.feed(page)
+        want = [" ".join(x.split()) for x in plain.out]
+        assert html_extract.main_text(page) == "\n".join(x for x in want if x)
+
+
+def test_long_and_deep_pages():
+    assert html_extract.main_text("<div>" * 3000 + "<article><p>Deep text.</p></article>") == "Deep text."
+    many = html_extract.main_text("<article>" + "<p>Text of a paragraph.</p>" * 5000 + "</article>")
+    assert many.count("\n") == 4999
+
+
 def test_minimum_cut_is_minimal():
     import itertools
     import random
