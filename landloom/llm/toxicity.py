@@ -1,13 +1,17 @@
 """Toxicity by a counterfactually regularised classifier.
 
-Features are the presence of word hashes, so a score does not depend on a text's length. Words are chosen by their
-chi-squared association with the label in the training rows, and a logistic model over them is fitted with a second
-loss: for every training text that names a group, the text with its identity term swapped for others must get the same
-score. The squared difference of the two scores is penalised, which drives what the model gives to identity terms
-towards a common value and so keeps neutral mentions of a group from being marked.
-
-Training uses at most ``MAX_TRAIN`` labelled rows (the lowest seeded hashes of their ids; a documented bound), collected as
-hash lists, never as texts. Scoring covers every whole text. Labels, language, source and id are never inputs of a score.
+Features are the presence of word hashes, so a score does not depend on a text's length; identity terms have places of
+their own beyond the hashes and share none with a word. Words are chosen by their chi-squared association with the label
+in the training rows, and a logistic model over them is fitted with a second loss: a labelled text and its counterfactual
+must get the same score. Counterfactuals of a text that names a group have the term swapped for others of its kind;
+any other text gets a term inserted, and that term swapped, so that the penalty has rows whatever the corpus names; the
+texts with an inserted term are training rows too, under the label of the text. The squared difference of the two scores
+is penalised, which drives what the model gives to identity terms towards nothing and keeps neutral mentions unmarked.
+
+Training uses at most ``MAX_TRAIN`` labelled rows (the lowest seeded hashes of their ids; a documented bound). Words are
+counted and chosen by DataFrame aggregation; the driver gets the chosen words and, of each training row, which of them it
+holds, never texts or whole word lists. Scoring covers every whole text. Labels, language, source and id are never inputs
+of a score.
 
 Defined results for odd input: null and empty texts score by the intercept alone; repeated rows score alike; a null id
 is held out as the text "" would be; rows with a null label are no training rows, repeated label rows vote by their
@@ -24,32 +28,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_table, materialise
+
 #: Production parameters.
 MAX_TRAIN = 20_000
 BUCKETS = 1 << 20
 MIN_DOCS = 5
 MIN_CHI2 = 30.0
 MAX_FEATURES = 4096
-FAIRNESS = 4.0
+FAIRNESS = 20.0
 RIDGE = 1e-3
 STEPS = 400
 
-#: Identity terms by kind; a term may be swapped for any other of its kind.
+#: Identity terms by kind and language; a term may be swapped for any other of its kind.
 IDENTITY = {
     "gender": "woman women man men girl girls boy boys female male transgender nonbinary".split(),
     "faith": "christian christians muslim muslims jewish jews hindu hindus buddhist buddhists atheist atheists catholic catholics".split(),
     "origin": "black white asian african european american latino mexican chinese indian arab immigrant immigrants refugee refugees".split(),
     "orientation": "gay lesbian straight bisexual queer homosexual heterosexual".split(),
     "body": "disabled blind deaf autistic old young elderly".split(),
+    "gender de": "frau frauen mann männer mädchen junge jungen weiblich männlich".split(),
+    "faith de": "christ christen muslime jude juden hindus buddhisten atheisten katholiken".split(),
+    "origin de": "schwarze weiße asiaten afrikaner europäer amerikaner chinesen inder araber einwanderer flüchtlinge ausländer".split(),
+    "orientation de": "schwul schwule lesbisch lesben bisexuell homosexuell heterosexuell".split(),
+    "body de": "behindert behinderte blinde gehörlos alte junger ältere".split(),
+    "gender fr": "femme femmes homme hommes fille filles garçon garçons féminin masculin".split(),
+    "faith fr": "chrétien chrétiens musulman musulmans juif juifs hindous bouddhistes athées catholiques".split(),
+    "origin fr": "noir noirs blanc blancs asiatique africain européen américain chinois indien arabe immigré immigrés réfugiés".split(),
+    "orientation fr": "lesbienne lesbiennes hétérosexuel homosexuel bisexuel".split(),
+    "body fr": "handicapé handicapés aveugle sourd vieux jeune".split(),
+    "gender es": "mujer mujeres hombre hombres niña niñas niño niños femenino masculino".split(),
+    "faith es": "cristiano cristianos musulmán musulmanes judío judíos hindúes budistas ateos católicos".split(),
+    "origin es": "negro negros blanco blancos asiático africano europeo americano chino indio árabe inmigrante inmigrantes refugiados".split(),
+    "orientation es": "lesbiana lesbianas heterosexual bisexuales homosexuales".split(),
+    "body es": "discapacitado discapacitados ciego sordo viejo joven".split(),
 }
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&+-_=/\\~`"
 
 
+#: Places of identity terms, beyond all hashes, and the kind a term is swapped in (a term of two kinds has the first).
+PLACE = {w: BUCKETS + k for k, w in enumerate(sorted({w for words in IDENTITY.values() for w in words}))}
+KIND: dict[str, str] = {}
+for _kind, _words in IDENTITY.items():
+    for _w in _words:
+        KIND.setdefault(_w, _kind)
+_TERM = {place: w for w, place in PLACE.items()}
+_WIDTH = BUCKETS + len(PLACE)
+
+
 def _bucket(word: str) -> int:
     from xxhash import xxh32_intdigest
 
-    return xxh32_intdigest(word) & (BUCKETS - 1)
+    place = PLACE.get(word)
+    return xxh32_intdigest(word) & (BUCKETS - 1) if place is None else place
 
 
 def tokens(text: str | None) -> set[str]:
@@ -58,17 +90,19 @@ def tokens(text: str | None) -> set[str]:
 
 
 def _hashed(batches):
-    known = {w for words in IDENTITY.values() for w in words}
     for batch in batches:
-        words = [tokens(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([sorted({_bucket(w) for w in ws}) for ws in words], pa.list_(pa.int32())),
-                pa.array([sorted(ws & known) for ws in words], pa.list_(pa.string())),
-            ],
-            ["toxic", "buckets", "named"],
-        )
+        lists = [sorted({_bucket(w) for w in tokens(t.as_py())}) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "buckets"])
+
+
+def choose(rows: DataFrame, n: int, n1: int) -> list[int]:
+    """Buckets of (toxic, buckets) rows by chi-squared association with the label, at most ``MAX_FEATURES`` of them."""
+    each = rows.select("toxic", F.explode("buckets").alias("b")).filter(F.col("b") < BUCKETS)
+    counted = each.groupBy("b").agg(F.count("*").alias("k"), F.sum("toxic").alias("k1")).filter(F.col("k") >= MIN_DOCS)
+    spread = F.col("k") * (1 - F.col("k") / n) * (n1 / n) * (1 - n1 / n)
+    chi2 = (F.col("k1") - F.col("k") * (n1 / n)) ** 2 / F.greatest(spread, F.lit(1e-9))
+    best = counted.select("b", chi2.alias("chi2")).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.col("chi2").desc(), "b").limit(MAX_FEATURES)
+    return [r["b"] for r in best.collect()]
 
 
 class Model:
@@ -79,7 +113,7 @@ class Model:
         self.features, self.weights, self.bias = features[order].astype(np.int64), weights[order].astype(np.float64), float(bias)
 
     def table(self) -> np.ndarray:
-        dense = np.zeros(BUCKETS)
+        dense = np.zeros(_WIDTH)
         dense[self.features] = self.weights
         return dense
 
@@ -88,42 +122,54 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list, fairness: float = FAIRNESS, steps: int = STEPS, seed: int = 7) -> Model:
-    """``rows`` have toxic, buckets (distinct, sorted) and named (identity terms). Deterministic for the same rows."""
-    y = np.array([float(r["toxic"]) for r in rows])
+def counterfactuals(lists: list[list[int]], seed: int = 7):
+    """(originals, swapped, inserted): pairs of feature sets that must score alike, and of each row its set with a term
+    inserted (None for rows that name one already). Deterministic for the same lists."""
+    rng = np.random.default_rng(seed)
+    every = sorted(KIND)
+    left, right, inserted = [], [], []
+
+    def other(term: str) -> str:
+        kin = [w for w in IDENTITY[KIND[term]] if w != term]
+        return kin[int(rng.integers(len(kin)))]
+
+    for own in lists:
+        have, named = set(own), [_TERM[b] for b in own if b >= BUCKETS]
+        for term in named:
+            for _ in range(2):
+                left.append(have)
+                right.append((have - {PLACE[term]}) | {PLACE[other(term)]})
+        if named:
+            inserted.append(None)
+            continue
+        term = every[int(rng.integers(len(every)))]
+        with_term = have | {PLACE[term]}
+        inserted.append(with_term)
+        left += [have, with_term]
+        right += [with_term, have | {PLACE[other(term)]}]
+    return left, right, inserted
+
+
+def fit(labels: list, lists: list, chosen: list, fairness: float = FAIRNESS, steps: int = STEPS, seed: int = 7) -> Model:
+    """``lists[i]`` are the features of a row of label ``labels[i]``, from ``chosen`` and identity terms. Deterministic."""
+    y = np.array(labels, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(0, np.int64), np.zeros(0), math.log(max(p, 1e-9) / max(1 - p, 1e-9)))
-    counts = [np.asarray(r["buckets"], dtype=np.int64) for r in rows]
     n, n1 = len(y), y.sum()
-    with_word = np.bincount(np.concatenate(counts), minlength=BUCKETS).astype(float)
-    toxic_parts = [c for c, t in zip(counts, y, strict=True) if t]
-    with_toxic = np.bincount(np.concatenate(toxic_parts), minlength=BUCKETS).astype(float)
-    expected = with_word * n1 / n
-    spread = with_word * (1 - with_word / n) * (n1 / n) * (1 - n1 / n)
-    chi2 = np.where(with_word >= MIN_DOCS, (with_toxic - expected) ** 2 / np.maximum(spread, 1e-9), 0.0)
-    best = np.argsort(-chi2, kind="stable")[:MAX_FEATURES]
-    chosen = set(best[chi2[best] >= MIN_CHI2].tolist())
     # Identity terms are always features: the penalty has to see them.
-    bucket_of = {w: _bucket(w) for words in IDENTITY.values() for w in words}
-    features = np.array(sorted(chosen | set(bucket_of.values())), dtype=np.int64)
+    features = np.array(sorted({*chosen, *PLACE.values()}), dtype=np.int64)
     column = {int(b): k for k, b in enumerate(features)}
 
-    def matrix(lists):
-        pairs = [(i, column[b]) for i, bs in enumerate(lists) for b in bs if b in column]
+    def matrix(sets):
+        pairs = [(i, column[b]) for i, bs in enumerate(sets) for b in bs if b in column]
         i, k = (np.array(z, dtype=np.int64) for z in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
         return i, k
 
-    rng = np.random.default_rng(seed)
-    kind_of = {w: kind for kind, words in IDENTITY.items() for w in words}
-    originals, swapped = [], []
-    for r in rows:
-        for term in r["named"]:
-            for other in rng.choice([w for w in IDENTITY[kind_of[term]] if w != term], size=2, replace=False):
-                own = set(map(int, r["buckets"]))
-                originals.append(own)
-                swapped.append((own - {bucket_of[term]}) | {bucket_of[str(other)]})
-    xi, xk = matrix(c.tolist() for c in counts)
+    originals, swapped, inserted = counterfactuals(lists, seed)
+    ii, ik = matrix([x or () for x in inserted])
+    named = np.array([x is None for x in inserted])
+    xi, xk = matrix(lists)
     oi, ok = matrix(originals)
     si, sk = matrix(swapped)
     d, m = len(features), len(originals)
@@ -133,15 +179,17 @@ def fit(rows: list, fairness: float = FAIRNESS, steps: int = STEPS, seed: int =
         return np.bincount(i, weights=w[k], minlength=rows_n) + bias
 
     balance = np.where(y > 0, n / (2 * n1), n / (2 * (n - n1)))
+    again = np.where(named, 0.0, balance)  # rows with a term inserted, under the same label
     for _ in range(steps):  # full-batch gradient with adaptive steps
         err = (_sigmoid(score(xi, xk, n)) - y) * balance / n
-        grad = np.bincount(xk, weights=err[xi], minlength=d) + RIDGE * w
+        err2 = (_sigmoid(score(ii, ik, n)) - y) * again / n
+        grad = np.bincount(xk, weights=err[xi], minlength=d) + np.bincount(ik, weights=err2[ii], minlength=d) + RIDGE * w
         if m:
             po, ps = _sigmoid(score(oi, ok, m)), _sigmoid(score(si, sk, m))
             gap = 2 * fairness * (po - ps) / m
             grad += np.bincount(ok, weights=(gap * po * (1 - po))[oi], minlength=d)
             grad -= np.bincount(sk, weights=(gap * ps * (1 - ps))[si], minlength=d)
-        full = np.append(grad, err.sum())
+        full = np.append(grad, err.sum() + err2.sum())
         g2 = 0.9 * g2 + 0.1 * full**2
         step = 0.05 * full / np.sqrt(g2 + 1e-12)
         w, bias = w - step[:-1], bias - step[-1]
@@ -162,10 +210,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_train:
     marked = marked.filter((F.crc32(F.col("l_id").cast("string")) % 5 != 0) & F.col("l_id").isNotNull())
     marked = marked.orderBy(F.xxhash64(F.lit("toxicity"), "l_id"), "l_id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("d_id"), "text").join(F.broadcast(marked), F.col("d_id") == F.col("l_id"))  # at most max_train rows of 12 bytes
-    found = rows.select("toxic", "text").mapInArrow(_hashed, "toxic int, buckets array<int>, named array<string>")
+    found = rows.select("toxic", "text").mapInArrow(_hashed, "toxic int, buckets array<int>")
     # Repeated documents may lift the rows above the bound; the sort makes the fit independent of task order.
-    got = found.orderBy(F.xxhash64("buckets", "toxic")).limit(max_train).toArrow().to_pylist()
-    return fit(got, **options)
+    found = materialise(found.orderBy(F.xxhash64("buckets", "toxic")).limit(max_train), "toxicity-rows")
+    n, n1 = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    chosen = choose(found, n, n1) if n else []
+    held = F.array_intersect("buckets", F.lit([*chosen, *PLACE.values()]).cast("array<int>"))  # of each row only what the model can use
+    got = found.select("toxic", F.sort_array(held).alias("buckets")).orderBy(F.xxhash64("buckets", "toxic")).toArrow()
+    drop_table(found)
+    return fit(got.column("toxic").to_pylist(), got.column("buckets").to_pylist(), chosen, **options)
+
+
+def gap(model: Model, texts: list, seed: int = 11) -> float:
+    """Mean change of a text's score when a seeded identity term, inserted or its own, is swapped for another of its kind."""
+    left, right, _ = counterfactuals([sorted({_bucket(w) for w in tokens(t)}) for t in texts], seed)
+    dense = model.table()
+    change = [abs(float(_sigmoid(dense[sorted(a)].sum() + model.bias) - _sigmoid(dense[sorted(b)].sum() + model.bias))) for a, b in zip(left, right, strict=True)]
+    return sum(change) / max(1, len(change))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

@@ -226,10 +226,9 @@ def test_toxicity(spark, empty):
     assert sum(got[k]["predicted"] == truth[k] for k in held) / len(held) > 0.97
     assert not any(got[k]["predicted"] for k, _ in neutral) and got[6000]["score"] == got[6001]["score"]
     # The penalty lowers the score change that a swap makes.
-    train = [{"toxic": t, "buckets": sorted({toxicity._bucket(w) for w in toxicity.tokens(x)}), "named": sorted(toxicity.tokens(x) & set(toxicity.IDENTITY["faith"]))} for (_, t), (_, x) in zip(labels, rows, strict=False)]
     spread = {}
     for fairness in (0.0, 50.0):
-        table = toxicity.fit(train, fairness=fairness).table()
+        table = toxicity.train(df, marks, fairness=fairness).table()
         weights = [table[toxicity._bucket(w)] for w in toxicity.IDENTITY["faith"]]
         spread[fairness] = max(weights) - min(weights)
     assert spread[50.0] < spread[0.0]
@@ -237,6 +236,23 @@ def test_toxicity(spark, empty):
     assert max(r["score"] for r in toxicity.toxicity(df, marks.filter("toxic = 0")).collect()) < 1e-6
 
 
+def test_identity_terms_have_places_of_their_own():
+    assert len(set(toxicity.PLACE.values())) == len(toxicity.PLACE) and min(toxicity.PLACE.values()) >= toxicity.BUCKETS
+    assert all(toxicity._bucket(f"word{k}") < toxicity.BUCKETS for k in range(1000))
+    assert set(toxicity.KIND) == set(toxicity.PLACE)
+
+
+def test_counterfactuals_matter_on_the_corpus(spark):
+    """On a corpus that names no group, the penalty still has rows: it changes the identity weights and narrows the gap."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = [r["text"] for r in docs.filter("crc32(cast(doc_id as string)) % 5 = 0").select("text").collect()]
+    plain, fair = (toxicity.train(docs, labels, fairness=f) for f in (0.0, toxicity.FAIRNESS))
+    terms = list(toxicity.PLACE.values())
+    assert abs(plain.table()[terms] - fair.table()[terms]).max() > 1e-3
+    assert abs(fair.table()[terms]).sum() < abs(plain.table()[terms]).sum()
+    assert toxicity.gap(fair, texts) < toxicity.gap(plain, texts)
+
+
 PAGES = {
     "<html><head><title>T</title></head><body><nav><a href='/'>Home</a></nav><article><h1>T</h1><p>Hello <b>big</b>  world.<br>more</p><div class='ad'>Buy</div><p>x &amp; y.</p><div class='comments'><p>me too</p></div></article><footer>f</footer>": "T\nHello big world. more\nx & y.",
     "<body><header>Site</header><main><p>Only a short one.</p></main><div class='cookie-notice'>We use cookies on this long sentence that ends with a stop.</div><form><p>name</p></form>": "Only a short one.",
