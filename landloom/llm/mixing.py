@@ -11,8 +11,9 @@
    taken blocks, so no document exceeds ``max_repeats`` times its size.
 
 Scale: a source has as many shards as its size needs (``shard_words`` each), so a hot source is many small windows.
-Quotas come from the divisor form of the method: rounding each share to the nearest integer is within one seat per
-shard of the answer, so only that one seat is ranked. The table of sources and shards is tiny beside the documents.
+Quotas are exact for any votes and bounds: aggregates close in on the divisor, and only the seats near it are ranked, a
+few a claimant. Two things stand in one task: the rank of a source's shards (a row a million words) and the targets (a row
+a source). The driver holds a row a source. The table of sources and shards is tiny beside the documents.
 
 Defined results for odd input: null text has size 0 and takes 0; a null source is a source of its own, last in order;
 repeated rows are separate documents and equal ones take equal shares of the order (row order breaks ties by id and
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WS, materialise
 
@@ -31,6 +33,8 @@ BLOCK = 128
 SHARD_WORDS = 1_000_000
 MAX_REPEATS = 3
 SEED = "mix-1"
+#: Blocks that one task chooses from, about.
+BLOCKS_PER_TASK = 200_000
 
 
 def _size(text):
@@ -63,27 +67,77 @@ def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     )
 
 
-#: Seats to either side of the exact share that are ranked.
-_SLACK = 3
+#: Divisors tried at once for every group, and how many seats a claimant may leave open to ranking.
+_TRIES, _OPEN = 32, 2
+
+
+def _seats(votes, most, divisor):
+    """Seats of a claimant whose quotients votes / (2 k + 1) reach the divisor."""
+    return F.least(F.floor((votes / divisor + 1) / 2).cast("bigint"), most)
+
+
+def _divisors(live: DataFrame, group: list[str]) -> list[tuple]:
+    """(group, low, high) with the divisor that fills a group's seats between low and high, so close that they differ by
+    few seats a claimant. The driver holds a row a group (a source); claimants are only ever aggregated."""
+    first = live.groupBy(*group).agg(
+        F.min(F.col("votes") / (2 * F.col("most") - 1)).alias("_least"), F.max("votes").alias("_top"), F.count("*").alias("_n"), F.sum("most").alias("_all"), F.max("seats").alias("_seats")
+    )
+    state = {tuple(r[g] for g in group): [r["_least"] * (1 - 1e-9), 2.0 * r["_top"], r["_all"], 0, r["_seats"], r["_n"]] for r in first.collect()}
+    for s in state.values():
+        if s[4] >= s[2]:  # all get all they may have
+            s[1], s[3] = s[0], s[2]
+    kinds = [live.schema[g] for g in group]
+    while True:
+        open_ = {k: s for k, s in state.items() if s[2] - s[3] > _OPEN * s[5] + 1024 and s[1] > s[0] * (1 + 1e-13)}
+        if not open_:
+            return [(*k, s[0], s[1]) for k, s in state.items()]
+        tries = [(*k, [s[0] * (s[1] / s[0]) ** (j / (_TRIES + 1)) for j in range(1, _TRIES + 1)]) for k, s in open_.items()]
+        names = [f"t_{g}" for g in group]
+        t = live.sparkSession.createDataFrame(tries, T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, kinds, strict=True)), T.StructField("tries", T.ArrayType(T.DoubleType()))]))
+        each = live.join(t, _same(group, names)).select(*group, "votes", "most", F.explode("tries").alias("q"))
+        for r in each.groupBy(*group, "q").agg(F.sum(_seats(F.col("votes"), F.col("most"), F.col("q"))).alias("won")).collect():
+            s = state[tuple(r[g] for g in group)]
+            if r["won"] >= s[4] and r["q"] > s[0]:
+                s[0], s[2] = r["q"], r["won"]
+            if r["won"] <= s[4] and r["q"] < s[1]:
+                s[1], s[3] = r["q"], r["won"]
+
+
+def _same(left: list[str], right: list[str]):
+    on = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
 
 
 def quotas(claims: DataFrame, group: list[str], claimant: list[str]) -> DataFrame:
     """Sainte-Laguë by highest quotients: (group, claimant, votes, most, seats per group) -> quota per claimant.
 
-    Seat k of a claimant (from 0) has the quotient votes / (2 k + 1); ``most`` bounds a claimant's seats. The method
-    keeps near the exact share seats * votes / all votes, so seats well below it are sure, seats well above it are not
-    won, and only those within ``_SLACK`` are ranked: rows stay in proportion to claimants, not to seats.
+    Seat k of a claimant (from 0) has the quotient votes / (2 k + 1); ``most`` bounds a claimant's seats, and seats that it
+    may not have go to the next quotients. A few rounds of aggregates close in on the divisor at which a group's seats are
+    filled; seats with clearly higher quotients are won, and only those near it are ranked: rows stay in proportion to
+    claimants, not to seats. Claimants without votes win none; if the seats are more than all may have, all get ``most``.
     """
-    per = Window.partitionBy(*group)
-    base = claims.withColumn("share", F.when(F.sum("votes").over(per) > 0, F.col("seats") * F.col("votes") / F.sum("votes").over(per)).otherwise(0.0))
-    base = base.withColumn("sure", F.least(F.greatest(F.floor(F.col("share") - _SLACK), F.lit(0)).cast("bigint"), F.col("most")))
-    base = base.withColumn("open", F.col("seats") - F.sum("sure").over(per))
-    top = F.least(F.ceil(F.col("share") + _SLACK).cast("bigint"), F.col("most")) - 1
-    ranked = base.withColumn("seat", F.explode_outer(F.when(top >= F.col("sure"), F.sequence(F.col("sure"), top))))
-    quotient = F.when(F.col("seat").isNotNull(), F.col("votes") / (2 * F.col("seat") + 1))
-    ranked = ranked.withColumn("rank", F.row_number().over(per.orderBy(quotient.desc_nulls_last(), F.col("votes").desc(), *claimant)))
-    won = (F.col("seat").isNotNull() & (F.col("rank") <= F.col("open"))).cast("bigint")
-    return ranked.groupBy(*group, *claimant).agg((F.max("sure") + F.sum(won)).alias("quota"))
+    claims = materialise(claims, "mix-claims")
+    live = claims.filter("votes > 0 and most > 0 and seats > 0")
+    kinds = [claims.schema[g] for g in group]
+    names = [f"d_{g}" for g in group]
+    fields = [*(T.StructField(n, f.dataType) for n, f in zip(names, kinds, strict=True)), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]
+    near = claims.sparkSession.createDataFrame(_divisors(live, group), T.StructType(fields))
+    near = live.join(near, _same(group, names)).drop(*names)
+    # A seat to either side more, so that rounding in the count decides nothing.
+    near = near.withColumn("sure", F.greatest(_seats(F.col("votes"), F.col("most"), F.col("high")) - 1, F.lit(0)))
+    near = near.withColumn("top", F.least(_seats(F.col("votes"), F.col("most"), F.col("low")) + 1, F.col("most")))
+    taken = near.groupBy(*group).agg(F.sum("sure").alias("taken")).withColumnsRenamed({g: f"d_{g}" for g in group})
+    ranked = near.join(taken, _same(group, names)).withColumn("seat", F.explode(F.when(F.col("top") > F.col("sure"), F.sequence(F.col("sure"), F.col("top") - 1)).otherwise(F.array(F.col("most")))))
+    able = F.col("seat") < F.col("most")
+    quotient = F.when(able, F.col("votes") / (2 * F.col("seat") + 1))
+    per = Window.partitionBy(*group).orderBy(quotient.desc_nulls_last(), F.col("votes").desc(), *claimant)
+    won = (able & (F.row_number().over(per) <= F.col("seats") - F.col("taken"))).cast("bigint")
+    ranked = ranked.withColumn("won", won).groupBy(*group, *claimant).agg((F.max("sure") + F.sum("won")).alias("quota"))
+    keys = [*group, *claimant]
+    ranked = ranked.withColumnsRenamed({k: f"d_{k}" for k in keys})
+    return claims.join(ranked, _same(keys, [f"d_{k}" for k in keys]), "left").select(*keys, F.coalesce("quota", F.lit(0)).cast("bigint").alias("quota"))
 
 
 def _row_key(id_col: str, seed: str):
@@ -131,7 +185,8 @@ def plan(
         F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")),
     )
     # Seeded choice: the quota's blocks of lowest hash in each shard, as a sorted list (a shard has few blocks).
-    chosen = q.select("source", "shard", "quota", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    tasks = max(1, -(-int(shards.agg(F.sum("blocks")).first()[0] or 0) // BLOCKS_PER_TASK))
+    chosen = q.repartition(tasks, "source", "shard").select("source", "shard", "quota", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     chosen = chosen.withColumn(
         "r", F.row_number().over(Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0")), "shard", "b"), "b"))
     ).filter(F.col("r") <= F.col("quota"))

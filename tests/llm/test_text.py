@@ -1,6 +1,7 @@
 """Quality rules, secrets, decontamination, mixing, toxicity, extraction and the pipeline."""
 
 import hashlib
+import heapq
 import html.parser
 import math
 import random
@@ -188,15 +189,59 @@ def test_mixed_rows(docs):
     assert +got == +want
 
 
-def test_quotas(spark):
-    votes = {"a": 5000.0, "b": 2100.0, "c": 900.0, "d": 0.0, "e": 30.0}
-    df = spark.createDataFrame([("g", k, v, 40, 61) for k, v in votes.items()], "g string, k string, votes double, most bigint, seats bigint")
-    got = {r["k"]: r["quota"] for r in mixing.quotas(df, ["g"], ["k"]).collect()}
+def brute_quotas(votes, most, seats):
+    """Seat by seat to the highest quotient (ties: more votes, then the earlier name)."""
     won = Counter()
-    for _ in range(61):
-        best = max((k for k in votes if won[k] < 40), key=lambda k: (votes[k] / (2 * won[k] + 1), votes[k]))
-        won[best] += 1
-    assert got == {k: won[k] for k in votes}
+    heap = [(-v, -v, k) for k, v in votes.items() if v > 0 and most[k] > 0]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        if not heap:
+            break
+        _, v, k = heapq.heappop(heap)
+        won[k] += 1
+        if won[k] < most[k]:
+            heapq.heappush(heap, (v / (2 * won[k] + 1), v, k))
+    return {k: won[k] for k in votes}
+
+
+def test_quotas(spark):
+    rng = random.Random(9)
+    cases = {
+        "mixed": ({"a": 5000.0, "b": 2100.0, "c": 900.0, "d": 0.0, "e": 30.0}, lambda k: 40, 61),
+        "small ones": ({"big": 1000.0} | {f"s{k:03}": 0.6 for k in range(400)}, lambda k: 5000, 1240),
+        "bounded": ({f"s{k:03}": rng.uniform(0.1, 50) for k in range(300)}, lambda k: 1 + int(k[1:]) % 7, 700),
+        "equal": ({f"s{k:03}": 7.0 for k in range(500)}, lambda k: 3, 777),
+        "all": ({f"s{k}": k + 1.0 for k in range(9)}, lambda k: 4, 99),
+        "many seats": ({f"s{k:03}": 10 ** rng.uniform(-3, 6) for k in range(200)}, lambda k: 10**6, 40_000),
+        "no seats": ({"a": 1.0}, lambda k: 4, 0),
+        None: ({"a": 3.0, "b": 1.0}, lambda k: 9, 5),
+    }
+    rows = [(g, k, v, most(k), seats) for g, (votes, most, seats) in cases.items() for k, v in votes.items()]
+    df = spark.createDataFrame(rows, "g string, k string, votes double, most bigint, seats bigint")
+    got = {(r["g"], r["k"]): r["quota"] for r in mixing.quotas(df, ["g"], ["k"]).collect()}
+    for g, (votes, most, seats) in cases.items():
+        assert {k: got[g, k] for k in votes} == brute_quotas(votes, {k: most(k) for k in votes}, seats), g
+    assert got["small ones", "big"] == 840
+
+
+def test_size_classes(spark):
+    """Sketches by class: a large item asks for several hits, and none that holds its share of shingles is missed."""
+    rng = random.Random(4)
+    items = [(n, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n + 4))) for n in (1, 3, 15, 16, 40, 100, 333)]
+    docs, want = [], set()
+    for n, text in items:
+        words = text.split()
+        least = math.ceil(round(0.8 * n, 9))
+        for extra in (0, -1):
+            if least + extra > 0:
+                docs.append((len(docs), " ".join(["x"] * 50 + words[: least + extra + 4] + ["y"] * 50)))
+                if extra == 0:
+                    want.add((len(docs) - 1, n))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r[0], r[1]) for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    assert got == want
+    needs = {r["n"]: r["r"] for r in decontaminate.sketches(decontaminate.item_shingles(bench)).join(decontaminate.item_shingles(bench).select("iid", "n").distinct(), "iid").collect()}
+    assert needs == {1: 1, 3: 1, 15: 1, 16: 1, 40: 2, 100: 4, 333: 16}
 
 
 def test_toxicity(spark, empty):
