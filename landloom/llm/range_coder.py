@@ -3,92 +3,98 @@
 Blocks are independent: every block starts from the same empty model. The coder advances all blocks ("lanes") by one id
 at a time with numpy, so the cost of Python is shared by the lanes and a block can still be decoded by itself.
 
-An id is coded as one symbol of a 16-way alphabet, and bits of equal probability where the symbol needs them:
+The probability of an id mixes three predictions, ``g2 * [id = p2] + g1 * [id = p1] + g0 * P0(id)``:
 
-* 0: the id that order 2 predicts (the last id seen after the two before), 1: the one that order 1 predicts;
-* 2: an id new to the block, followed by its bits; 3 + k: order 0, the id's place among the block's distinct ids in
-  order of first appearance has k bits, followed by the lower k - 1 of them.
+* p2 and p1 are the ids last seen in the block's contexts of order 2 and 1 (the two ids before, the one before);
+* P0 is order 0: the frequencies of the block's ids so far, and an escape for ids not counted yet, whose bits stand in
+  their order at the head of the payload, as many for each as the largest of them has;
+* the gates g adapt under the confidences of the two contexts (how often each was right lately).
 
-The symbol's distribution mixes three adaptive ones: under order 2's confidence in its prediction, under order 1's, and
-order 0's without context. The mixing weights follow whichever model gave the coded symbol most probability. Arithmetic
-is in integers only, so a block decodes alike on every machine.
+P0 is brought up to date at fixed places, after 32, 64, 128, ... and then every ``STRIDE`` ids, so between them an id is one
+table lookup. An id is one interval of ``2 ** 27`` parts, the product of gate and P0. Arithmetic is in integers only, so a
+block decodes alike on every machine.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Ids in a block, at most (places have 12 bits), and the bits of a new id.
-BLOCK = 4096
+#: Ids in a block, at most, and the bits of an id.
+BLOCK = 16384
 ID_BITS = 17
-_SYMBOLS, _SCALE = 16, 15
-_TOTAL = 1 << _SCALE
-_RATE = 5
-_SLOTS1, _SLOTS2 = 1 << 10, 1 << 11
+STRIDE = 2048
+_SLOTS1, _SLOTS2 = 1 << 12, 1 << 13
 _STATES = 8
+_GATE, _FREQ = 12, 15
+_ALL0 = 1 << _FREQ
 _U = np.uint64
 _TOP, _LOW = _U(1 << 48), _U((1 << 32) - 1)
-_START = (np.arange(_SYMBOLS) * (_TOTAL // _SYMBOLS)).astype(np.int32)
-#: Where a distribution moves to when symbol s is coded: a step at s with 32 for every symbol.
-_TARGET = np.array([[32 * j if j <= s else _TOTAL - 32 * (_SYMBOLS - j) for j in range(_SYMBOLS)] for s in range(_SYMBOLS)], np.int32)
+#: Gates are kept in 16 bits; each of the three keeps at least this share.
+_ROOM, _RATE = 384, 5
 
 
-class _Model:
+def _bounds(steps: int) -> list[int]:
+    """Places at which order 0 is brought up to date."""
+    out = [0]
+    while out[-1] < steps:
+        out.append(min(steps, out[-1] + min(max(out[-1], 32), STRIDE)))
+    return out
+
+
+class _Order0:
+    """Frequencies of one block's ids, in id order."""
+
+    def __init__(self):
+        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start = np.array([0, _ALL0], np.int64)
+
+    def learn(self, seen: np.ndarray) -> None:
+        found, times = np.unique(seen, return_counts=True)
+        at = np.searchsorted(self.ids, found)
+        old = at < len(self.ids)
+        old[old] = self.ids[at[old]] == found[old]
+        self.counts[at[old]] += times[old]
+        fresh = ~old
+        self.ids = np.insert(self.ids, at[fresh], found[fresh])
+        self.counts = np.insert(self.counts, at[fresh], times[fresh])
+        n, total = len(self.ids), int(self.counts.sum())
+        escape = min(max(8, _ALL0 * int(fresh.sum()) // len(seen)), _ALL0 - n >> 1)
+        freq = 1 + self.counts * (_ALL0 - n - escape) // total
+        self.start = np.concatenate(([0], np.cumsum(np.concatenate(([_ALL0 - int(freq.sum())], freq)))))
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Place of each id (from 1), 0 where it has none yet."""
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, at + 1, 0)
+
+
+class _Contexts:
+    """Predictions of order 2 and 1 and the gates, for all lanes."""
+
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.p1 = np.zeros(lanes, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
+        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.t1, self.t2 = np.full(lanes * _SLOTS1, -1, np.int32), np.full(lanes * _SLOTS2, -1, np.int32)
-        self.c1, self.c2 = np.zeros(lanes * _SLOTS1, np.uint8), np.zeros(lanes * _SLOTS2, np.uint8)
-        self.d2, self.d1 = (np.tile(_START, (lanes * _STATES, 1)) for _ in "21")
-        self.d0 = np.tile(_START, (lanes, 1))
-        self.w2, self.w1 = np.full(lanes, 96, np.int32), np.full(lanes, 96, np.int32)
-        self.step = 0
-
-    def predict(self, n: int) -> np.ndarray:
-        """Cumulative frequencies of the next symbol in the first n lanes; predictions stay in q1 and q2."""
-        p1 = self.p1[:n]
-        self.k1 = self.lane[:n] * _SLOTS1 + (p1 * 0x9E3B >> 5 & _SLOTS1 - 1)
-        self.k2 = self.lane[:n] * _SLOTS2 + (p1 * 0x9E3B + self.p2[:n] * 0x1F35B >> 4 & _SLOTS2 - 1)
+        self.c1, self.c2 = np.zeros(lanes * _SLOTS1, np.int8), np.zeros(lanes * _SLOTS2, np.int8)
+        self.a, self.b = np.full(lanes * _STATES**2, 1024, np.int64), np.full(lanes * _STATES**2, 2048, np.int64)
+
+    def predict(self, n: int):
+        """(order 2's id, order 1's id, end of order 2's gate, end of order 1's) for the first n lanes."""
+        lane, p1 = self.lane[:n], self.p1[:n]
+        h = p1 * 0x9E3B1
+        self.k1 = (h >> 6 & _SLOTS1 - 1) + lane * _SLOTS1
+        self.k2 = (h + self.p2[:n] * 0x1F35B7 >> 5 & _SLOTS2 - 1) + lane * _SLOTS2
         self.q1, self.q2 = self.t1.take(self.k1), self.t2.take(self.k2)
         self.s1, self.s2 = self.c1.take(self.k1), self.c2.take(self.k2)
-        self.r2, self.r1 = self.lane[:n] * _STATES + self.s2, self.lane[:n] * _STATES + self.s1
-        self.a, self.b, self.c = self.d2.take(self.r2, axis=0), self.d1.take(self.r1, axis=0), self.d0[:n]
-        w2, w1 = self.w2[:n, None], self.w1[:n, None]
-        mixed = self.a - self.c
-        mixed *= w2
-        other = self.b - self.c
-        other *= w1
-        mixed += other
-        mixed += self.c << 8
-        mixed >>= 8
-        return mixed
-
-    def learn(self, n: int, symbol: np.ndarray, x: np.ndarray) -> None:
-        if self.step % 4 == 0:
-            first = self.lane[:n] * _SYMBOLS + symbol
-            after = first + (symbol < _SYMBOLS - 1)
-            last = symbol == _SYMBOLS - 1
-
-            def given(d):
-                flat = np.ascontiguousarray(d).reshape(-1)
-                return np.where(last, _TOTAL, flat.take(after)) - flat.take(first)
-
-            pa, pb, pc = given(self.a), given(self.b), given(self.c)
-            best2, best1 = (pa >= pb) & (pa > pc), (pb > pa) & (pb > pc)
-            w2, w1 = self.w2[:n], self.w1[:n]
-            w2 += np.where(best2, 248 - w2 - w1 >> 4, -(w2 >> 5))
-            w1 += np.where(best1, 248 - w2 - w1 >> 4, -(w1 >> 5))
-        self.step += 1
-        target = _TARGET.take(symbol, axis=0)
-        for d, rows, own in ((self.d2, self.r2, self.a), (self.d1, self.r1, self.b)):
-            move = target - own
-            move >>= _RATE
-            move += own
-            d[rows] = move
-        target -= self.c
-        target >>= _RATE
-        self.c += target
+        self.g = lane * _STATES**2 + (self.s2 * np.int8(_STATES) + self.s1)
+        self.ga, self.gb = self.a.take(self.g), self.b.take(self.g)
+        return self.q2, self.q1, self.ga >> 4, self.gb >> 4
+
+    def learn(self, n: int, x: np.ndarray, hit2: np.ndarray, miss: np.ndarray) -> None:
+        self.a[self.g] = self.ga + (np.where(hit2, 65536 - 2 * _ROOM, _ROOM) - self.ga >> _RATE)
+        self.b[self.g] = self.gb + (np.where(miss, 2 * _ROOM, 65536 - _ROOM) - self.gb >> _RATE)
         for t, c, k, q, s in ((self.t2, self.c2, self.k2, self.q2, self.s2), (self.t1, self.c1, self.k1, self.q1, self.s1)):
             hit = q == x
             t[k] = np.where(hit | (s <= 1), x, q)
@@ -97,17 +103,19 @@ class _Model:
         self.p1[:n] = x
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    """Place of each id among the block's distinct ids by first appearance; -1 where it appears first."""
-    _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), np.int64)
-    rank[np.argsort(first)] = np.arange(len(first))
-    out = rank[inverse]
-    out[first] = -1
-    return out
+def _pack(ids: np.ndarray) -> bytes:
+    """Number and width of ids (32 and 8 bits), and their bits."""
+    width = max(1, int(ids.max(initial=0)).bit_length())
+    bits = (ids[:, None] >> np.arange(width)) & 1
+    return np.array([len(ids)], "<u4").tobytes() + bytes([width]) + np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-_BITS = np.array([int(k).bit_length() for k in range(BLOCK)], np.int64)
+def _unpack(payload: bytes) -> tuple[np.ndarray, int]:
+    """The ids that ``_pack`` wrote, and where they end."""
+    n, width = int(np.frombuffer(payload, "<u4", 1)[0]), payload[4]
+    end = 5 + -(-n * width // 8)
+    bits = np.unpackbits(np.frombuffer(payload, np.uint8, end - 5, 5), count=n * width).reshape(n, width)
+    return bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)), end
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -115,63 +123,65 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     lengths = np.array([len(blocks[k]) for k in order], np.int64)
     lanes, steps = len(order), int(lengths.max(initial=0))
-    ids, places = np.zeros((steps, lanes), np.int32), np.zeros((steps, lanes), np.int32)
-    for lane, k in enumerate(order):
-        ids[: len(blocks[k]), lane] = blocks[k]
-        places[: len(blocks[k]), lane] = _places(blocks[k])
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes longer than the step
-    model = _Model(lanes)
+    contexts, zeroth = _Contexts(lanes), [_Order0() for _ in order]
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    out, pos = np.zeros((lanes, 3 * steps + 16), np.uint16), np.zeros(lanes, np.int64)
+    out: list[list[np.ndarray]] = [[] for _ in order]
+    fresh: list[list[np.ndarray]] = [[] for _ in order]
+    words, pos = np.zeros((lanes, 2 * STRIDE + 16), np.uint16), np.zeros(lanes, np.int64)
 
-    def shift(at, n=None):
-        """Emit settled words of the lanes ``at`` (or the first n) until their range is wide enough."""
-        while len(at):
-            lo, sp = (low[at], span[at]) if n is None else (low[:n], span[:n])
-            n = None
+    def shift(n):
+        """Emit settled words of the first n lanes until their ranges are wide enough."""
+        at = None
+        while True:
+            lo, sp = (low[:n], span[:n]) if at is None else (low[at], span[at])
             settled = (lo ^ (lo + sp)) < _TOP
             need = np.flatnonzero(settled | (sp <= _LOW))
             if not len(need):
                 return
-            at, lo, sp, settled = at.take(need), lo.take(need), sp.take(need), settled.take(need)
+            lo, sp, settled = lo.take(need), sp.take(need), settled.take(need)
+            at = need if at is None else at.take(need)
             sp = np.where(settled, sp, -lo & _LOW)
-            out[at, pos[at]] = (lo >> _U(48)).astype(np.uint16)
+            words[at, pos[at]] = (lo >> _U(48)).astype(np.uint16)
             pos[at] += 1
             low[at], span[at] = lo << _U(16), sp << _U(16)
 
-    def code(at, start, size, bits):
-        r = span[at] >> bits
-        low[at] += r * start
-        span[at] = r * size
-        shift(at)
-
-    for t in range(steps):
-        n = int(active[t])
-        at, x, place = model.lane[:n], ids[t, :n], places[t, :n]
-        mixed = model.predict(n)
-        symbol = np.where(place < 0, 2, 3 + _BITS[np.maximum(place, 0)])
-        symbol[model.q1 == x] = 1
-        symbol[model.q2 == x] = 0
-        flat, first = mixed.reshape(-1), at * _SYMBOLS + symbol
-        start = flat.take(first)
-        end = np.where(symbol == _SYMBOLS - 1, _TOTAL, flat.take(first + (symbol < _SYMBOLS - 1)))
-        r = span[:n] >> _U(_SCALE)
-        low[:n] += r * start.astype(_U)
-        span[:n] = r * (end - start).astype(_U)
-        shift(at, n)
-        new = np.flatnonzero(symbol == 2)
-        if len(new):
-            code(new, x[new].astype(_U), _U(1), _U(ID_BITS))
-        far = np.flatnonzero(symbol > 4)
-        if len(far):
-            bits = symbol[far] - 4
-            code(far, (place[far] - (1 << bits)).astype(_U), _U(1), bits.astype(_U))
-        model.learn(n, symbol, x)
+    bounds = _bounds(steps)
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+        n = int(active[begin])
+        ids, start, size = (np.zeros((end - begin, n), np.int32) for _ in range(3))
+        missed = np.zeros((end - begin, n), bool)
+        for lane in range(n):
+            own, z = blocks[order[lane]][begin:end], zeroth[lane]
+            j = z.places(own)
+            m = len(own)
+            ids[:m, lane], start[:m, lane], size[:m, lane] = own, z.start[j], z.start[j + 1] - z.start[j]
+        for t in range(begin, end):
+            n = int(active[t])
+            x = ids[t - begin, :n]
+            q2, q1, a, b = contexts.predict(n)
+            hit2, hit1 = q2 == x, q1 == x
+            miss = ~(hit2 | hit1)
+            first = np.where(miss, b, np.where(hit2, 0, a)).astype(np.int64)
+            gate = np.where(miss, 1 << _GATE, np.where(hit2, a, b)) - first
+            cum = (first << _FREQ) + np.where(miss, gate * start[t - begin, :n], 0)
+            part = gate * np.where(miss, size[t - begin, :n], _ALL0)
+            r = span[:n] >> _U(_GATE + _FREQ)
+            low[:n] += r * cum.astype(_U)
+            span[:n] = r * part.astype(_U)
+            shift(n)
+            missed[t - begin, :n] = miss
+            contexts.learn(n, x, hit2, miss)
+        for lane in range(int(active[begin])):
+            z, own = zeroth[lane], blocks[order[lane]][begin:end]
+            out[lane].append(words[lane, : pos[lane]].astype("<u2"))
+            fresh[lane].append(own[missed[: len(own), lane] & (start[: len(own), lane] == 0)])
+            z.learn(own.astype(np.int64))
+        pos[:] = 0
     payloads: list[bytes] = [b""] * lanes
     for lane, k in enumerate(order):
         tail = (low[lane] >> np.array([48, 32, 16, 0], _U)).astype("<u2")
-        words = np.concatenate((out[lane, : pos[lane]].astype("<u2"), tail)) if lengths[lane] else tail[:0]
-        payloads[k] = words.tobytes()
+        payloads[k] = _pack(np.concatenate(fresh[lane]).astype(np.int64)) + np.concatenate([*out[lane], tail]).tobytes() if lengths[lane] else b""
     return payloads
 
 
@@ -181,72 +191,81 @@ def decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
     lengths = np.array([counts[k] for k in order], np.int64)
     lanes, steps = len(order), int(lengths.max(initial=0))
     width = max((len(p) // 2 for p in payloads), default=0) + 8
-    words = np.zeros((lanes, width), np.uint16)
+    words, fresh = np.zeros((lanes, width), np.uint16), []
     for lane, k in enumerate(order):
-        w = np.frombuffer(payloads[k], "<u2")
+        raw, at = _unpack(payloads[k]) if lengths[lane] else (np.zeros(0, np.int64), 0)
+        fresh.append(raw)
+        w = np.frombuffer(payloads[k], "<u2", offset=at) if lengths[lane] else np.zeros(0, "<u2")
         words[lane, : len(w)] = w
+    # New ids of all lanes in one array; where each lane's next one stands.
+    next_new = np.cumsum([0, *map(len, fresh)])[:lanes]
+    new_ids = np.concatenate([*fresh, np.zeros(1, np.int64)])
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    model = _Model(lanes)
-    ids = np.zeros((steps, lanes), np.int32)
-    known, n_known = np.zeros((lanes, BLOCK), np.int32), np.zeros(lanes, np.int64)
+    contexts, zeroth = _Contexts(lanes), [_Order0() for _ in order]
+    out: list[list[np.ndarray]] = [[] for _ in order]
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     value, pos = np.zeros(lanes, _U), np.full(lanes, 4, np.int64)
     for k in range(4):
         value = value << _U(16) | words[:, k].astype(_U)
 
-    def shift(at, n=None):
-        while len(at):
-            lo, sp = (low[at], span[at]) if n is None else (low[:n], span[:n])
-            n = None
+    def shift(n):
+        at = None
+        while True:
+            lo, sp = (low[:n], span[:n]) if at is None else (low[at], span[at])
             settled = (lo ^ (lo + sp)) < _TOP
             need = np.flatnonzero(settled | (sp <= _LOW))
             if not len(need):
                 return
-            at, lo, sp, settled = at.take(need), lo.take(need), sp.take(need), settled.take(need)
+            lo, sp, settled = lo.take(need), sp.take(need), settled.take(need)
+            at = need if at is None else at.take(need)
             sp = np.where(settled, sp, -lo & _LOW)
             value[at] = value[at] << _U(16) | words[at, np.minimum(pos[at], width - 1)].astype(_U)
             pos[at] += 1
             low[at], span[at] = lo << _U(16), sp << _U(16)
 
-    def plain(at, bits):
-        r = span[at] >> bits
-        got = np.minimum((value[at] - low[at]) // r, (_U(1) << bits) - _U(1))
-        low[at] += r * got
-        span[at] = r
-        shift(at)
-        return got.astype(np.int64)
-
-    for t in range(steps):
-        n = int(active[t])
-        at = model.lane[:n]
-        mixed = model.predict(n)
-        r = span[:n] >> _U(_SCALE)
-        f = np.minimum((value[:n] - low[:n]) // r, _U(_TOTAL - 1)).astype(np.int32)
-        symbol = (mixed <= f[:, None]).sum(axis=1, dtype=np.int64) - 1
-        flat, first = mixed.reshape(-1), at * _SYMBOLS + symbol
-        start = flat.take(first)
-        end = np.where(symbol == _SYMBOLS - 1, _TOTAL, flat.take(first + (symbol < _SYMBOLS - 1)))
-        low[:n] += r * start.astype(_U)
-        span[:n] = r * (end - start).astype(_U)
-        shift(at, n)
-        x = np.where(symbol == 0, model.q2, model.q1)
-        new = np.flatnonzero(symbol == 2)
-        if len(new):
-            got = plain(new, _U(ID_BITS))
-            x[new] = got
-            known[new, np.minimum(n_known[new], BLOCK - 1)] = got
-            n_known[new] += 1
-        old = np.flatnonzero(symbol > 2)
-        if len(old):
-            place = np.maximum(symbol[old] - 3, 0)  # 0 and 1 are places themselves
-            far = symbol[old] > 4
-            if far.any():
-                bits = symbol[old][far] - 4
-                place[far] = (1 << bits) + plain(old[far], bits.astype(_U))
-            x[old] = known[old, np.minimum(place, BLOCK - 1)]
-        ids[t, :n] = x
-        model.learn(n, symbol, x)
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
+    slots = np.zeros((lanes, _ALL0), np.uint16)
+    bounds = _bounds(steps)
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+        n = int(active[begin])
+        ids = np.zeros((end - begin, n), np.int64)
+        wide = max(len(z.ids) for z in zeroth[:n]) + 2
+        starts, known = np.zeros((n, wide), np.int32), np.zeros((n, wide), np.int32)
+        for lane in range(n):
+            z = zeroth[lane]
+            starts[lane, : len(z.start)], known[lane, 1 : len(z.ids) + 1] = z.start, z.ids
+            slots[lane] = np.repeat(np.arange(len(z.start) - 1, dtype=np.uint16), np.diff(z.start))
+        flat, flat_starts, flat_known = slots.reshape(-1), starts.reshape(-1), known.reshape(-1)
+        for t in range(begin, end):
+            n = int(active[t])
+            lane = contexts.lane[:n]
+            q2, q1, a, b = contexts.predict(n)
+            r = span[:n] >> _U(_GATE + _FREQ)
+            f = np.minimum((value[:n] - low[:n]) // r, _U((1 << _GATE + _FREQ) - 1)).astype(np.int64)
+            gate_at = f >> _FREQ
+            hit2, miss = gate_at < a, gate_at >= b
+            first = np.where(miss, b, np.where(hit2, 0, a)).astype(np.int64)
+            gate = np.where(miss, 1 << _GATE, np.where(hit2, a, b)) - first
+            slot = np.where(miss, (f - (first << _FREQ)) // gate, 0)
+            j = lane * wide + flat.take(lane * _ALL0 + slot)
+            start = flat_starts.take(j)
+            size = np.where(miss, flat_starts.take(j + 1) - start, _ALL0)
+            cum = (first << _FREQ) + np.where(miss, gate * start, 0)
+            low[:n] += r * cum.astype(_U)
+            span[:n] = r * (gate * size).astype(_U)
+            shift(n)
+            x = np.where(miss, flat_known.take(j), np.where(hit2, q2, q1)).astype(np.int64)
+            at = np.flatnonzero(miss & (start == 0))  # the escape stands first
+            if len(at):
+                x[at] = new_ids.take(next_new[at], mode="clip")
+                next_new[at] += 1
+            ids[t - begin, :n] = x
+            contexts.learn(n, x, hit2, miss)
+        for lane in range(int(active[begin])):
+            own = ids[: max(0, min(end, int(lengths[lane])) - begin), lane].copy()
+            out[lane].append(own.astype(np.int32))
+            zeroth[lane].learn(own)
+    ids_of: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
     for lane, k in enumerate(order):
-        out[k] = ids[: lengths[lane], lane].copy()
-    return out
+        if out[lane]:
+            ids_of[k] = np.concatenate(out[lane])
+    return ids_of

@@ -31,7 +31,7 @@ from .range_coder import BLOCK, decode, encode
 END_ID = 2
 #: Blocks coded in step, and rows of text per shard.
 LANES = 1024
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 40_000_000
 _PIECE = re.compile(r"\s*\S+|\s+\Z")
 #: White space to Python that the tokenizers' pattern takes for ordinary characters.
 _ODD = re.compile("[\x1c-\x1f]")
