@@ -112,7 +112,7 @@ def _write_shard(path: str, end_id: int):
             ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             whole = len(ids) if everything else len(ids) // BLOCK * BLOCK
             pieces = [ids[a : min(a + BLOCK, whole)] for a in range(0, whole, BLOCK)]
-            parts, held = [ids[whole:]], len(ids) - whole
+            parts, held = [ids[whole:].copy()], len(ids) - whole  # a copy: a view would hold all ids
             rows: dict[str, list] = {c.split()[0]: [] for c in _BLOCKS.split(", ")}
             at = 0
             for piece, payload in zip(pieces, encode(pieces), strict=True):
@@ -197,42 +197,40 @@ def crc_join(a: int, b: int, length: int) -> int:
     return a ^ b
 
 
-def _read_blocks(batches):
-    for batch in batches:
-        for a in range(0, batch.num_rows, LANES):
-            part = batch.slice(a, LANES).to_pydict()
-            rows: tuple[list, ...] = tuple([] for _ in range(7))
-            for k, ids in enumerate(decode(part["payload"], part["n"])):
-                raw = ids.astype("<u4").tobytes()
-                if zlib.crc32(raw) != part["crc"][k]:
-                    raise ValueError(f"block {part['block'][k]} of shard {part['shard'][k]} is damaged")
-                at = 0
-                for j, (name, n) in enumerate(zip(part["doc_ids"][k], part["lens"][k], strict=True)):
-                    row = (part["shard"][k], part["first_doc"][k] + j, part["block"][k] * BLOCK + at, name, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), raw[4 * at : 4 * (at + n)])
-                    for c, v in zip(rows, row, strict=True):
-                        c.append(v)
-                    at += n
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], ["shard", "number", "at", "doc_id", "n", "crc", "ids"])
-
-
-def _without_ids(read):
+def _read_blocks(with_ids: bool):
+    names = ["shard", "number", "at", "doc_id", "n", "crc", *(["ids"] if with_ids else [])]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
     def run(batches):
-        for batch in read(batches):
-            yield batch.select(["shard", "number", "at", "doc_id", "n", "crc"])
+        for batch in batches:
+            for a in range(0, batch.num_rows, LANES):
+                part = batch.slice(a, LANES).to_pydict()
+                rows: tuple[list, ...] = tuple([] for _ in names)
+                for k, ids in enumerate(decode(part["payload"], part["n"])):
+                    raw = ids.astype("<u4").tobytes()
+                    if zlib.crc32(raw) != part["crc"][k]:
+                        raise ValueError(f"block {part['block'][k]} of shard {part['shard'][k]} is damaged")
+                    at = 0
+                    for j, (name, n) in enumerate(zip(part["doc_ids"][k], part["lens"][k], strict=True)):
+                        own = raw[4 * at : 4 * (at + n)]
+                        row = (part["shard"][k], part["first_doc"][k] + j, part["block"][k] * BLOCK + at, name, n, zlib.crc32(own), own)
+                        for c, v in zip(rows, row):  # noqa: B905 (ids only where asked for)
+                            c.append(v)
+                        at += n
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds)], names)  # noqa: B905
 
     return run
 
 
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     """Pieces of documents with their ids: (shard, number, at, doc_id, n, crc, ids as little-endian 32-bit)."""
-    return spark.read.parquet(path).mapInArrow(_read_blocks, "shard int, number long, at long, doc_id long, n long, crc long, ids binary")
+    return spark.read.parquet(path).mapInArrow(_read_blocks(True), "shard int, number long, at long, doc_id long, n long, crc long, ids binary")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32, from the decoded blocks."""
     blocks = spark.read.parquet(path)
-    pieces = blocks.mapInArrow(_without_ids(_read_blocks), "shard int, number long, at long, doc_id long, n long, crc long")
+    pieces = blocks.mapInArrow(_read_blocks(False), "shard int, number long, at long, doc_id long, n long, crc long")
     docs = pieces.groupBy("shard", "number").agg(
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces")
     )
