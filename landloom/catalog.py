@@ -6,16 +6,20 @@ the same grid in SQL. Counts are BIGINT and scores are DOUBLE rounded to six pla
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grid import Grid, Raster, order_grid, wrap
-from .operators import accuracy, automata, charts, indicators, infrastructure, inspection, knowledge, manifest, markov, preprocess, priority, registry, rules, transition_ml
+from .operators import accuracy, automata, charts, indicators, infrastructure, inspection, knowledge, manifest, markov, preprocess, priority, registry, reports, rules, transition_ml
 from .operators.align import align, mask_by, overview, resample
 from .operators.focal import class_share
-from .session import table
+from .functions import parse
+from .session import shared_folder, table
+from .sources.geotiff import write_geotiff
 
 #: The demonstration's parameters.
 FACTORS = {1: -1.0, 2: -20.0, 3: -5.0, 4: -0.5, 5: 5.0, 6: 0.3}
@@ -352,7 +356,16 @@ def markov_step(spark, sf_dir):
     return markov.step(now, p).withColumn("n", F.round("n", 4))
 
 
-@query()
+_LAST = ", ".join(f"{k}" for k in range(1, 7))
+_MARKOV = f"""n1 AS (SELECT c.class, count(k) AS n FROM (SELECT unnest([{_LAST}]) AS class) c LEFT JOIN g ON curr_lu = c.class GROUP BY 1),
+cr AS (SELECT init_lu AS f, curr_lu AS t, count(*) AS n FROM g WHERE init_lu > 0 AND curr_lu > 0 GROUP BY 1, 2),
+pr AS (SELECT f, t, n / sum(n) OVER (PARTITION BY f) AS p FROM cr UNION ALL SELECT class, class, 1.0 FROM n1 WHERE class NOT IN (SELECT f FROM cr)),
+s1 AS (SELECT t AS class, sum(n * p) AS n FROM n1 JOIN pr ON class = f GROUP BY 1),
+s2 AS (SELECT t AS class, sum(n * p) AS n FROM s1 JOIN pr ON class = f GROUP BY 1),
+s3 AS (SELECT t AS class, sum(n * p) AS n FROM s2 JOIN pr ON class = f GROUP BY 1)"""
+
+
+@query(f", {_MARKOV} SELECT 2010 AS year, init_lu AS class, count(*) AS n FROM g WHERE init_lu > 0 GROUP BY 2 UNION ALL SELECT 2020, curr_lu, count(*) FROM g WHERE curr_lu > 0 GROUP BY 2 UNION ALL SELECT 2030, class, CAST(floor(n + 0.5) AS BIGINT) FROM s1 UNION ALL SELECT 2040, class, CAST(floor(n + 0.5) AS BIGINT) FROM s2 UNION ALL SELECT 2050, class, CAST(floor(n + 0.5) AS BIGINT) FROM s3")
 def markov_predict(spark, sf_dir):
     return markov.predict(_periods(spark, sf_dir), 3)
 
@@ -613,6 +626,300 @@ def byte_wrap(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), wrap(F.floor("p_retailprice") - 9999, "Byte").cast("bigint").alias("v"))
 
 
+# Registry, manifest, report and parameter operators on the given tables.
+
+_NAMES = "(SELECT p_partkey AS id, ['lucc', 'POP density', '人口', 'carbon_sink', 'dem', 'dist-road', 'misc', 'npp viirs'][1 + p_partkey % 8] || ['_', '-', ' '][1 + p_partkey % 3] || (1895 + p_partkey % 260) || ['_ssp1', '-SSP2-45', '_ssp585', '_baseline', ''][1 + p_partkey % 5] || '.tif' AS name FROM part)"
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (k % n + 1).cast("int"))
+    name = F.concat(
+        pick(8, "lucc", "POP density", "人口", "carbon_sink", "dem", "dist-road", "misc", "npp viirs"), pick(3, "_", "-", " "), (1895 + k % 260).cast("string"), pick(5, "_ssp1", "-SSP2-45", "_ssp585", "_baseline", ""), F.lit(".tif")
+    )
+    return table(spark, sf_dir, "part").select(k.alias("id"), name.alias("name"))
+
+
+@query(f"SELECT id, CASE WHEN try_cast(y AS INTEGER) BETWEEN 1900 AND 2100 THEN CAST(y AS INTEGER) END AS year FROM (SELECT id, regexp_extract(name, '(?:^|[_\\-\\s])([0-9]{{4}})(?:[_\\-\\s.]|$)', 1) AS y FROM {_NAMES})")
+def file_year(spark, sf_dir):
+    return _names(spark, sf_dir).select("id", manifest.file_year(F.col("name")).alias("year"))
+
+
+@query(f"SELECT id, CASE " + " ".join(f"WHEN contains(translate(lower(name), '- ', '__'), '{m}') THEN '{v}'" for v, m in manifest.SCENARIOS) + f" END AS scenario FROM {_NAMES}")
+def file_scenario(spark, sf_dir):
+    return _names(spark, sf_dir).select("id", manifest.file_scenario(F.col("name")).alias("scenario"))
+
+
+def _category_sql() -> str:
+    found = [
+        f"{{'n': " + " + ".join(f"CASE WHEN contains({'low' if w.isascii() else 'name'}, '{w}') THEN {len(w) * (1 if w.isascii() else 2)} ELSE 0 END" for w in words) + f", 'k': {-k}, 'c': '{c}'}}"
+        for k, (c, words) in enumerate(manifest.CATEGORIES.items())
+    ]
+    return f"SELECT id, name, CASE WHEN b.n > 0 THEN b.c ELSE 'unknown' END AS category FROM (SELECT id, name, list_max([{', '.join(found)}]) AS b FROM (SELECT id, name, translate(lower(name), '- ', '__') AS low FROM {_NAMES}))"
+
+
+@query(f"SELECT id, category FROM ({_category_sql()})")
+def file_category(spark, sf_dir):
+    return _names(spark, sf_dir).select("id", manifest.file_category(F.col("name")).alias("category"))
+
+
+@query(f"SELECT category AS id, count(*) AS n_files FROM ({_category_sql()}) GROUP BY 1")
+def manifest_build(spark, sf_dir):
+    files = _names(spark, sf_dir).select(F.col("name").alias("path"), F.lit(None).cast("double").alias("res"))
+    built = manifest.build(files, "p")["datasets"]
+    return spark.createDataFrame([(d["id"], len(d["files"])) for d in built], "id string, n_files bigint")
+
+
+@query("SELECT CAST(id AS BIGINT) AS id, problem FROM (SELECT p_partkey AS id, unnest([CASE WHEN 1800 + p_size * 10 > 2100 OR p_size < 10 THEN 'year_out_of_range' END, CASE WHEN p_brand <> 'Brand#1' AND p_size % 2 = 0 THEN 'scenario_not_declared' END, CASE WHEN p_size % 7 = 0 THEN 'unknown_dataset' END]) AS problem FROM part) WHERE problem IS NOT NULL")
+def manifest_integrity(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    files = p.select(
+        F.col("p_partkey").cast("string").alias("path"),
+        (1800 + F.col("p_size") * 10).cast("int").alias("year"),
+        F.when((F.col("p_size") % 2 == 0) & (F.col("p_brand") != "Brand#1"), "other").otherwise("declared").alias("scenario"),
+        F.when(F.col("p_size") % 7 == 0, "nowhere").otherwise("d").alias("dataset"),
+    )
+    return manifest.integrity(files, ["declared"], ["d"]).select(F.col("path").cast("bigint").alias("id"), "problem")
+
+
+@query("SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderstatus AS scenario, CAST(o_orderkey AS VARCHAR) AS indicator FROM orders")
+def manifest_legacy(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    paths = o.select(F.concat(F.lit("/data/"), F.year("o_orderdate"), F.lit("/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".tif")).alias("path"))
+    return manifest.legacy(paths).select("year", "scenario", "indicator")
+
+
+@query("SELECT s_suppkey AS id, 's/' || s_suppkey || '.tif' AS path FROM supplier")
+def manifest_relative(spark, sf_dir):
+    full = F.concat(F.lit("/data/v1.0/s/"), F.col("s_suppkey").cast("string"), F.lit(".tif"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), manifest.relative(full, "/data/v1.0/").alias("path"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, p_brand AS region, p_type AS category, CAST(p_size AS INTEGER) AS year FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND p_size = 7")
+def registry_listed(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    files = p.select(F.col("p_partkey").cast("string").alias("path"), F.col("p_brand").alias("region"), F.col("p_type").alias("category"), F.col("p_size").cast("int").alias("year"))
+    return registry.listed(files, region=p.agg(F.min("p_brand")).first()[0], year=7)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def registry_stale(spark, sf_dir):
+    have = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").cast("string").alias("path"))
+    return registry.stale(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path")), have)
+
+
+@query("SELECT o_orderkey AS report_id, o_orderstatus AS region, CAST(o_orderdate AS VARCHAR) AS created FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+def registry_reports(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("report_id"), F.col("o_orderstatus").alias("region"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("created"))
+    return registry.reports(rows, region="F").select("report_id", "region", F.col("created").cast("string").alias("created"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS session_id FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 10")
+def registry_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderdate").cast("string").alias("started"))
+    return registry.latest(rows).select("session_id")
+
+
+@query("SELECT o_orderkey AS session_id, v.vec_id IS NOT NULL AS has_vector FROM orders LEFT JOIN embeddings v ON v.vec_id = o_orderkey WHERE o_orderstatus = 'F'")
+def registry_archive(spark, sf_dir):
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.when(F.col("o_orderstatus") == "F", "finished").otherwise("open").alias("status"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("session_id"), "embedding")
+    return registry.archive(s, v).select("session_id", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+@query("SELECT coalesce(n_name, name) AS name, CASE WHEN n_name IS NOT NULL AND n_nationkey % 2 = 0 THEN CAST(n_regionkey AS VARCHAR) ELSE fallback END AS value FROM nation FULL JOIN (VALUES ('FRANCE', 'x'), ('unit', 'km2')) d(name, fallback) ON n_name = name")
+def registry_preferences(spark, sf_dir):
+    saved = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey").cast("string")).alias("value"))
+    return registry.preferences(saved, {"FRANCE": "x", "unit": "km2"})
+
+
+@query("SELECT c_mktsegment AS indicator, round(avg(c_acctbal), 4) AS score FROM customer GROUP BY 1")
+def chart_bars(spark, sf_dir):
+    scores = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("indicator")).agg(F.round(F.avg("c_acctbal"), 4).alias("score"))
+    return charts.bars(scores)
+
+
+@query("SELECT DISTINCT o_custkey AS chart_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
+def chart_missing(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chart_id")).distinct()
+    return charts.missing_charts(wanted, table(spark, sf_dir, "customer").filter("c_nationkey < 20").select(F.col("c_custkey").alias("chart_id")))
+
+
+@query("SELECT year(o_orderdate) AS year, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS economy, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS society FROM orders GROUP BY 1")
+def chart_trend(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "economy").when(F.col("o_orderstatus") == "O", "society").otherwise("environment")
+    scores = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("bigint").alias("year"), status.alias("dimension"), F.col("o_totalprice").alias("score"))
+    return charts.trend(scores).select("year", _r("economy", 2), _r("society", 2))
+
+
+@query("SELECT symptom, cause, confidence, rank FROM (SELECT p_type AS symptom, p_name AS cause, p_retailprice AS confidence, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_name) AS rank FROM part) WHERE rank <= 3")
+def diagnose(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    known = p.groupBy(F.col("p_type").alias("symptom")).agg(F.collect_list(F.struct(F.col("p_name").alias("cause"), F.col("p_retailprice").alias("confidence"))).alias("causes"))
+    return rules.diagnose(p.select(F.col("p_type").alias("symptom")).distinct(), known).select("symptom", "cause", "confidence", F.col("rank").cast("bigint").alias("rank"))
+
+
+_WORDS3 = "len(list_intersect(['der', 'elle', 'migaja'], regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) / 3.0"
+
+
+@query(f"SELECT doc_id, round(s, 6) AS score, 'keyword' AS via FROM (SELECT doc_id, {_WORDS3} AS s FROM documents) WHERE s > 0 ORDER BY s DESC, doc_id LIMIT 5")
+def keyword_search(spark, sf_dir):
+    return knowledge.search(table(spark, sf_dir, "documents"), "der elle migaja").select("doc_id", _r("score"), "via")
+
+
+_COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3))"
+
+
+@query(
+    f"WITH w AS (SELECT doc_id, s AS score, 'keyword' AS via FROM (SELECT doc_id, {_WORDS3} AS s FROM documents) WHERE s > 0 ORDER BY s DESC, doc_id LIMIT 5), "
+    f"v AS (SELECT vec_id AS doc_id, c AS score, 'vector' AS via FROM (SELECT vec_id, {_COS} AS c FROM embeddings) ORDER BY c DESC, vec_id LIMIT 10) "
+    "SELECT doc_id, round(score, 6) AS score, via FROM (SELECT * FROM w UNION ALL SELECT * FROM v WHERE doc_id NOT IN (SELECT doc_id FROM w)) ORDER BY score DESC, doc_id LIMIT 5"
+)
+def hybrid_search(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = e.filter("doc_id = 3").first()["embedding"]
+    return knowledge.search(table(spark, sf_dir, "documents"), "der elle migaja", e, q).select("doc_id", _r("score"), "via")
+
+
+@query("SELECT string_agg('[' || source || '] (' || printf('%.4f', score) || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY score DESC, source) AS context FROM (SELECT 's' || s_suppkey AS source, s_acctbal AS score, s_name AS t FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 5)")
+def search_context(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").orderBy(F.col("s_acctbal").desc(), "s_suppkey").limit(5)
+    return knowledge.context(s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source"), F.col("s_acctbal").alias("score"), F.col("s_name").alias("text")))
+
+
+_REPORT = """r AS (SELECT d.doc_id AS id, CASE d.doc_id % 4 WHEN 0 THEN 'composite' WHEN 1 THEN 'trend' WHEN 2 THEN 'subregion' END AS template,
+  d.text || CASE WHEN d.doc_id % 3 = 0 THEN ' 执行摘要 指标总览 结论' ELSE '' END || CASE WHEN d.doc_id % 11 = 0 THEN '{{ x }}' ELSE '' END || CASE WHEN d.doc_id % 5 = 0 THEN 'NoData' ELSE '' END
+   || CASE WHEN d.doc_id % 18 = 0 THEN 'chart' ELSE '' END AS content, CASE WHEN d.doc_id % 7 <> 0 THEN source END AS title FROM documents d WHERE text IS NOT NULL),
+i AS (SELECT doc_id AS id, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE CAST(doc_id % 130 AS VARCHAR) END AS value, doc_id % 2 = 0 AS scored, doc_id % 6 = 0 AS bare, toxic = 1 AS nodata FROM labels),
+j AS (SELECT r.*, i.id IS NOT NULL AS has, coalesce(value = 'x' OR (scored AND CAST(r.id % 130 AS INT) > 100), false) AS wrong, coalesce(bare, false) AS bare, coalesce(nodata, false) AS nodata,
+  r.id % 9 = 0 AS charted, r.id % 36 <> 0 AND r.id % 9 = 0 AS lost FROM r LEFT JOIN i ON r.id = i.id)"""
+
+
+def _reported(spark, sf_dir) -> DataFrame:
+    d, k = table(spark, sf_dir, "documents").filter("text is not null"), F.col("doc_id")
+    mark = lambda n, text: F.when(k % n == 0, text).otherwise("")
+    content = F.concat("text", mark(3, " 执行摘要 指标总览 结论"), mark(11, "{{ x }}"), mark(5, "NoData"), mark(18, "chart"))
+    rep = d.select(k.alias("report_id"), F.when(k % 4 == 0, "composite").when(k % 4 == 1, "trend").when(k % 4 == 2, "subregion").alias("template"), content.alias("content"), F.when(k % 7 != 0, F.col("source")).alias("title"), F.lit("p").alias("period"))
+    ind = table(spark, sf_dir, "labels").select(
+        k.alias("report_id"), F.when(k % 2 == 0, "score").otherwise("c").alias("code"), F.lit("n").alias("name"), F.when(k % 13 == 0, "x").otherwise((k % 130).cast("string")).alias("value"), F.when(k % 6 != 0, "%").alias("unit"), (F.col("toxic") == 1).alias("nodata_handled")
+    )
+    cha = d.filter(k % 9 == 0).select(k.alias("report_id"), F.lit("chart").alias("chart_id"), F.concat(F.lit("f/"), k.cast("string"), F.lit(".png")).alias("path"))
+    files = d.filter(k % 36 == 0).select(F.concat(F.lit("f/"), k.cast("string"), F.lit(".png")).alias("path"))
+    return reports.checks(rep, ind, cha, files)
+
+
+_RULES = """SELECT id, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS rule_id, unnest([CASE WHEN coalesce(title, '') = '' THEN 'FAIL' ELSE 'PASS' END, CASE WHEN NOT has OR wrong THEN 'WARN' ELSE 'PASS' END, CASE WHEN lost THEN 'FAIL' ELSE 'PASS' END,
+  CASE WHEN (template = 'composite' AND id % 3 <> 0) OR template IN ('trend', 'subregion') THEN 'FAIL' ELSE 'PASS' END, CASE WHEN charted AND NOT contains(content, 'chart') AND NOT contains(content, id || '.png') THEN 'WARN' ELSE 'PASS' END,
+  CASE WHEN bare THEN 'WARN' ELSE 'PASS' END, CASE WHEN nodata AND NOT contains(lower(content), 'nodata') THEN 'WARN' ELSE 'PASS' END, CASE WHEN regexp_matches(content, '\\{\\{.*\\}\\}') THEN 'FAIL' ELSE 'PASS' END, CASE WHEN trim(content) = '' THEN 'FAIL' ELSE 'PASS' END]) AS severity FROM j"""
+
+
+@query(f"WITH {_REPORT} SELECT id AS report_id, rule_id, severity FROM ({_RULES})")
+def report_checks(spark, sf_dir):
+    return _reported(spark, sf_dir)
+
+
+@query(f"WITH {_REPORT} SELECT id AS report_id, CASE WHEN bool_or(severity = 'FAIL') THEN 'FAIL' WHEN bool_or(severity = 'WARN') THEN 'WARN' ELSE 'PASS' END AS overall FROM ({_RULES}) GROUP BY 1")
+def report_verdicts(spark, sf_dir):
+    return reports.verdicts(_reported(spark, sf_dir))
+
+
+def _rows(*rows: tuple[str, str]):
+    """A query over parsed parameters: (input, its reading as text) against the values as they should be."""
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in rows) + ") t(text, reading)"
+
+
+def _read(spark, parser, *texts: str) -> DataFrame:
+    return spark.createDataFrame([(t, str(parser(t)).replace("'", "")) for t in texts], "text string, reading string")
+
+
+@query(_rows(("1,2;3", "[1, 2, 3]"), ("", "[]"), (" 7 ,,8", "[7, 8]")))
+def parse_integers(spark, sf_dir):
+    return _read(spark, parse.integers, "1,2;3", "", " 7 ,,8")
+
+
+@query(_rows(("1.5;2", "[1.5, 2.0]"), ("-3", "[-3.0]")))
+def parse_numbers(spark, sf_dir):
+    return _read(spark, parse.numbers, "1.5;2", "-3")
+
+
+@query(_rows(("2:5:6,4:5", "{2: [5, 6], 4: [5]}"), ("2>5,2>6,4>5", "{2: [5, 6], 4: [5]}"), ("", "{}")))
+def parse_transitions(spark, sf_dir):
+    return _read(spark, parse.transitions, "2:5:6,4:5", "2>5,2>6,4>5", "")
+
+
+@query(_rows(("1:-1,2:-20.5", "{1: -1.0, 2: -20.5}")))
+def parse_factors(spark, sf_dir):
+    return _read(spark, parse.factors, "1:-1,2:-20.5")
+
+
+@query(_rows(("1:2,3:4", "{1: 2, 3: 4}")))
+def parse_remap(spark, sf_dir):
+    return _read(spark, parse.remap, "1:2,3:4")
+
+
+@query(_rows(("a.tif; b.tif", "[a.tif, b.tif]")))
+def parse_paths(spark, sf_dir):
+    return _read(spark, parse.paths, "a.tif; b.tif")
+
+
+@query(_rows(("TRUE", "True"), ("yes", "True"), ("0", "False")))
+def parse_boolean(spark, sf_dir):
+    return _read(spark, parse.boolean, "TRUE", "yes", "0")
+
+
+@query(_rows(("v1.2", "(1, 2, 0)"), ("3.4.5-b6", "(3, 4, 5)")))
+def parse_version(spark, sf_dir):
+    return _read(spark, parse.version, "v1.2", "3.4.5-b6")
+
+
+@query(_rows(("a/b.tif", "a/b_resampled.tif"), ("c", "c_resampled")))
+def output_names(spark, sf_dir):
+    return _read(spark, parse.output_name, "a/b.tif", "c")
+
+
+@query(_rows(("AUTHORITY[\"EPSG\",\"9001\"] AUTHORITY[\"EPSG\",\"4326\"]", "EPSG:4326"), ("LOCAL_CS[\"arbitrary plane\"]", "LOCAL_CS[\"arbitrary ")))
+def parse_epsg(spark, sf_dir):
+    return _read(spark, parse.epsg, 'AUTHORITY["EPSG","9001"] AUTHORITY["EPSG","4326"]', 'LOCAL_CS["arbitrary plane"]')
+
+
+@query(_rows(("512", "512.00 B"), ("1536", "1.50 KB"), ("3221225472", "3.00 GB")))
+def readable_sizes(spark, sf_dir):
+    return _read(spark, lambda t: parse.readable_size(float(t)), "512", "1536", "3221225472")
+
+
+@query(f"SELECT x, y, {_R3} AS v FROM g")
+def priority_uncovered_class(spark, sf_dir):
+    return _mask(priority.uncovered(_cells(spark, sf_dir), "init_lu", classes=[5]))
+
+
+@query(f"SELECT x, y, {_R4} AS v FROM g")
+def priority_uncovered_population(spark, sf_dir):
+    return _mask(priority.uncovered(_cells(spark, sf_dir), "pop0", threshold=250000))
+
+
+@query("SELECT x, y, CAST(init_lu AS DOUBLE) AS v FROM g")
+def geotiff_round_trip(spark, sf_dir):
+    """Cells dealt by hash, written as strips of a raster in the shared folder and read back."""
+    cells, grid = order_grid(spark, sf_dir)
+    path = f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}.tif"
+    write_geotiff(cells.select("x", "y", F.col("init_lu").alias("v")).repartition(7, "x", "y"), path, replace(grid, nodata=-9999.0, dtype="Int32"))
+    back = spark.read.format("geotiff").load(path)
+    return back.join(cells.select(F.col("x").alias("cx"), F.col("y").alias("cy")), (F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy"))).select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "v")
+
+
+@query("SELECT x, y, round(pop0, 2) AS b1, CAST(curr_lu AS DOUBLE) AS b2 FROM g")
+def geotiff_bands(spark, sf_dir):
+    """Two bands of 64-bit numbers through the sink and back."""
+    cells, grid = order_grid(spark, sf_dir)
+    path = f"{shared_folder(spark)}/bands-{uuid.uuid4().hex}.tif"
+    two = cells.select("x", "y", F.array(F.col("pop0").cast("double"), F.col("curr_lu").cast("double")).alias("bands"))
+    write_geotiff(two.repartition(5, "y", "x"), path, replace(grid, nodata=-9999.0, dtype="Float64", bands=2))
+    back = spark.read.format("geotiff").option("bands", "all").load(path)
+    back = back.join(cells.select(F.col("x").alias("cx"), F.col("y").alias("cy")), (F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy")))
+    return back.select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), F.round(F.col("bands")[0], 2).alias("b1"), F.col("bands")[1].alias("b2"))
+
+
 def _drivers(spark, sf_dir):
     cells = _cells(spark, sf_dir, before="init_lu", after="curr_lu", d0="pop0")
     return cells.withColumn("d1", (F.col("x") % 7).cast("double"))
@@ -641,12 +948,7 @@ def pg_mlp(spark, sf_dir):
 
 def _checkpoints(spark):
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="landloom-checkpoints-")  # local sessions only: a cluster names its own
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 @query()

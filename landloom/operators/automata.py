@@ -67,13 +67,26 @@ def rounds(cells: DataFrame, left: dict[int, int], allowed: Mapping[int, Iterabl
     chosen = candidates(cells, allowed, mu, [c for c, n in left.items() if n > 0])
     order = F.xxhash64(F.lit(seed), F.lit(iteration), "x", "y")
     wanted = chosen.filter(F.col("target").isNotNull()).select("x", "y", "target", order.alias("draw"))
-    # Candidates beyond a generous share of the draw never win: cut them before ranking, so that a target's window is
-    # about as long as its demand.
-    counts = wanted.groupBy("target").agg(F.count("*").alias("n"))
-    need = F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in left.items() for x in kv]), F.col("target")), F.lit(0))
-    limit = counts.withColumn("share", F.least(F.lit(1.0), (need * 1.2 + 1000) / F.col("n"))).select(F.col("target").alias("t"), "share")
-    close = wanted.join(F.broadcast(limit), F.col("target") == F.col("t")).filter(F.pmod("draw", F.lit(1 << 40)) < F.col("share") * float(1 << 40))  # a row a class
-    won = close.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.pmod("draw", F.lit(1 << 40)), "x", "y"))).filter(F.col("rank") <= need)
+    # Draws fall into buckets; their counts (a row a class and bucket) tell the bucket in which a target's demand is met.
+    # Those below it win without a rank, and only that one bucket is ranked: a thousandth of a target's candidates.
+    wanted = wanted.withColumn("draw", F.pmod("draw", F.lit(1 << 40))).withColumn("bucket", F.shiftright("draw", 30))
+    cuts = []
+    by_target: dict[int, list[tuple[int, int]]] = {}
+    for r in wanted.groupBy("target", "bucket").agg(F.count("*").alias("n")).collect():
+        by_target.setdefault(r["target"], []).append((r["bucket"], r["n"]))
+    for target, found in by_target.items():
+        rest = max(0, int(left.get(target, 0)))
+        for bucket, n in sorted(found):
+            if n > rest:
+                cuts.append((target, bucket, rest))
+                break
+            rest -= n
+        else:
+            cuts.append((target, 1 << 11, 0))
+    cut = cells.sparkSession.createDataFrame(cuts, "t int, cut bigint, rest bigint")
+    close = wanted.join(F.broadcast(cut), F.col("target") == F.col("t")).filter(F.col("bucket") <= F.col("cut"))  # a row a class
+    last = close.filter(F.col("bucket") == F.col("cut")).withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("draw", "x", "y"))).filter(F.col("rank") <= F.col("rest"))
+    won = close.filter(F.col("bucket") < F.col("cut")).unionByName(last.drop("rank"))
     moved = won.select("x", "y", F.col("target").alias("won"))
     return cells.join(moved, ["x", "y"], "left").withColumn("v", F.coalesce("won", "v")).drop("won", "op")
 

@@ -9,40 +9,57 @@ from pyspark.sql import functions as F
 
 #: Category keywords; CJK ones weigh double.
 CATEGORIES = {
-    "lucc": ["lucc", "landuse", "land_use", "lulc", "landcover", "土地利用"],
-    "population": ["population", "popu", "pop", "人口"],
-    "buffer": ["buffer", "road", "缓冲"],
-    "gdp": ["gdp", "经济"],
-    "dem": ["dem", "elevation", "slope", "高程"],
-    "redline": ["redline", "protect", "红线"],
+    "lucc": "lucc landuse landcover land_use land_cover cls classification lc 土地利用 土地覆盖 分类".split(),
+    "pop": "pop population gpw density popu 人口 人口密度".split(),
+    "carbon": "carbon emission co2 ghg co2e 碳 排放 二氧化碳".split(),
+    "carbon_forest": "forest_carbon sink biomass carbon_forest carbon_sink 森林碳汇 碳汇 生物量".split(),
+    "elevation": "dem elevation aster srtm altitude dtm 高程 地形 海拔".split(),
+    "slope": "slope gradient aspect 坡度 坡向".split(),
+    "water": "water lake river wetland hydro stream 水体 水域 湖泊 河流 湿地".split(),
+    "ndvi": "ndvi vegetation greenness vi evi 植被 指数 归一化植被".split(),
+    "dist2city": "dist2city dist_city city_dist urban_dist dis_city 城市距离 到城市".split(),
+    "dist2water": "dist2water dist_water water_dist dis_water 水体距离 到水体".split(),
+    "dist2road": "dist2road dist_road road_dist dist2highway dis_road 道路距离 到道路".split(),
+    "esv": "esv ecosystem service esv_value 生态服务 生态系统".split(),
+    "nightlight": "nightlight night_light npp viirs dmsp ntl 夜间灯光 灯光 夜光".split(),
+    "impervious": "impervious isa imperviousness imp 不透水".split(),
+    "gdp": "gdp economic product gdp_ppp 生产总值 经济".split(),
+    "agri_suit": "agri agriculture suitability mca cropland_suit farming 农业适宜 耕地适宜".split(),
 }
 #: Scenario patterns in order of precedence.
-SCENARIOS = (("ssp1", r"ssp_?1"), ("ssp2", r"ssp_?2"), ("ssp3", r"ssp_?3"), ("ssp4", r"ssp_?4"), ("ssp5", r"ssp_?5"), ("simulation", r"simul"), ("baseline", r"base|hist"))
+SCENARIOS = (("ssp1_26", "ssp1"), ("ssp2_45", "ssp2"), ("ssp3_70", "ssp3"), ("ssp5_85", "ssp5"), ("baseline", "baseline"))
+#: Fixed value: the year of a file whose name has none.
+DEFAULT_YEAR = 2020
 STAGES = ("scan", "classify", "standardize", "manifest", "validate", "report")
 
 
 def file_year(name: Column) -> Column:
-    """A year from 1900 to 2100 that stands by itself in a name."""
-    y = F.regexp_extract(name, r"(?<![0-9])((?:19|20)[0-9]{2}|2100)(?![0-9])", 1)
-    return F.when(y != "", y.cast("int"))
+    """The first number of four digits set apart in a name, if it is a year from 1900 to 2100."""
+    y = F.regexp_extract(name, r"(?:^|[_\-\s])([0-9]{4})(?:[_\-\s.]|$)", 1).try_cast("int")
+    return F.when(y.between(1900, 2100), y)
+
+
+def _plain(name: Column) -> Column:
+    return F.translate(F.lower(name), "- ", "__")
 
 
 def file_scenario(name: Column) -> Column:
-    out = F.when(F.lower(name).rlike(SCENARIOS[0][1]), SCENARIOS[0][0])
-    for label, pattern in SCENARIOS[1:]:
-        out = out.when(F.lower(name).rlike(pattern), label)
-    return out.otherwise("default")
+    """The scenario that a name tells (its numbers may follow: ssp245, ssp2_45); null without one."""
+    low = _plain(name)
+    out = F.when(F.contains(low, F.lit(SCENARIOS[0][1])), SCENARIOS[0][0])
+    for label, mark in SCENARIOS[1:]:
+        out = out.when(F.contains(low, F.lit(mark)), label)
+    return out
 
 
 def file_category(name: Column) -> Column:
-    """The category whose matching keywords weigh most (the first of equals); ``other`` without a match."""
-    low = F.lower(name)
+    """The category whose matching keywords weigh most (the first of equals); ``unknown`` without a match."""
     scores = []
     for k, (label, words) in enumerate(CATEGORIES.items()):
-        total = sum((F.when(F.contains(low, F.lit(w)), len(w) * (1 if w.isascii() else 2)).otherwise(0) for w in words), F.lit(0))
+        total = sum((F.when(F.contains(_plain(name) if w.isascii() else name, F.lit(w)), len(w) * (1 if w.isascii() else 2)).otherwise(0) for w in words), F.lit(0))
         scores.append(F.struct(total.alias("n"), F.lit(-k).alias("k"), F.lit(label).alias("c")))
     best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["c"]).otherwise("other")
+    return F.when(best["n"] > 0, best["c"]).otherwise("unknown")
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -56,7 +73,7 @@ def scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
 def build(files: DataFrame, project: str) -> dict:
     """A manifest: one dataset per category with its files; the resolution of its first file that has one."""
     rows = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    rows = rows.select(file_category(F.col("name")).alias("category"), F.struct("path", file_year(F.col("name")).alias("year"), file_scenario(F.col("name")).alias("scenario")).alias("file"), F.struct(F.col("res").isNull(), "path", "res").alias("r"))
+    rows = rows.select(file_category(F.col("name")).alias("category"), F.struct("path", F.coalesce(file_year(F.col("name")), F.lit(DEFAULT_YEAR)).alias("year"), file_scenario(F.col("name")).alias("scenario")).alias("file"), F.struct(F.col("res").isNull(), "path", "res").alias("r"))
     grouped = rows.groupBy("category").agg(F.sort_array(F.collect_list("file")).alias("files"), F.min("r").getField("res").alias("resolution"))
     datasets = [{"id": r["category"], "resolution": r["resolution"], "files": [f.asDict() for f in r["files"]]} for r in grouped.orderBy("category").collect()]
     return {"project": {"name": project}, "datasets": datasets}

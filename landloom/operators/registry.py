@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILES = "path string, region string, category string, year int, count int, updated string"
@@ -51,9 +51,8 @@ def latest(sessions: DataFrame, limit: int = 10) -> DataFrame:
 
 def current(events: DataFrame) -> DataFrame:
     """Session events (start, update, finish rows) -> the last non-blank value of each field per session."""
-    order = Window.partitionBy("session_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fields = [c for c in events.columns if c not in ("session_id", "at")]
-    return events.select("session_id", *[F.last(c, ignorenulls=True).over(order).alias(c) for c in fields]).distinct()
+    return events.groupBy("session_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in fields])
 
 
 def archive(sessions: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ Rasters are paths of cell tables (Parquet) or of GeoTIFFs. Defaults are one cano
 from __future__ import annotations
 
 import inspect as _inspect
+import warnings
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +17,11 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions import parse
-from ..grid import Grid, Raster
+from ..grid import Grid, GridError, Raster
 from ..operators import accuracy, automata, indicators, infrastructure, inspection, markov, preprocess, priority, transition_ml
 from ..operators.align import align, resample as regrid
-from ..sources.geotiff import GeoTiffSource, header_of
+from ..sources.geotiff import GeoTiffSource, grid_of, write_geotiff
+from ..sources.grids import load_grid, save_grid
 from ..sources.tables import literal_samples, read_binary_demand, read_demand, read_reclass, write_demand
 from . import dag, plugins
 
@@ -34,14 +37,19 @@ def command(name: str) -> Callable:
 
 
 def raster(spark: SparkSession, path: str | Raster) -> Raster:
+    """A raster by its path; a Parquet table has its grid beside it (tables of other origin count as a unit grid)."""
     if isinstance(path, Raster):
         return path
     if path.lower().endswith((".tif", ".tiff")):
         spark.dataSource.register(GeoTiffSource)
-        return Raster(spark.read.format("geotiff").load(path), header_of(path).grid)
+        return Raster(spark.read.format("geotiff").load(path), grid_of(path))
     cells = spark.read.parquet(path)
-    ends = cells.agg(F.max("x"), F.max("y")).first()
-    return Raster(cells, Grid((ends[0] or 0) + 1, (ends[1] or 0) + 1))
+    kept = load_grid(spark, path)
+    if kept is None:
+        ends = cells.agg(F.max("x"), F.max("y")).first()
+        kept = Grid((ends[0] or 0) + 1, (ends[1] or 0) + 1)
+        warnings.warn(f"{path} has no grid beside it: cells count as units without a projection", stacklevel=2)
+    return Raster(cells, kept)
 
 
 def _cells(spark, **paths) -> DataFrame:
@@ -60,11 +68,32 @@ def _factors(x) -> dict[int, float]:
     return parse.factors(x) if isinstance(x, str) else dict(x)
 
 
-def _out(df: DataFrame, output: str | None) -> DataFrame:
+def _grid(spark: SparkSession, path: str | Raster, output: str | None) -> Grid | None:
+    """The grid of an input, where there is an output that takes it over."""
+    return raster(spark, path).grid if output else None
+
+
+def _out(df: DataFrame, output: str | None, grid: Grid | None = None) -> DataFrame:
+    """Write a raster as GeoTIFF (a path that ends so) or as a Parquet table with its grid beside it, and read it back.
+
+    An array column is written as bands of Float32, whole numbers as Int32, others as Float32; NoData is -9999.
+    """
     if not output:
         return df
+    spark = df.sparkSession
+    value = next((c for c in ("v", "level", "pg", "bands") if c in df.columns), df.columns[-1])
+    kind = df.schema[value].dataType.simpleString()
+    if output.lower().endswith((".tif", ".tiff")):
+        if grid is None:
+            raise GridError("a raster output needs a grid")
+        k = (df.select(F.max(F.size(value))).first()[0] or 1) if kind.startswith("array") else 1
+        own = replace(grid, bands=int(k), nodata=-9999.0, dtype="Int32" if kind in ("tinyint", "smallint", "int", "bigint") else "Float32")
+        write_geotiff(df.select("x", "y", F.col(value).alias("bands" if kind.startswith("array") else "v")), output, own)
+        return spark.read.format("geotiff").option("bands", "all" if kind.startswith("array") else "1").load(output)
     df.write.mode("overwrite").parquet(output)
-    return df.sparkSession.read.parquet(output)
+    if grid is not None:
+        save_grid(spark, output, grid)
+    return spark.read.parquet(output)
 
 
 @command("sdg-land-proportion")
@@ -117,33 +146,33 @@ def t_test(spark, data1, data2):
 
 @command("priority-loss")
 def priority_loss(spark, init_lucc, curr_lucc, types, output=None):
-    return _out(priority.loss(_cells(spark, before=init_lucc, after=curr_lucc), _ints(types)), output)
+    return _out(priority.loss(_cells(spark, before=init_lucc, after=curr_lucc), _ints(types)), output, _grid(spark, init_lucc, output))
 
 
 @command("priority-transition")
 def priority_transition(spark, init_lucc, curr_lucc, transitions, output=None):
-    return _out(priority.converted(_cells(spark, before=init_lucc, after=curr_lucc), _moves(transitions)), output)
+    return _out(priority.converted(_cells(spark, before=init_lucc, after=curr_lucc), _moves(transitions)), output, _grid(spark, init_lucc, output))
 
 
 @command("priority-buffer")
 def priority_buffer(spark, data, buffer, types="", pop_threshold=1000.0, output=None):
-    return _out(priority.uncovered(_cells(spark, v=data, buf=buffer), classes=_ints(types) if types else (), threshold=float(pop_threshold)), output)
+    return _out(priority.uncovered(_cells(spark, v=data, buf=buffer), classes=_ints(types) if types else (), threshold=float(pop_threshold)), output, _grid(spark, data, output))
 
 
 @command("priority-emission")
 def priority_emission(spark, init_lucc, curr_lucc, emission, radius=3, output=None):
-    return _out(priority.emission_growth(_cells(spark, before=init_lucc, after=curr_lucc), _factors(emission), int(radius)), output)
+    return _out(priority.emission_growth(_cells(spark, before=init_lucc, after=curr_lucc), _factors(emission), int(radius)), output, _grid(spark, init_lucc, output))
 
 
 @command("priority-human-land")
 def priority_human_land(spark, pre_lucc, now_lucc, pre_popu, now_popu, types, radius=3, output=None):
-    return _out(priority.people_and_land(_cells(spark, land0=pre_lucc, land1=now_lucc, pop0=pre_popu, pop1=now_popu), _ints(types), int(radius)), output)
+    return _out(priority.people_and_land(_cells(spark, land0=pre_lucc, land1=now_lucc, pop0=pre_popu, pop1=now_popu), _ints(types), int(radius)), output, _grid(spark, pre_lucc, output))
 
 
 @command("priority-merge")
 def priority_merge(spark, inputs, output=None):
     found = parse.paths(inputs) if isinstance(inputs, str) else inputs
-    return _out(priority.merge([raster(spark, p).cells for p in found]), output)
+    return _out(priority.merge([raster(spark, p).cells for p in found]), output, _grid(spark, found[0], output))
 
 
 @command("priority-stats")
@@ -167,24 +196,24 @@ def resample(spark, inputs, base, method="nearest", output=None):
     all_ = outs[0]
     for o in outs[1:]:
         all_ = all_.unionByName(o)
-    return _out(all_, output)
+    return _out(all_, output, grid)
 
 
 @command("normalize")
 def normalize(spark, input, low=0.0, high=1.0, min=None, max=None, output=None):
-    return _out(preprocess.normalize(raster(spark, input).cells, float(low), float(high), None if min is None else float(min), None if max is None else float(max)), output)
+    return _out(preprocess.normalize(raster(spark, input).cells, float(low), float(high), None if min is None else float(min), None if max is None else float(max)), output, _grid(spark, input, output))
 
 
 @command("reclass")
 def reclass(spark, input, remap="", nodata="", nodata_value=-9999, rule=None, output=None):
     r = raster(spark, input)
     mapping, gone = read_reclass(rule) if rule else (parse.remap(remap) if isinstance(remap, str) else dict(remap), _ints(nodata) if nodata else [])
-    return _out(preprocess.reclassify(r.cells, mapping, gone, int(nodata_value), r.grid.dtype), output)
+    return _out(preprocess.reclassify(r.cells, mapping, gone, int(nodata_value), r.grid.dtype), output, r.grid)
 
 
 @command("detect-change")
 def detect_change(spark, before, after, encode=False, output=None):
-    return _out(preprocess.change_map(_cells(spark, before=before, after=after), encode=encode), output)
+    return _out(preprocess.change_map(_cells(spark, before=before, after=after), encode=encode), output, _grid(spark, before, output))
 
 
 @command("compress")
@@ -211,7 +240,7 @@ def ca_pg(spark, pre_lucc, now_lucc, drivers, method="rf", trees=60, select_rate
     cells = _cells(spark, before=pre_lucc, after=now_lucc, **dict(zip(names, files, strict=True)))
     sample = transition_ml.samples(cells, names, cap_changed=int(cap_changed), cap_same=int(cap_same), seed=int(seed))
     model, classes = transition_ml.train(sample, names, method, int(trees), float(select_rate), int(seed))
-    return _out(transition_ml.score(cells.withColumnRenamed("after", "v"), model, names, classes, "v").withColumn("classes", F.array(*[F.lit(c) for c in classes])), output)
+    return _out(transition_ml.score(cells.withColumnRenamed("after", "v"), model, names, classes, "v").withColumn("classes", F.array(*[F.lit(c) for c in classes])), output, _grid(spark, pre_lucc, output))
 
 
 @command("ca-simulate")
@@ -223,7 +252,7 @@ def ca_simulate(spark, lucc, pg, demand, year=0, transitions="", redline=None, i
         cells = cells.join(raster(spark, redline).named("redline"), ["x", "y"], "left")
     wanted = read_demand(spark, demand, classes, int(year)) if isinstance(demand, str) else dict(demand)
     out, _ = automata.simulate(cells, wanted, classes, _moves(transitions) if transitions else None, iterations=int(iterations), neighbours=int(neighbor), step_size=float(step_size), convergence=float(convergence), seed=int(seed), mode=mode)
-    return _out(out.select("x", "y", "v"), output)
+    return _out(out.select("x", "y", "v"), output, _grid(spark, lucc, output))
 
 
 @command("sdg-infra-simulate")
@@ -231,7 +260,7 @@ def infra_simulate(spark, lucc, zone, demand, year=0, iterations=10, neighbor=3,
     cells = _cells(spark, v=lucc, zone=zone)
     n = read_binary_demand(spark, demand, int(year)) if isinstance(demand, str) else int(demand)
     out, _ = infrastructure.simulate(cells, n, int(iterations), int(neighbor), float(decay), float(convergence), int(seed), compat)
-    return _out(out, output)
+    return _out(out, output, _grid(spark, lucc, output))
 
 
 @command("sdg-predict")

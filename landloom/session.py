@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="landloom-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session may do without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = found.get() if found.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{_own_folder()}"
+    return named.rstrip("/")
+
+
 def local_session(cpus: int | str = 8, shuffle: int = 8) -> SparkSession:
     """A local session for tests and benchmarks (clusters bring their own)."""
     spark = (

@@ -2,13 +2,14 @@
 
 ``spark.dataSource.register(GeoTiffSource)`` once; then ``spark.read.format("geotiff").load(path)`` gives (x, y, v), or
 (x, y, bands ARRAY<DOUBLE>) with option ``bands=all``; NoData is NULL. One input partition per group of strips or tiles,
-so a large raster is read by many tasks. ``df.write.format("geotiff").option("width", w)...save(path)`` writes one TIFF
-per partition into a folder, each a horizontal strip of whole rows placed by its own origin: sort or range-partition by
-y first. Classic TIFF, strips or tiles, no compression or deflate, predictors 1 and 2.
+so a large raster is read by many tasks. ``write_geotiff(df, path, grid)`` writes a folder of horizontal strips of whole
+rows, one or K bands, which reads back as one raster. Classic TIFF, strips or tiles, no compression or deflate, predictors 1 and 2.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import os
 import struct
 import zlib
@@ -17,7 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..grid import Grid, GridError
 
@@ -155,6 +157,7 @@ class _Reader(DataSourceReader):
             g = h.grid
             for k in range(partition.first, partition.last):
                 x, y, a = _block(h, read, k)
+                y += first_row(partition.path)
                 ys, xs = np.mgrid[y : y + a.shape[0], x : x + a.shape[1]]
                 values = a.reshape(-1, g.bands)
                 bad = np.zeros(values.shape, bool)
@@ -176,12 +179,46 @@ def _files(path: str) -> list[str]:
     return [local]
 
 
+#: Name of a strip of a raster folder, with its first row; cells of about so many stand in one strip.
+_STRIP = "strip-{:09d}.tif"
+STRIP_CELLS = 1 << 22
+
+
+def first_row(path: str) -> int:
+    name = os.path.basename(path)
+    return int(name[6:15]) if name.startswith("strip-") else 0
+
+
+def strip_rows(grid: Grid) -> int:
+    return max(1, min(grid.height, STRIP_CELLS // max(1, grid.width * grid.bands)))
+
+
+def write_geotiff(df: DataFrame, path: str, grid: Grid) -> None:
+    """Write cells (x, y, v), or (x, y, bands) with an array of K values, as a folder of strips of one raster.
+
+    Cells are dealt by strip first, whatever their order: every strip is written whole by one task, in one file with its own
+    place in the name, and reads back at its own rows. Cells that the frame lacks are NoData. The grid goes beside the strips.
+    """
+    df.sparkSession.dataSource.register(GeoTiffSource)
+    rows = strip_rows(grid)
+    strip = F.floor(F.col("y") / rows)
+    values = F.col("bands").cast("array<double>").alias("bands") if "bands" in df.columns else F.col("v").cast("double").alias("v")
+    dealt = df.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), values)
+    dealt = dealt.repartition(max(1, -(-grid.height // rows)), strip).sortWithinPartitions(strip)
+    options = {"width": grid.width, "height": grid.height, "transform": ",".join(map(repr, grid.transform)), "crs": grid.crs, "dtype": grid.dtype, "bands": grid.bands}
+    if grid.nodata is not None:
+        options["nodata"] = grid.nodata
+    dealt.write.format("geotiff").options(**options).mode("overwrite").save(path)
+
+
 @dataclass
 class _Done(WriterCommitMessage):
-    path: str | None
+    paths: list  # (final, temporary)
+
 
+class _Writer(DataSourceArrowWriter):
+    """Strips of one raster. A strip that two tasks hold cells of is refused at commit: ``write_geotiff`` deals cells so."""
 
-class _Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].removeprefix("file://").removeprefix("file:")
         self.grid = Grid(
@@ -191,38 +228,75 @@ class _Writer(DataSourceWriter):
             options.get("crs", ""),
             float(options["nodata"]) if "nodata" in options else None,
             options.get("dtype", "Byte"),
+            int(options.get("bands", 1)),
         )
         self.overwrite = overwrite
 
-    def write(self, rows):
-        cells = [(r["x"], r["y"], r["v"]) for r in rows]
-        if not cells:
-            return _Done(None)
-        g = self.grid
-        x, y = (np.array(c, int) for c in zip(*((a, b) for a, b, _ in cells), strict=True))
+    def _strip(self, k: int, parts: list) -> tuple[str, str]:
+        g, rows = self.grid, strip_rows(self.grid)
+        y0 = k * rows
         fill = g.nodata if g.nodata is not None else 0
-        a = np.full((int(y.max() - y.min()) + 1, g.width), fill).astype(NUMPY[g.dtype])
-        a[y - y.min(), x] = np.array([fill if v is None else v for _, _, v in cells]).astype(NUMPY[g.dtype])
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}.tif")
+        a = np.full((min(rows, g.height - y0), g.width, g.bands), fill).astype(NUMPY[g.dtype])
+        for x, y, v in parts:
+            a[y - y0, x] = np.where(np.isnan(v), fill, v).astype(NUMPY[g.dtype])
         t = list(g.transform)
-        t[0], t[3] = t[0] + y.min() * t[2], t[3] + y.min() * t[5]
-        with open(name + ".tmp", "wb") as f:  # renamed at commit, so an abandoned attempt leaves no raster
-            f.write(encode(a, Grid(g.width, a.shape[0], tuple(t), g.crs, g.nodata, g.dtype)))
-        return _Done(name)
+        t[0], t[3] = t[0] + y0 * t[2], t[3] + y0 * t[5]
+        name = os.path.join(self.path, _STRIP.format(y0))
+        temporary = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
+        with open(temporary, "wb") as f:  # renamed at commit, so an abandoned attempt leaves no raster
+            f.write(encode(a, Grid(g.width, a.shape[0], tuple(t), g.crs, g.nodata, g.dtype, g.bands)))
+        return name, temporary
+
+    def write(self, iterator):
+        os.makedirs(self.path, exist_ok=True)
+        rows, held, done = strip_rows(self.grid), {}, []
+        for batch in iterator:
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False).astype(int) for k in (0, 1))
+            if batch.schema.field(2).name == "bands":
+                v = np.array([[np.nan if e is None else e for e in b or [None] * self.grid.bands] for b in batch.column(2).to_pylist()], float).reshape(len(x), self.grid.bands)
+            else:
+                v = batch.column(2).to_numpy(zero_copy_only=False).astype(float)[:, None]
+            if len(x) and (x.min() < 0 or y.min() < 0 or x.max() >= self.grid.width or y.max() >= self.grid.height):
+                raise GridError("cells outside the grid")
+            strips = y // rows
+            for k in np.unique(strips).tolist():
+                own = strips == k
+                held.setdefault(k, []).append((x[own], y[own], v[own]))
+            if len(strips) and (np.diff(strips) >= 0).all():  # sorted by strip: those before the last are whole
+                for k in [k for k in held if k < strips[-1]]:
+                    done.append(self._strip(k, held.pop(k)))
+        done += [self._strip(k, parts) for k, parts in held.items()]
+        return _Done(done)
 
     def commit(self, messages):
-        mine = {m.path for m in messages if m and m.path}
+        mine = [p for m in messages if m for p in m.paths]
+        if len({final for final, _ in mine}) < len(mine):
+            self.abort(messages)
+            raise GridError("cells of one strip came from several tasks: write with write_geotiff, or deal them by row")
+        os.makedirs(self.path, exist_ok=True)
         if self.overwrite:
-            for p in _files(self.path) if os.path.isdir(self.path) else []:
+            for p in _files(self.path):
                 os.remove(p)
-        for p in mine:
-            os.rename(p + ".tmp", p)
+        for final, temporary in mine:
+            os.rename(temporary, final)
+        with open(os.path.join(self.path, "_grid.json"), "w") as f:
+            json.dump(dataclasses.asdict(self.grid), f)
 
     def abort(self, messages):
         for m in messages:
-            if m and m.path and os.path.exists(m.path + ".tmp"):
-                os.remove(m.path + ".tmp")
+            for _, temporary in m.paths if m else []:
+                if os.path.exists(temporary):
+                    os.remove(temporary)
+
+
+def grid_of(path: str) -> Grid:
+    """The grid of a raster file, or of a folder that the sink wrote."""
+    local = path.removeprefix("file://").removeprefix("file:")
+    if os.path.isdir(local):
+        with open(os.path.join(local, "_grid.json")) as f:
+            kept = json.load(f)
+        return Grid(**kept | {"transform": tuple(kept["transform"])})
+    return header_of(local).grid
 
 
 class GeoTiffSource(DataSource):

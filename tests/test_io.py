@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from landloom.functions import parse
 from landloom.grid import Grid
-from landloom.operators import knowledge, manifest, markov, registry, rules
+from landloom.operators import knowledge, manifest, markov, registry, reports, rules
 from landloom.plans import commands, dag, plugins
 from landloom.sources import geotiff, tables
 
@@ -23,12 +23,11 @@ def test_geotiff_round_trip(spark, tmp_path, dtype):
     spark.dataSource.register(geotiff.GeoTiffSource)
     rows = spark.read.format("geotiff").load(str(path)).collect()
     assert {(r["x"], r["y"]): r["v"] for r in rows} == {(x, y): (None if a[y, x] == 7 else float(a[y, x])) for x in range(10) for y in range(6)}
-    out = tmp_path / "out"
-    df = spark.read.format("geotiff").load(str(path)).repartitionByRange(2, "y")
-    df.write.format("geotiff").option("width", 10).option("height", 6).option("dtype", dtype).option("nodata", 7).mode("append").save(str(out))
-    parts = list(out.glob("*.tif"))
-    assert parts and not list(out.glob("*.tmp"))
-    assert sum(geotiff.header_of(str(p)).grid.height for p in parts) == 6
+    out, df = tmp_path / "out.tif", spark.read.format("geotiff").load(str(path))
+    geotiff.write_geotiff(df.repartition(4, "x", "y"), str(out), grid)  # dealt by hash, as after any join
+    assert list(out.glob("*.tif")) and not list(out.glob("*.tmp")) and geotiff.grid_of(str(out)) == grid
+    again = spark.read.format("geotiff").load(str(out)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
     meta = manifest.scan(spark, str(tmp_path)).filter(F.col("path").endswith("a.tif")).first()
     assert (meta["width"], meta["height"], meta["dtype"], meta["epsg"], meta["res"]) == (10, 6, dtype, "EPSG:3857", 30.0)
 
@@ -41,6 +40,60 @@ def test_bands(spark, tmp_path):
     assert {(r["x"], r["y"]): r["bands"] for r in rows}[1, 1] == a[1, 1].tolist()
 
 
+def test_bands_round_trip_in_strips(spark, tmp_path, monkeypatch):
+    grid = Grid(7, 9, (0.0, 10.0, 0.0, 90.0, 0.0, -10.0), "EPSG:3857", -1.0, "Float32", 2)
+    cells = spark.createDataFrame([(x, y, [x + 0.5, None if x == y else float(y)]) for x in range(7) for y in range(9)], "x int, y int, bands array<double>")
+    rows = geotiff.strip_rows(grid)
+    assert rows == 9
+    geotiff.write_geotiff(cells.repartition(3, "x"), str(tmp_path / "k.tif"), grid)
+    got = spark.read.format("geotiff").option("bands", "all").load(str(tmp_path / "k.tif")).collect()
+    assert {(r["x"], r["y"]): r["bands"] for r in got} == {(r["x"], r["y"]): r["bands"] for r in cells.collect()}
+
+
+def test_strips_by_hand(tmp_path, monkeypatch):
+    """Strips of two rows from batches in order, each at its own place; a strip of two tasks is refused."""
+    import pyarrow as pa
+
+    class Task:
+        def taskAttemptId(self):
+            return 5
+
+    monkeypatch.setattr(geotiff, "STRIP_CELLS", 8)
+    monkeypatch.setattr(geotiff.TaskContext, "get", classmethod(lambda cls: Task()))
+    w = geotiff._Writer({"path": str(tmp_path), "width": "4", "height": "5", "nodata": "0"}, True)
+    batch = lambda ys: pa.RecordBatch.from_arrays([pa.array([1] * len(ys), pa.int32()), pa.array(ys, pa.int32()), pa.array([float(y + 1) for y in ys])], ["x", "y", "v"])
+    done = w.write(iter([batch([0, 1, 2]), batch([3, 4])]))
+    w.commit([done])
+    assert sorted(p.name for p in tmp_path.glob("*.tif")) == [f"strip-{k:09d}.tif" for k in (0, 2, 4)]
+    assert [geotiff.header_of(str(p)).grid.height for p in sorted(tmp_path.glob("*.tif"))] == [2, 2, 1]
+    with pytest.raises(geotiff.GridError):
+        w.commit([w.write(iter([batch([0])])), w.write(iter([batch([1])]))])
+
+
+def test_outputs_keep_their_grid(spark, tmp_path):
+    grid = Grid(4, 3, (500.0, 30.0, 0.0, 900.0, 0.0, -30.0), "EPSG:3857", 0.0, "Byte")
+    a = np.array([[1, 2, 3, 4], [2, 2, 2, 2], [0, 1, 1, 3]], "u1")
+    (tmp_path / "a.tif").write_bytes(geotiff.encode(a, grid))
+    (tmp_path / "b.tif").write_bytes(geotiff.encode(a[::-1].copy(), grid))
+    for out in (str(tmp_path / "m.parquet"), str(tmp_path / "m.tif")):
+        commands.COMMANDS["priority-loss"](spark, str(tmp_path / "a.tif"), str(tmp_path / "b.tif"), "1,2", output=out)
+        back = commands.raster(spark, out)
+        assert (back.grid.width, back.grid.height, back.grid.transform, back.grid.crs) == (4, 3, grid.transform, grid.crs)
+        assert back.cells.count() == 12
+
+
+def test_report_checks(spark):
+    rep = spark.createDataFrame([(1, "trend", "趋势概述 时间序列分析 结论 c1", "t", "p"), (2, "composite", "{{ x }} 执行摘要", "", "p"), (3, "trend", None, "t", "p")], "report_id int, template string, content string, title string, period string")
+    ind = spark.createDataFrame([(1, "score", "a", "50", "%", False), (2, "score", "a", "500", None, True), (2, "c", "b", "x", "m", False)], "report_id int, code string, name string, value string, unit string, nodata_handled boolean")
+    cha = spark.createDataFrame([(1, "c1", "p/q.png"), (2, "c2", "z.png")], "report_id int, chart_id string, path string")
+    got = reports.checks(rep, ind, cha, spark.createDataFrame([("p/q.png",)], "path string"))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["report_id"], {})[r["rule_id"]] = r["severity"]
+    assert by == {1: dict.fromkeys(range(1, 10), "PASS"), 2: {1: "FAIL", 2: "WARN", 3: "FAIL", 4: "FAIL", 5: "WARN", 6: "WARN", 7: "WARN", 8: "FAIL", 9: "PASS"}, 3: {9: "FAIL"}}
+    assert {r["report_id"]: r["overall"] for r in reports.verdicts(got).collect()} == {1: "PASS", 2: "FAIL", 3: "FAIL"}
+
+
 def test_demand_files(spark, tmp_path):
     demand = spark.createDataFrame([(2010, 1, 5), (2010, 2, 6), (2020, 1, 4), (2020, 2, 7)], "year int, class bigint, n bigint")
     tables.write_demand(demand, str(tmp_path / "d"))
@@ -142,7 +195,7 @@ def test_registry_and_manifest(spark):
     assert rows["a"]["count"] == 2 and rows["a"]["region"] == "r" and rows["a"]["category"] == "c" and rows["b"]["count"] == 1
     names = spark.createDataFrame([("lucc_2020_ssp2.tif",), ("人口_1950.tif",), ("x_12020.tif",)], "n string")
     got = names.select(manifest.file_year(F.col("n")), manifest.file_scenario(F.col("n")), manifest.file_category(F.col("n"))).collect()
-    assert [tuple(r) for r in got] == [(2020, "ssp2", "lucc"), (1950, "default", "population"), (None, "default", "other")]
+    assert [tuple(r) for r in got] == [(2020, "ssp2_45", "lucc"), (1950, None, "pop"), (None, None, "unknown")]
     listed = manifest.read(spark, json.dumps({"datasets": {"d": {"files": ["a.tif", {"file": "b.tif", "year": 3000}]}}}))
     assert manifest.orphans(listed, spark.createDataFrame([("a.tif",), ("z.tif",)], "path string")).count() == 2
     assert {r["problem"] for r in manifest.integrity(listed, [], ["d"]).collect()} == {"year_out_of_range"}
