@@ -5,7 +5,7 @@ Fingerprints: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, shingles of three
 
 Comparison is exact. Different fingerprints only are compared, so any number of copies costs one row. They are dealt
 into tiles; a pair of tiles is compared with numpy exclusive-or and bit counts unless the population counts of the two
-tiles differ by more than the radius. To keep the pairs of tiles from growing with the square of the corpus, tiles are
+tiles differ by more than the radius; within a pair (and a tile with itself) the same holds for sub-tiles of like counts. To keep the pairs of tiles from growing with the square of the corpus, tiles are
 dealt by bands: two 64-bit words that differ in r bits agree on at least one of r + 1 bands, so tiles need only meet
 within a band value and no link is lost. A band value with more than ``tile`` fingerprints is cut by population count
 and a hash, and its tiles are compared pair by pair in separate rows. Each comparison emits the links that join its
@@ -28,6 +28,8 @@ from .components import components
 
 RADIUS = 3
 TILE = 4096
+#: Fingerprints of a tile that are compared in one table of differences.
+SUBTILE = 256
 SHINGLE = 3
 
 
@@ -75,16 +77,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def _links(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
     """Links (x, y) that span the near pairs of two tiles: enough of them to join what the tiles join."""
-    # Chunked so that the table of differences stays under 32 MB.
+    # Both sides in order of population count and cut into sub-tiles: two words that differ in at most ``radius`` bits have
+    # counts that differ by no more, so a sub-tile meets only that stretch of the other side; the rest is skipped.
+    a = a[np.argsort(np.bitwise_count(a), kind="stable")]
+    b = a if same else b[np.argsort(np.bitwise_count(b), kind="stable")]
+    pa, pb = (np.bitwise_count(x).astype(np.int64) for x in (a, b))
     xs, ys = [], []
-    step = max(1, (1 << 22) // max(1, len(b)))
-    for at in range(0, len(a), step):
-        near = np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius
+    for at in range(0, len(a), SUBTILE):
+        rows = a[at : at + SUBTILE]
+        lo = max(int(np.searchsorted(pb, pa[at] - radius)), at if same else 0)
+        hi = int(np.searchsorted(pb, pa[at + len(rows) - 1] + radius, side="right"))
+        near = np.bitwise_count(rows[:, None] ^ b[None, lo:hi]) <= radius
         if same:
-            near &= np.arange(at, min(at + step, len(a)))[:, None] < np.arange(len(b))[None, :]
+            near &= np.arange(at, at + len(rows))[:, None] < np.arange(lo, hi)[None, :]
         i, j = np.nonzero(near)
         xs.append(i + at)
-        ys.append(j)
+        ys.append(j + lo)
     i, j = np.concatenate(xs), np.concatenate(ys)
     if len(i) == 0:
         return a[:0], b[:0]
@@ -157,8 +165,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIU
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     fp = materialise(fingerprints(docs, id_col), "simhash-fps")
     tagged = _grouped(fp, radius, tile)
-    least = tagged.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = tagged.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id")
+    # Tables of their own: both sides of each join are then plain shuffles, and adaptive execution can split a hot group.
+    least = materialise(tagged.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
+    by_class = materialise(tagged.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id"), "simhash-classes")
     out = fp.join(by_class, F.col("fp") == F.col("c_fp"), "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -166,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIU
 def without_later(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The first row of each group, all columns; ``rows`` (doc_id, h, root) has a row for each of ``docs``."""
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
-    best = rows.groupBy("root").agg(F.min(place).alias("best")).select(F.col("root").alias("b_root"), "best")
+    best = materialise(rows.groupBy("root").agg(F.min(place).alias("best")).select(F.col("root").alias("b_root"), "best"), "first-rows")
     bad = rows.join(best, F.col("root") == F.col("b_root")).filter(~place.eqNullSafe(F.col("best"))).select("doc_id", "h")
     out = without(docs, bad, {"doc_id": F.col(id_col), "h": _text_hash()})
     # Repeated rows are equal in id and text; only where there are any does the result need a pass over them.
