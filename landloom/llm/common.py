@@ -25,11 +25,16 @@ def _local_fallback() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where that is unset and the session local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = found.get() if found.isDefined() else f"file://{_local_fallback()}"
+        named = found.get() if found.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{_local_fallback()}"
     return named.rstrip("/")
 
 

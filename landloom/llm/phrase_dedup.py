@@ -245,7 +245,8 @@ def repeated(docs: DataFrame, id_col: str, window: int, gram: int, shard_words:
         .join(copies, "shard")
         .select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), "id", "words", F.lit(None).cast("array<bigint>").alias("owners"))
     )
-    runs = work.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_stream(window), "id bigint, s bigint, e bigint")
+    tasks = int(streams.agg(F.sum("size")).first()[0] or 0) // stream_bytes + 1
+    runs = work.repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_stream(window), "id bigint, s bigint, e bigint")
     runs = runs.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     return base, reps, texts.select("key", "id", "words").join(runs, "id").select("key", "words", "runs")
 
@@ -261,7 +262,8 @@ def dedup(
     """One row per input row: doc_id, n_words, n_removed, kept_sha256."""
     base, reps, lossy = repeated(docs, id_col, window, gram, shard_words, stream_bytes)
     cut = lossy.mapInArrow(_cut, "key binary, n_removed bigint, kept_sha256 string").dropDuplicates(["key"])
-    by_class = reps.select("key", F.col("id").alias("first")).join(cut, "key", "left")
+    # A table of its own: the last join then has two plain shuffles, and adaptive execution can split a hot text's copies.
+    by_class = materialise(reps.select("key", F.col("id").alias("first")).join(cut, "key", "left"), "phrase-done")
     out = base.select("doc_id", "id", "key", "n_words", "sha").join(by_class, "key", "left")
     copy = F.col("first").isNotNull() & (F.col("id") > F.col("first"))
     return out.select(
