@@ -120,6 +120,14 @@ def test_long_endpoint(spark):
     assert got[0] == {"endpoint:0:700", "assign:701:717", "id:718:730"} and got[1] == {"endpoint:0:450", "opaque:610:626", "id:627:639"}
 
 
+def test_many_secrets(spark):
+    """A very long text of many matches has the spans that Python finds, in time."""
+    text = " ".join(f"token={k:08x} é {k * 7919:032x} x" for k in range(60_000))
+    got = spans_of(spark, text)[0]
+    assign = {f"assign:{m.start()}:{m.end()}" for m in re.finditer("token=[0-9a-f]+", text)}
+    assert len(assign) == 60_000 and got == assign | {f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{24,}", text)}
+
+
 def test_decontaminate(spark, docs, rows, empty):
     long = max((r[1] or "" for r in rows), key=len).split()
     items = [(0, " ".join(long[100:140])), (1, " ".join([*long[200:230], "new", "words", "here"])), (2, " ".join([*long[300:315], *"quite other words make the rest of this".split()])), (3, "two words"), (4, None), (5, ""), (0, " ".join(long[100:140]))]
