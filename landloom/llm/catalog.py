@@ -99,17 +99,17 @@ def _op3_sql() -> str:
     return f"""
 WITH f AS (SELECT doc_id, lang, t, list_filter(string_split_regex(t, '{ws}+'), lambda x: x <> '') AS w, regexp_replace(t, '{ws}+', '', 'g') AS left0,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)){peel},
-h AS (SELECT *, [{counts}] AS chars, [{words}] AS common FROM l{n}),
+h AS (SELECT *, [{counts}] AS chars, [{words}] AS few, list_append(few, len(w) - list_sum(few)) AS common FROM l{n}),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM f)),
 rep AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN rep USING (doc_id, s)) GROUP BY doc_id),
-ref AS (SELECT lang AS r, {sums('chars', n + 1)} AS ref_chars, {sums('common', len(COMMON_WORDS))} AS ref_common FROM h GROUP BY lang),
-j AS (SELECT h.*, coalesce(cov.n, 0) AS nr, {distance('chars', 'ref_chars', n + 1)} AS cd, {distance('common', 'ref_common', len(COMMON_WORDS))} AS wd
+ref AS (SELECT lang AS r, {sums('chars', n + 1)} AS ref_chars, {sums('common', len(COMMON_WORDS) + 1)} AS ref_common FROM h GROUP BY lang),
+j AS (SELECT h.*, coalesce(cov.n, 0) AS nr, {distance('chars', 'ref_chars', n + 1)} AS cd, {distance('common', 'ref_common', len(COMMON_WORDS) + 1)} AS wd
   FROM h LEFT JOIN cov USING (doc_id) JOIN ref ON h.lang IS NOT DISTINCT FROM ref.r),
 b AS (SELECT *, len(w) < 50 OR 100 * nr > 50 * len(w) AS failed FROM j)
 SELECT doc_id, len(w) AS n_words, length(left0) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
   nr AS n_repeat_words, failed AS base_failed,
-  NOT failed AND NOT (length(left0) >= {MIN_CHARS} AND cd > {MAX_CHAR_DISTANCE}) AND NOT (len(w) >= {MIN_WORDS} AND list_sum(common) >= {MIN_WORDS // 10} AND wd > {MAX_WORD_DISTANCE}) AS kept,
+  NOT failed AND NOT (length(left0) >= {MIN_CHARS} AND cd > {MAX_CHAR_DISTANCE}) AND NOT (len(w) >= {MIN_WORDS} AND wd > {MAX_WORD_DISTANCE}) AS kept,
   round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM b
 """
 

@@ -5,9 +5,8 @@ of the document's language by the Jensen-Shannon distance (base 2, 0 to 1). A re
 of all documents of that language, so it is counted over the whole corpus and never sampled. Minimum lengths guard
 the verdict: histograms of short texts are too noisy to judge.
 
-``all_words`` (the pipeline's stage) judges all words: both word histograms get one more bin, the words that are not
-common, so that a text without common words is far from its language. Without it (the op3 query, as its oracle states
-the rule) the word rule asks for a tenth of ``min_words`` common words, and such a text passes it unjudged.
+Both word histograms have one more bin, the words that are not common, so that a text without common words is far from
+its language. The word rule judges every text of ``min_words`` words.
 
 Only DataFrame functions run: per-document features stay inside the row (no explode of words), the references are one
 partial aggregation, and the join back is on the language.
@@ -37,9 +36,8 @@ _LONGEST = max(len(w.encode()) for w in COMMON_WORDS)
 MIN_CHARS = 200
 MIN_WORDS = 100
 MAX_CHAR_DISTANCE = 0.34
-MAX_WORD_DISTANCE = 0.95
-#: With the bin of other words: distances over sf0.1 have a gap here, prose below it and word soup above it.
-MAX_ALL_WORDS_DISTANCE = 0.22
+#: Distances over sf0.1 have a gap here, prose below it and word soup above it.
+MAX_WORD_DISTANCE = 0.22
 #: References of up to so many languages are broadcast; beyond it the join shuffles.
 BROADCAST_LANGS = 1000
 
@@ -130,19 +128,12 @@ def judge(
     min_chars: int = MIN_CHARS,
     min_words: int = MIN_WORDS,
     max_char_distance: float = MAX_CHAR_DISTANCE,
-    max_word_distance: float | None = None,
-    all_words: bool = False,
+    max_word_distance: float = MAX_WORD_DISTANCE,
 ) -> DataFrame:
     """Add the distances and the verdict to ``features`` rows; references come from all rows given."""
-    n_chars, n_common = len(_CLASSES) + 1, len(COMMON_WORDS) + all_words
-    if max_word_distance is None:
-        max_word_distance = MAX_ALL_WORDS_DISTANCE if all_words else MAX_WORD_DISTANCE
+    n_chars, n_common = len(_CLASSES) + 1, len(COMMON_WORDS) + 1
     total = F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    judged = F.col("n_words") >= min_words
-    if all_words:
-        feats = feats.withColumn("common", F.concat("common", F.array(F.col("n_words") - total)))
-    else:
-        judged &= total >= min_words // 10
+    feats = feats.withColumn("common", F.concat("common", F.array(F.col("n_words") - total)))
     sums = [F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(n_chars)] + [F.sum(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(n_common)]
     refs = feats.groupBy("lang").agg(*sums).select(
         F.col("lang").alias("ref_lang"),
@@ -156,7 +147,7 @@ def judge(
     out = out.withColumn("char_distance", _distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", _distance(F.col("common"), F.col("ref_common")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd_chars = (F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance)
-    odd_words = judged & (F.col("word_distance") > max_word_distance)
+    odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance)
     return out.select(
         *[c for c in feats.columns if c not in ("chars", "common")],
         failed.alias("base_failed"),

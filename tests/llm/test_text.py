@@ -39,7 +39,7 @@ def test_quality(spark, docs, rows, empty):
 
 
 def test_no_common_words(spark):
-    """The pipeline's stage rejects a long text without common words, and with few; the clean ones stay."""
+    """A long text without common words is rejected, and one with few; the clean ones stay."""
     import corpus_pipeline
 
     rng = random.Random(2)
