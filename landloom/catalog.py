@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grid import Grid, Raster, order_grid, wrap
-from .operators import accuracy, automata, charts, indicators, infrastructure, inspection, knowledge, manifest, markov, preprocess, priority, registry, reports, rules, transition_ml
+from .operators import accuracy, automata, catalogue, charts, indicators, infrastructure, inspection, knowledge, manifest, markov, preprocess, priority, registry, reports, rules, transition_ml
 from .operators.align import align, mask_by, overview, resample
 from .operators.focal import class_share
 from .functions import parse
@@ -920,6 +920,24 @@ def geotiff_bands(spark, sf_dir):
     return back.select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), F.round(F.col("bands")[0], 2).alias("b1"), F.col("bands")[1].alias("b2"))
 
 
+@query(
+    """, p AS (SELECT count(*) FILTER (init_lu = 1) / count(init_lu) AS a, count(*) FILTER (init_lu = 4) / count(init_lu) AS b, count(*) FILTER (init_lu = 2) / count(init_lu) AS c,
+      count(*) FILTER (init_lu = 2 AND curr_lu <> 2) / count(*) FILTER (init_lu = 2) AS d FROM g)
+    SELECT number, target, command, round(value, 9) AS value,
+      CASE WHEN low IS NOT NULL THEN round(greatest(0, least(100, CASE WHEN number = 27 THEN (high - value) / (high - low) ELSE (value - low) / (high - low) END * 100)), 6) END AS score FROM (
+      SELECT 1 AS number, '2.1.2' AS target, 'sdg-land-proportion' AS command, a AS value, 0.1 AS low, 0.8 AS high FROM p
+      UNION ALL SELECT 14, '6.6.1', 'sdg-land-proportion', b, 0.05, 0.3 FROM p UNION ALL SELECT 25, '15.1.1', 'sdg-land-proportion', c, 0.05, 0.5 FROM p
+      UNION ALL SELECT 27, '15.3.1', 'sdg-land-conversion', d, 0.0, 0.5 FROM p UNION ALL SELECT 26, '15.2.1', 'sdg-land-conversion', d, NULL, NULL FROM p)"""
+)
+def indicator_catalogue(spark, sf_dir):
+    n = lambda c: F.count(F.when(c, 1))
+    lu, all_cells = F.col("init_lu"), F.count("init_lu")
+    lost = n((lu == 2) & (F.col("curr_lu") != 2)) / n(lu == 2)
+    row = _cells(spark, sf_dir, init_lu="init_lu", curr_lu="curr_lu").agg(F.map_from_arrays(F.array(*[F.lit(k) for k in (1, 14, 25, 26, 27)]), F.array(n(lu == 1) / all_cells, n(lu == 4) / all_cells, n(lu == 2) / all_cells, lost, lost)).alias("m"))
+    out = catalogue.scored(row.select(F.explode("m").alias("number", "value")))
+    return out.select("number", "target", "command", F.round("value", 9).alias("value"), F.round("score", 6).alias("score"))
+
+
 def _drivers(spark, sf_dir):
     cells = _cells(spark, sf_dir, before="init_lu", after="curr_lu", d0="pop0")
     return cells.withColumn("d1", (F.col("x") % 7).cast("double"))
@@ -927,7 +945,7 @@ def _drivers(spark, sf_dir):
 
 def _learned(spark, sf_dir, method):
     cells, names = _drivers(spark, sf_dir), ["d0", "d1"]
-    model, classes = transition_ml.train(transition_ml.samples(cells, names, cap_changed=500, cap_same=500), names, method, trees=20)
+    model, classes = transition_ml.train(transition_ml.samples(cells, names), names, method)
     return transition_ml.score(cells, model, names, classes).select("x", "y", F.transform("pg", lambda p: F.round(p, 6)).alias("pg"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ..grid import GridError
 from .accuracy import binary_change_accuracy
 
+#: Starting points of the network.
+RESTARTS = 5
+
 
 def samples(cells: DataFrame, drivers: list[str], before: str = "before", after: str = "after", cap_changed: int = 5000, cap_same: int = 5000, seed: int = 42) -> DataFrame:
     """Capped sample per target class, changed and unchanged cells apart; unusable features go after the cap.
@@ -36,7 +40,11 @@ def samples(cells: DataFrame, drivers: list[str], before: str = "before", after:
 
 
 def train(sample: DataFrame, drivers: list[str], method: str = "rf", trees: int = 60, rate: float = 0.6, seed: int = 42) -> tuple[PipelineModel, list[int]]:
-    """(model, classes ascending). Methods: rf, ann (one hidden layer of max(5, drivers)), logit."""
+    """(model, classes ascending). Methods: rf, ann (one hidden layer of max(5, drivers)), logit.
+
+    The network is fitted from ``RESTARTS`` starting points and the one of least loss on the sample stays; MLlib's network
+    has no weight decay.
+    """
     classes = [r[0] for r in sample.select("label").distinct().orderBy("label").collect()]
     if len(classes) < 2:
         raise GridError("two classes are needed")
@@ -46,7 +54,13 @@ def train(sample: DataFrame, drivers: list[str], method: str = "rf", trees: int
     if method == "rf":
         stages.append(RandomForestClassifier(labelCol="index", numTrees=trees, subsamplingRate=rate, seed=seed, maxDepth=8))
     elif method == "ann":
-        stages.append(MultilayerPerceptronClassifier(labelCol="index", layers=[len(drivers), max(5, len(drivers)), len(classes)], seed=seed, maxIter=100))
+        data = data.cache()  # at most two caps a class
+        layers = [len(drivers), max(5, len(drivers)), len(classes)]
+        loss = MulticlassClassificationEvaluator(labelCol="index", metricName="logLoss")
+        fitted = [Pipeline(stages=[*stages, MultilayerPerceptronClassifier(labelCol="index", layers=layers, seed=seed + k, maxIter=100)]).fit(data) for k in range(RESTARTS)]
+        best = min(fitted, key=lambda m: loss.evaluate(m.transform(data)))
+        data.unpersist()
+        return best, classes
     elif method == "logit":
         if data.limit(10).count() < 10:
             raise GridError("ten samples are needed")
@@ -57,10 +71,11 @@ def train(sample: DataFrame, drivers: list[str], method: str = "rf", trees: int
 
 
 def score(cells: DataFrame, model: PipelineModel, drivers: list[str], classes: list[int], value: str = "before") -> DataFrame:
-    """(x, y, value, pg): probabilities in class order that sum to 1; all 0 where the class or a driver is missing."""
+    """(x, y, value, pg): probabilities in class order that sum to 1; all 0 where the class or a driver is missing or not finite."""
     valid = F.col(value) > 0
     for d in drivers:
-        valid = valid & F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double"))
+        value_of = F.col(d).cast("double")
+        valid = valid & F.col(d).isNotNull() & ~F.isnan(value_of) & (F.abs(value_of) != float("inf"))
     filled = cells.withColumn("ok", F.coalesce(valid, F.lit(False))).withColumns({d: F.when(F.col("ok"), F.col(d).cast("double")).otherwise(0.0) for d in drivers})
     p = vector_to_array("probability")
     total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)

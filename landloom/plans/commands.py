@@ -7,9 +7,11 @@ Rasters are paths of cell tables (Parquet) or of GeoTIFFs. Defaults are one cano
 from __future__ import annotations
 
 import inspect as _inspect
+import json
 import warnings
 from collections.abc import Callable
 from dataclasses import replace
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..functions import parse
 from ..grid import Grid, GridError, Raster
-from ..operators import accuracy, automata, indicators, infrastructure, inspection, markov, preprocess, priority, transition_ml
+from ..operators import accuracy, automata, catalogue, indicators, infrastructure, inspection, markov, preprocess, priority, transition_ml
 from ..operators.align import align, resample as regrid
 from ..sources.geotiff import GeoTiffSource, grid_of, write_geotiff
 from ..sources.grids import load_grid, save_grid
@@ -69,8 +71,8 @@ def _factors(x) -> dict[int, float]:
 
 
 def _grid(spark: SparkSession, path: str | Raster, output: str | None) -> Grid | None:
-    """The grid of an input, where there is an output that takes it over."""
-    return raster(spark, path).grid if output else None
+    """The grid of an input, where there is an output that takes it over; without a projection its origin is put right."""
+    return raster(spark, path).grid.fixed() if output else None
 
 
 def _out(df: DataFrame, output: str | None, grid: Grid | None = None) -> DataFrame:
@@ -244,7 +246,9 @@ def ca_pg(spark, pre_lucc, now_lucc, drivers, method="rf", trees=60, select_rate
 
 
 @command("ca-simulate")
-def ca_simulate(spark, lucc, pg, demand, year=0, transitions="", redline=None, iterations=10, neighbor=3, step_size=400.0, convergence=0.001, seed=42, mode="rounds", output=None):
+def ca_simulate(spark, lucc, pg, demand, year=0, transitions="", redline=None, iterations=10, neighbor=3, step_size=400.0, convergence=0.001, seed=42, mode="rounds", output=None, decay=None, binary=None):
+    if decay is not None or binary is not None:
+        warnings.warn("decay and binary are accepted for old calls and have no effect", stacklevel=2)
     table = spark.read.parquet(pg) if isinstance(pg, str) else pg
     classes = list(table.select("classes").first()[0])
     cells = raster(spark, lucc).cells.select("x", "y", "v").join(table.select("x", "y", "pg"), ["x", "y"])
@@ -281,6 +285,29 @@ def pipeline(spark, spec, variables=None, workers=4, done=None):
     return spark.createDataFrame([(k, "skipped" if v is None else "done") for k, v in results.items()], "step string, status string")
 
 
+@command("pipeline-dry-run")
+def pipeline_dry_run(spark, spec):
+    """What a pipeline would run: (level, step, command, problem), nothing is computed."""
+    problems = dag.validate(spec, COMMANDS, lenient=True)
+    if problems:
+        return spark.createDataFrame([(None, None, None, p) for p in problems], _DRY)
+    named = {s["id"]: s["run"] for s in spec["steps"]}
+    return spark.createDataFrame([(k, i, named[i], None) for k, ids in enumerate(dag.levels(spec)) for i in ids], _DRY)
+
+
+_DRY = "level int, step string, command string, problem string"
+
+
+@command("pipeline-templates")
+def pipeline_templates(spark, folder):
+    """Pipeline files (JSON) of a folder: (name, steps, variables)."""
+    found = []
+    for path in sorted(Path(folder).glob("*.json")):
+        spec = json.loads(path.read_text())
+        found.append((spec.get("name", path.stem), len(spec.get("steps", [])), sorted(spec.get("vars", {}))))
+    return spark.createDataFrame(found, "name string, steps int, variables array<string>")
+
+
 @command("demo")
 def demo(spark, init_lucc, curr_lucc, popu0, popu1, buffer, done=None):
     """The eight-step tour as a pipeline."""
@@ -312,6 +339,21 @@ def builtin_plugins() -> plugins.Registry:
     return registry
 
 
+def usage(name: str) -> str:
+    """Help of one command: what it does and its parameters with their defaults."""
+    f = COMMANDS[name]
+    lines = [name, *([f"  {_inspect.getdoc(f)}"] if f.__doc__ else [])]
+    for p in list(_inspect.signature(f).parameters.values())[1:]:
+        lines.append(f"  --{parse.kebab(p.name)}  {'required' if p.default is p.empty else f'default {p.default}'}")
+    return "\n".join(lines)
+
+
+@command("list-indicators")
+def list_indicators(spark):
+    """The catalogue of indicators."""
+    return catalogue.catalogue(spark)
+
+
 @command("list-plugins")
 def list_plugins(spark, folders=""):
     registry = builtin_plugins()
@@ -328,6 +370,10 @@ def main(argv: list[str]) -> None:
     """``python -m landloom.plans.commands <command> --name value ...``; unknown commands are plug-ins."""
     from ..session import local_session
 
+    asked = [a for a in argv if a in COMMANDS]
+    if asked and any(a in ("help", "--help", "-h") for a in argv[:2]):
+        print(usage(asked[0]))
+        return
     if not argv or argv[0] in ("help", "--help", "-h"):
         print("\n".join(f"{n}: {' '.join(parse.kebab(p) for p in _inspect.signature(f).parameters if p != 'spark')}" for n, f in sorted(COMMANDS.items())))
         return

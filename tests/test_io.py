@@ -172,6 +172,28 @@ def test_commands(spark, tmp_path):
     assert out.count() == n * n
     assert run["demo"](spark, a, b, p, p, a).filter("status = 'done'").count() == 8
     assert run["list-plugins"](spark).count() > 10
+    assert run["list-indicators"](spark).count() == 27
+    with pytest.warns(UserWarning, match="no effect"):
+        run["ca-simulate"](spark, b, pg, {1: 30, 2: 40, 3: 30}, iterations=1, decay=0.9)
+
+
+def test_pipeline_commands(spark, tmp_path, capsys):
+    spec = {"name": "two", "vars": {"k": 1}, "steps": [{"id": "b", "run": "version", "depends_on": ["a"]}, {"id": "a", "run": "list-plugins"}]}
+    plan = commands.COMMANDS["pipeline-dry-run"](spark, spec).collect()
+    assert sorted((r["level"], r["step"], r["command"]) for r in plan) == [(0, "a", "list-plugins"), (1, "b", "version")]
+    bad = commands.COMMANDS["pipeline-dry-run"](spark, {"steps": [{"id": "a", "run": "none"}]}).first()
+    assert bad["level"] is None and "none" in bad["problem"]
+    (tmp_path / "two.json").write_text(json.dumps(spec))
+    assert [tuple(r) for r in commands.COMMANDS["pipeline-templates"](spark, str(tmp_path)).collect()] == [("two", 2, ["k"])]
+    for argv in (["help", "ca-pg"], ["ca-pg", "--help"]):
+        commands.main(argv)
+        said = capsys.readouterr().out
+        assert "--pre-lucc  required" in said and "--cap-changed  default 5000" in said
+
+
+def test_origin_without_projection():
+    assert Grid(4, 3, (0.0, 1.0, 0.0, 7.0, 0.0, -1.0)).fixed().transform[3] == 3.0
+    assert Grid(4, 3, (0.0, 1.0, 0.0, 7.0, 0.0, -1.0), "EPSG:3857").fixed().transform[3] == 7.0
 
 
 def test_knowledge(spark):

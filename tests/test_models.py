@@ -40,14 +40,16 @@ def test_infrastructure(spark):
 
 @pytest.mark.parametrize("method", ["rf", "logit", "ann"])
 def test_probabilities(spark, method):
-    rows = [(x, y, 1 + (x > 9), None if x == 3 and y == 3 else 1 + (y > 9), float(y), float("nan") if (x, y) == (5, 5) else float(x)) for x in range(20) for y in range(20)]
+    rows = [(x, y, 1 + (x > 9), None if x == 3 and y == 3 else 1 + (y > 9), float(y), float("nan") if (x, y) == (5, 5) else float("inf") if (x, y) == (6, 6) else float(x)) for x in range(20) for y in range(20)]
     cells = spark.createDataFrame(rows, "x int, y int, before int, after int, d0 double, d1 double")
     sample = transition_ml.samples(cells, ["d0", "d1"], cap_changed=40, cap_same=30)
     counts = {(r["label"], r["moved"]): r["n"] for r in sample.groupBy("label", "moved").agg(F.count("*").alias("n")).collect()}
     assert all(n <= (40 if moved else 30) for (_, moved), n in counts.items())
     model, classes = transition_ml.train(sample, ["d0", "d1"], method, trees=10)
     pg = transition_ml.score(cells, model, ["d0", "d1"], classes)
-    sums = {round(sum(r["pg"]), 6) for r in pg.collect()}
+    got = {(r["x"], r["y"]): r["pg"] for r in pg.collect()}
+    assert got[5, 5] == got[6, 6] == [0.0, 0.0]
+    sums = {round(sum(p), 6) for p in got.values()}
     assert sums <= {0.0, 1.0} and classes == [1, 2]
     best = transition_ml.best_class(pg, classes).join(cells.select("x", "y", "after"), ["x", "y"]).filter("after is not null and best is not null")
     assert best.filter("best = after").count() / best.count() > 0.9
