@@ -66,7 +66,9 @@ def test_divergence_by_hand(spark):
     lower, upper = 5 * 60, 8 * 60
     assert got[1]["char_distance"] == pytest.approx(distance([lower, 0], [lower, upper]), abs=1e-5)
     assert got[2]["char_distance"] == pytest.approx(distance([0, upper], [lower, upper]), abs=1e-5)
-    assert got[1]["word_distance"] == 0
+    words = [60, 60, 120]  # the, of, and the bin of other words
+    assert got[1]["word_distance"] == pytest.approx(distance([60, 60, 0], words), abs=1e-5)
+    assert got[2]["word_distance"] == pytest.approx(distance([0, 0, 120], words), abs=1e-5)
 
 
 SECRETS = [
