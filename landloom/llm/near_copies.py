@@ -4,10 +4,15 @@ Shingles: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, five words each; a te
 its whole word sequence. Texts are near-duplicates if their sets of shingles (64-bit hashes) have a Jaccard similarity
 of at least ``similarity``; a group is a connected component of that relation, and one row of each stays.
 
-Equal sets form one class, so any number of copies costs one comparison. Candidates come from MinHash: ``BANDS`` bands
-of ``ROWS`` minima. A pair at 0.8 shares no band with probability 3e-6, a closer one with less. Classes that share a
-band value are tied to the smallest of them, and the components of those ties (every candidate pair lies within one)
-are compared exactly: nothing is linked on the sketches alone. A component of more than ``tile`` shingles is cut into
+Equal sets form one class, so any number of copies costs one comparison. Candidates come from SimHash by tiled exact
+comparison, as in ``simhash``: a class's fingerprint is the majority of its set's hashes, ``WORDS`` 64-bit words of it (the
+first from the hashes themselves, the others from mixed ones), and two fingerprints are tied if they differ in at most
+``radius(similarity)`` bits, and in at most ``HALF`` of that share in the first two words. At 0.8 two texts differ in 39 of
+256 bits on average; 78 are allowed, beyond which a pair at exactly 0.8 lies with probability 2e-10, and 2e-6 for sets of 4 and 5
+shingles, the widest. Every class meets every other: the tiles (of ``tile_rows`` classes of like set size) are compared in pairs
+with exclusive-or and bit counts; what is skipped are classes whose set sizes alone rule the similarity out. So no
+pair is lost to bands or buckets, and the comparisons grow with the square of the different texts. The components of the ties
+(every candidate pair lies within one) are compared exactly: nothing is linked on fingerprints alone. A component of more than ``tile`` shingles is cut into
 tiles by set size and hash, and tiles are compared pair by pair in separate rows unless their sizes rule out the
 similarity. A comparison walks from set to set and meets only sets that are not reached yet, so it emits links that
 span the near pairs, never all pairs.
@@ -18,6 +23,8 @@ last when a row is chosen; extra columns stay; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,21 +32,31 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import components
-from .simhash import _text_hash, without_later
+from .simhash import _text_hash, majority, without_later
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
+#: 64-bit words of a fingerprint, and classes of a tile of fingerprints.
+WORDS = 4
+#: Bits the first two words may differ in, for 64 allowed in all.
+HALF = 37
+TILE_ROWS = 16384
+#: Fingerprint pairs compared in one table of differences.
+BLOCK = 1 << 16
 #: Shingles of a tile (8 bytes each).
 TILE = 500_000
 #: Rows of a few longs that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
-_RNG = np.random.default_rng(42)
-_MULTIPLY = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+_SALT = np.random.default_rng(42).integers(0, 1 << 63, WORDS - 1, dtype=np.uint64)
+_PRINT = [f"f{k}" for k in range(WORDS)]
+
+
+def radius(similarity: float = SIMILARITY, words: int = WORDS) -> int:
+    """Bits in which fingerprints of sets of that Jaccard similarity may differ."""
+    # A bit differs with probability angle / pi; up to 1.25 times that for the smallest sets, whose majorities are coarse.
+    p = min(0.5, 1.25 * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+    return math.ceil(64 * words * p + 4.7 * math.sqrt(64 * words * p * (1 - p)))
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -56,15 +73,16 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(hashes, dtype=np.uint64, count=len(words) - shingle + 1))
 
 
-def band_values(grams: np.ndarray) -> np.ndarray:
-    """One value per band; equal in two sets if all minima of the band are."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(grams), 2048):  # bounded: 1280 bytes a hash
-        np.minimum(least, (grams[None, at : at + 2048] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=least)
-    # The high halves go into the value's low bits, where a product alone leaves little of them.
-    least ^= least >> np.uint64(32)
-    value = (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + _BAND
-    return value
+def set_print(grams: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of a set of hashes, ``WORDS`` words."""
+    mixed = np.empty((len(grams), WORDS), dtype=np.uint64)
+    mixed[:, 0] = grams
+    for k, salt in enumerate(_SALT, 1):  # the finaliser of SplitMix64
+        z = grams ^ salt
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        mixed[:, k] = z ^ z >> np.uint64(31)
+    return majority(mixed)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -79,14 +97,15 @@ def _marks(shingle: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                key, n, bands = [], [], []
+                key, n, prints = [], [], []
                 for t in batch.column(1):  # one set at a time
                     grams = shingle_set(t.as_py(), shingle)
                     key.append(xxh64_intdigest(grams.tobytes(), 42))
                     n.append(len(grams))
-                    bands.append(band_values(grams))
-                columns = [batch.column(0), batch.column(2), pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), _lists(bands)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "key", "n", "bands"])
+                    prints.append(set_print(grams))
+                words = np.array(prints, dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
+                columns = [batch.column(0), batch.column(2), pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), *map(pa.array, words.T.copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "key", "n", *_PRINT])
 
     return run
 
@@ -107,8 +126,8 @@ def _texts(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def marks(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, h, key, n, bands): h a hash of the text, key one of its set of shingles, n the set's size."""
-    return _texts(docs, id_col).mapInArrow(_marks(shingle), "doc_id bigint, h bigint, key bigint, n bigint, bands array<bigint>")
+    """(doc_id, h, key, n, f0 ...): h a hash of the text, key one of its set of shingles, n the set's size, f its fingerprint."""
+    return _texts(docs, id_col).mapInArrow(_marks(shingle), ", ".join(f"{c} bigint" for c in ("doc_id", "h", "key", "n", *_PRINT)))
 
 
 def spanning(grams: list[np.ndarray], similarity: float, left: int | None = None):
@@ -173,23 +192,109 @@ def _compare(similarity: float):
     return run
 
 
-def ties(own: DataFrame) -> DataFrame:
-    """(a, b): every class with the smallest class of each band value it shares."""
-    dealt = own.select("key", F.explode("bands").alias("value")).distinct()
-    least = dealt.groupBy("value").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select(F.col("value").alias("l_value"), "least")
-    return dealt.join(least, F.col("value") == F.col("l_value")).select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+def _by_size(tile):
+    order = np.argsort(tile[1], kind="stable")
+    return tuple(x[order] for x in tile)
+
+
+def near_prints(left, right, similarity: float, most: int):
+    """Ties (x, y), keys of two tiles (keys, n, prints), or of one with itself (``right`` None), that span the near fingerprints."""
+    same = right is None
+    left = _by_size(left)
+    right = left if same else _by_size(right)
+    keys = left[0] if same else np.concatenate([left[0], right[0]])
+    first = 0 if same else len(left[0])
+    (_, n, mine), (_, sizes, other) = left, right
+    own = [np.ascontiguousarray(other[:, k]) for k in range(WORDS)]
+    label, half, out = np.arange(len(keys)), most * HALF // 64, []
+    # A set meets only the stretch of sizes that can be as similar.
+    start = np.arange(1, len(n) + 1) if same else np.searchsorted(sizes, n * similarity - 1e-6, "left")
+    stop = np.searchsorted(sizes, n / similarity + 1e-6, "right")
+    at = 0
+    while at < len(n):
+        lo = int(start[at])
+        end = min(len(n), at + max(1, BLOCK // max(1, int(stop[at]) - lo)))
+        hi = int(stop[end - 1])
+        rows = mine[at:end]
+        differ = np.bitwise_count(own[0][None, lo:hi] ^ rows[:, :1])
+        differ += np.bitwise_count(own[1][None, lo:hi] ^ rows[:, 1:2])
+        i, j = np.divmod(np.flatnonzero(differ <= half), max(1, hi - lo))
+        total = differ[i, j].astype(np.int64)
+        i, j = i + at, j + lo
+        for k in range(2, WORDS):
+            total += np.bitwise_count(own[k][j] ^ mine[i, k])
+        near = (total <= most) & (np.minimum(n[i], sizes[j]) >= similarity * np.maximum(n[i], sizes[j]) - 1e-6)
+        if same:
+            near &= j > i
+        i, j = i[near], j[near] + first
+        while len(i):  # one tie for each group that is not joined yet, row by row
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if len(i):
+                met = j[i == i[0]]
+                old, one = np.unique(label[met], return_index=True)
+                out += [(int(keys[i[0]]), x) for x in keys[met[one]].tolist()]
+                mark = np.zeros(len(label), bool)
+                mark[old] = True
+                label[mark[label]] = label[i[0]]
+        at = end
+    return out
+
+
+def _tile(side):
+    columns = [side.field(c).to_numpy(zero_copy_only=False) for c in ("key", "n", *_PRINT)]
+    return columns[0], columns[1], np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)
+
+
+def _meet(similarity: float):
+    most = radius(similarity)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = (batch.column(c)[k].values for c in (0, 1))
+                out = near_prints(_tile(left), None if right is None else _tile(right), similarity, most)
+                yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _size_class(n, similarity: float):
+    """The sizes part the sets: similar ones are in the same size class or in two that touch."""
+    return F.floor(F.log(n) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int") if similarity < 1 else n.cast("int")
+
+
+def ties(own: DataFrame, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b): ties between classes that span all pairs of near fingerprints."""
+    # Sets too small to be that similar to a different one have no ties.
+    able = own.filter(F.col("n") + 1e-9 >= similarity * (F.col("n") + 1)).select("key", "n", *_PRINT).dropDuplicates(["key"]).withColumn("size", _size_class(F.col("n"), similarity))
+    able = materialise(able, "copies-prints")
+    count = able.groupBy("size").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("cut")).withColumnRenamed("size", "c_size")
+    dealt = able.join(F.broadcast(count), F.col("size") == F.col("c_size")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("cut")).cast("int"))
+    tiles = dealt.groupBy("size", "part").agg(F.collect_list(F.struct("key", "n", *_PRINT)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    tiles = materialise(tiles, "copies-print-tiles")
+    # Which tiles meet is settled on their names; then each is fetched by its name, so no size class is a key of its own.
+    name = [F.col(c) for c in ("size", "part", "low", "high")]
+    left, right = (tiles.select(*[c.alias(f"{side}_{x}") for c, x in zip(name, ("size", "part", "low", "high"), strict=True)]) for side in "lr")
+    right = right.withColumn("meet", F.explode(F.array(F.col("r_size"), F.col("r_size") - 1)))
+    later = (F.col("l_size") < F.col("r_size")) | (F.col("l_part") < F.col("r_part"))
+    pairs = left.join(right, F.col("l_size") == F.col("meet")).filter(later & (F.col("l_high") >= F.floor(similarity * F.col("r_low"))))
+    pairs = materialise(pairs.select("l_size", "l_part", "r_size", "r_part"), "copies-print-pairs")
+    for side, held in (("l", "l"), ("r", "r")):
+        other = tiles.select(F.col("size").alias("t_size"), F.col("part").alias("t_part"), F.col("members").alias(held))
+        pairs = pairs.join(other, (F.col(f"{side}_size") == F.col("t_size")) & (F.col(f"{side}_part") == F.col("t_part"))).drop("t_size", "t_part")
+    inner = tiles.filter(F.size("members") > 1).select(F.col("members").alias("l"), F.lit(None).cast(tiles.schema["members"].dataType).alias("r"))
+    return inner.unionByName(pairs.select("l", "r")).mapInArrow(_meet(similarity), "a bigint, b bigint")
 
 
 def links(docs: DataFrame, own: DataFrame, id_col: str = "doc_id", similarity: float = SIMILARITY, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """Documents and their ``marks`` -> (a, b): links between classes that span all near pairs."""
-    roots = materialise(components(ties(own)), "copies-ties")
+    roots = materialise(components(ties(own, similarity)), "copies-ties")
     few = roots.count() <= BROADCAST_ROWS
     # One row of each class lends its set; only these rows are cut into sets again, so sets of the rest are never stored.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")
     lender = own.select("key", place.alias("p")).join(F.broadcast(roots) if few else roots, F.col("key") == F.col("node")).groupBy("root", "key").agg(F.min("p").alias("p"))
-    # The sizes part the sets: similar ones are in the same size class or in two that touch.
-    size = F.floor(F.log("p.n") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int") if similarity < 1 else F.col("p.n").cast("int")
-    lender = lender.withColumn("size", size)
+    lender = lender.withColumn("size", _size_class(F.col("p.n"), similarity))
     lender = materialise(lender.select("root", "size", F.col("key").alias("l_key"), F.col("p.doc_id").alias("l_id"), F.col("p.h").alias("l_h"), "p.n"), "copies-lenders")
     whole = lender.groupBy("root").agg(F.sum("n").alias("whole")).withColumnRenamed("root", "w_root")
     sized = lender.groupBy("root", "size").agg(F.sum("n").alias("sized")).select(F.col("root").alias("s_root"), F.col("size").alias("s_size"), "sized")

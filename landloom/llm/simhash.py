@@ -33,6 +33,15 @@ SUBTILE = 256
 SHINGLE = 3
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """(n, words) 64-bit hashes -> (words,): a bit is 1 if set in more than half of the n."""
+    counts = np.zeros(64 * hashes.shape[1], dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # bounded, and a count of up to 255 fits a byte, which adds fastest
+        part = np.ascontiguousarray(hashes[at : at + 255], dtype="<u8").view(np.uint8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
+
+
 def fingerprint(text: str | None) -> int:
     """The 64-bit fingerprint of one text, unsigned."""
     from xxhash import xxh64_intdigest
@@ -51,12 +60,7 @@ def fingerprint(text: str | None) -> int:
             dtype="<u8",
             count=len(words) - SHINGLE + 1,
         )
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):  # bounded: 64 bytes a hash
-        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(majority(hashes[:, None])[0])
 
 
 def _fingerprints(batches):

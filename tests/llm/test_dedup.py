@@ -192,3 +192,38 @@ def test_periodic_text(spark):
     rows = [(1, "ab" * 900), (2, "x" * 399), (3, "y" * 401), (4, "abc " * 300)]
     got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_suffixes(rows, 400)
+
+
+def test_copies_by_fingerprint(spark, docs, rows):
+    """Candidates of the pipeline's stage are the near fingerprints, all of them, however the tiles are cut."""
+    own = near_copies.marks(docs).cache()
+    most = near_copies.radius()
+    classes = {}
+    for r in own.collect():
+        f = [r[c] % 2**64 for c in ("f0", "f1", "f2", "f3")]
+        if r["n"] >= 4:
+            classes[r["key"]] = (r["n"], f)
+    # The first word is the fingerprint of op7's rule, over the set of five-word shingles.
+    text = max((r[1] or "" for r in rows), key=len)
+    grams = near_copies.shingle_set(text).tolist()
+    assert int(near_copies.set_print(near_copies.shingle_set(text))[0]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in grams) > len(grams))
+
+    def near(a, b):
+        bits = [(x ^ y).bit_count() for x, y in zip(a[1], b[1], strict=True)]
+        return sum(bits) <= most and sum(bits[:2]) <= most * near_copies.HALF // 64 and min(a[0], b[0]) >= 0.8 * max(a[0], b[0])
+
+    want = brute_components(classes, [(i, k) for i, a in classes.items() for k, b in classes.items() if i < k and near(a, b)])
+    assert len(set(want.values())) < len(want)
+    for rows_of_tile in (16384, 3):
+        got = [(r["a"], r["b"]) for r in near_copies.ties(own, tile_rows=rows_of_tile).collect()]
+        assert brute_components(classes, got) == want
+
+
+def test_no_near_pair_beyond_the_radius():
+    """Pairs at Jaccard 0.8 exactly, of few and of many shingles, are within the radius."""
+    rng = np.random.default_rng(3)
+    for both, left, right, times in ((4, 0, 1, 2000), (12, 0, 3, 1000), (32, 4, 4, 1000), (400, 50, 50, 200)):
+        for _ in range(times):
+            h = rng.integers(0, 1 << 63, both + left + right, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, both + left + right, dtype=np.uint64)
+            bits = np.bitwise_count(near_copies.set_print(h[: both + left]) ^ near_copies.set_print(np.concatenate([h[:both], h[both + left :]])))
+            assert bits.sum() <= near_copies.radius() and bits[:2].sum() <= near_copies.radius() * near_copies.HALF // 64
