@@ -15,6 +15,7 @@ columns are ignored; an empty table writes no blocks and reads back no rows. A d
 from __future__ import annotations
 
 import functools
+import json
 import re
 import uuid
 import zlib
@@ -26,16 +27,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .range_coder import BLOCK, decode, encode
+from .jvm import functions
+from .range_coder import BLOCK
 
 END_ID = 2
-#: Blocks coded in step, and rows of text per shard.
-LANES = 1024
+#: Blocks that leave a shard's task at a time, and bytes of text per shard.
+FLUSH = 64
 SHARD_BYTES = 40_000_000
 _PIECE = re.compile(r"\s*\S+|\s+\Z")
 #: White space to Python that the tokenizers' pattern takes for ordinary characters.
 _ODD = re.compile("[\x1c-\x1f]")
-_MEMO = 400_000
+#: Runs that the tokenizers' pattern takes for one each, among characters that every version of Unicode has in one class;
+#: without the apostrophe, which can start a contraction.
+_RUN = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
+#: What most pieces are: one such run of letters, and perhaps one of other characters.
+_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+_MEMO = 1_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -44,79 +51,119 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Memory(dict):
+    """Values kept as they are made, at most ``_MEMO``."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= _MEMO:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+class _Loose(Exception):
+    """A text has white space next to a space, or at an end."""
+
+
 class ByteBpe:
     """Ids of texts by the tokenizers library, with a memory of pieces.
 
     A byte-level BPE of this kind never joins across a change from other characters to white space, so a text's ids
-    are those of its pieces (white space and the run after it) in turn. Each different piece is encoded once.
+    are those of its pieces (white space and the run after it) in turn. Each different piece is encoded once: by the
+    library's model, run by run, where ``_RUN`` tells its runs, else by the library's tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.line = self._whole("\n")
+        self.model = self.own.model
+        spec = json.loads(self.own.to_str())
+        before, model, added = spec["pre_tokenizer"] or {}, spec["model"], [t["content"] for t in spec["added_tokens"]]
+        #: Whether pieces may be encoded by themselves, and whether runs may.
+        self.by_piece = not spec["normalizer"] and not spec["post_processor"] and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not any(c.isspace() for t in added for c in t)
+        self.by_run = self.by_piece and model["type"] == "BPE" and not model["dropout"] and all("<|" in t for t in added)
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.coded = [k.to_bytes(4, "little") for k in range(self.own.get_vocab_size())]
+        self.runs = _Memory(self._run)
+        self.pieces = _Memory(self._piece)
+        self.spaced = _Memory(self._spaced)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Many pieces at once, set apart by line feeds (a token of its own between them)."""
-        spaced = [p for p in pieces if p[0] == " " and not p[1:2].isspace() and len(p) > 1]
-        bare = [p for p in pieces if not p[0].isspace()]
-        mark = np.frombuffer(self.line, "<i4")[0]
-        for group in (spaced, bare):
-            for at in range(0, len(group), 2000):
-                part = group[at : at + 2000]
-                ids = np.array(self.own.encode("\n".join(part), add_special_tokens=False).ids, "<i4")
-                cut = np.flatnonzero(ids == mark)
-                if len(cut) != len(part) - 1:  # a piece holds a special token or the like
-                    self.memo.update((p, self._whole(p)) for p in part)
-                    continue
-                start, stop = np.append(0, cut + 1).tolist(), np.append(cut, len(ids)).tolist()
-                self.memo.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, start, stop, strict=True))
-        for p in pieces:
-            if p not in self.memo:
-                tail = p[1:]
-                if p[0] == "\n" and tail and not tail[0].isspace():
-                    self.memo[p] = self.line + (self.memo.get(tail) or self._whole(tail))
-                else:
-                    self.memo[p] = self._whole(p)
+    def _run(self, run: str) -> bytes:
+        text = run.replace(" ", "\u0120") if run.isascii() and run != "\n" else run.encode().decode("latin-1").translate(self.letters)
+        coded = self.coded
+        return b"".join([coded[t.id] for t in self.model.tokenize(text)])
+
+    def _piece(self, piece: str) -> bytes:
+        if self.by_run and "<|" not in piece and "\n\n" not in piece and piece[-1] != "\n":
+            runs = _RUN.findall(piece)
+            if sum(map(len, runs)) == len(piece):
+                return self.runs[piece] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
+        return self._whole(piece)
+
+    def _spaced(self, rest: str) -> bytes:
+        """Ids of a space and ``rest``, between single spaces."""
+        if self.by_run and (m := _WORD.fullmatch(rest)):
+            word, tail = m.groups()
+            return self.spaced[word] + self.runs[tail] if tail else self._run(" " + word)
+        if not rest or rest[0].isspace() or rest[-1].isspace():
+            raise _Loose
+        return self._piece(" " + rest)
+
+    def raw(self, text: str) -> bytes:
+        """Ids of one text, little-endian in 32 bits."""
+        if not text or not self.by_piece:
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        try:
+            if not first or first[0].isspace() or first[-1].isspace():
+                raise _Loose
+            return self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest))
+        except _Loose:
+            return self._whole(text) if _ODD.search(text) else b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        split = [None if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        new = {p for pieces in split if pieces for p in pieces} - self.memo.keys()
-        new |= {p[1:] for p in new if p[0] == "\n" and len(p) > 1 and not p[1].isspace()} - self.memo.keys()
-        if new:
-            self._learn(new)
-        get = self.memo.__getitem__
-        return [np.frombuffer(self._whole(t) if pieces is None else b"".join(map(get, pieces)), "<i4") for t, pieces in zip(texts, split, strict=True)]
+        return [np.frombuffer(self.raw(t), "<i4") for t in texts]
+
+
+@functools.lru_cache(1)
+def _bpe(path: str) -> ByteBpe:
+    """One for each Python worker, which Spark uses for many tasks."""
+    return ByteBpe(path)
+
 
+_BLOCKS = "shard int, block long, n int, crc long, ids binary, first_doc long, doc_ids array<bigint>, lens array<int>"
 
-_BLOCKS = "shard int, block long, n int, crc long, payload binary, first_doc long, doc_ids array<bigint>, lens array<int>"
 
+def _cut_shard(path: str, end_id: int):
+    """Texts in order -> blocks with plain ids."""
+    end = np.array([end_id], "<i4").tobytes()
 
-def _write_shard(path: str, end_id: int):
     def run(batches):
-        bpe = ByteBpe(path)
+        bpe = _bpe(path)
         shard = TaskContext.get().partitionId()
-        parts: list[np.ndarray] = []  # ids not yet cut into blocks
+        parts: list[bytes] = []  # ids not yet cut into blocks
         docs: list[tuple[int, int | None, int]] = []  # their documents: (number, id, ids left)
         held, made, number = 0, 0, 0
 
         def cut(everything: bool):
             nonlocal parts, held, made
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            whole = len(ids) if everything else len(ids) // BLOCK * BLOCK
-            pieces = [ids[a : min(a + BLOCK, whole)] for a in range(0, whole, BLOCK)]
-            parts, held = [ids[whole:].copy()], len(ids) - whole  # a copy: a view would hold all ids
+            ids = b"".join(parts)
+            whole = held if everything else held // BLOCK * BLOCK
+            parts, held = [ids[4 * whole :]], held - whole
             rows: dict[str, list] = {c.split()[0]: [] for c in _BLOCKS.split(", ")}
             at = 0
-            for piece, payload in zip(pieces, encode(pieces), strict=True):
-                first, names, lens, room = docs[at][0], [], [], len(piece)
+            for a in range(0, whole, BLOCK):
+                piece = ids[4 * a : 4 * min(a + BLOCK, whole)]
+                first, names, lens, room = docs[at][0], [], [], len(piece) // 4
                 while room:
                     k, name, left = docs[at]
                     take = min(room, left)
@@ -127,7 +174,7 @@ def _write_shard(path: str, end_id: int):
                         at += 1
                     else:
                         docs[at] = (k, name, left - take)
-                for c, v in zip(rows, (shard, made, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), payload, first, names, lens), strict=True):
+                for c, v in zip(rows, (shard, made, len(piece) // 4, zlib.crc32(piece), piece, first, names, lens), strict=True):
                     rows[c].append(v)
                 made += 1
             del docs[:at]
@@ -135,16 +182,14 @@ def _write_shard(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for a in range(0, batch.num_rows, 1000):
-                texts = [t.as_py() or "" for t in batch.column(1).slice(a, 1000)]
-                for name, ids in zip(names[a : a + 1000], bpe.encode(texts), strict=True):
-                    parts += [ids, np.array([end_id], np.int32)]
-                    docs.append((number, name, len(ids) + 1))
-                    number += 1
-                    held += len(ids) + 1
-                    if held >= LANES * BLOCK:
-                        yield cut(False)
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = bpe.raw(text.as_py() or "")
+                parts += [ids, end]
+                docs.append((number, name, len(ids) // 4 + 1))
+                number += 1
+                held += len(ids) // 4 + 1
+                if held >= FLUSH * BLOCK:
+                    yield cut(False)
         if held:
             yield cut(True)
 
@@ -158,7 +203,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     shards = max(1, -(-int(size) // shard_bytes))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     dealt = d.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(_write_shard(tokenizer or tokenizer_path(), end_id), _BLOCKS).write.parquet(path)
+    payload = functions(docs.sparkSession)["TokenEncode"]("ids").alias("payload")
+    blocks = dealt.mapInArrow(_cut_shard(tokenizer or tokenizer_path(), end_id), _BLOCKS)
+    blocks.select("shard", "block", "n", "crc", payload, "first_doc", "doc_ids", "lens").write.parquet(path)
 
 
 @functools.cache
@@ -197,40 +244,28 @@ def crc_join(a: int, b: int, length: int) -> int:
     return a ^ b
 
 
-def _read_blocks(with_ids: bool):
-    names = ["shard", "number", "at", "doc_id", "n", "crc", *(["ids"] if with_ids else [])]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, LANES):
-                part = batch.slice(a, LANES).to_pydict()
-                rows: tuple[list, ...] = tuple([] for _ in names)
-                for k, ids in enumerate(decode(part["payload"], part["n"])):
-                    raw = ids.astype("<u4").tobytes()
-                    if zlib.crc32(raw) != part["crc"][k]:
-                        raise ValueError(f"block {part['block'][k]} of shard {part['shard'][k]} is damaged")
-                    at = 0
-                    for j, (name, n) in enumerate(zip(part["doc_ids"][k], part["lens"][k], strict=True)):
-                        own = raw[4 * at : 4 * (at + n)]
-                        row = (part["shard"][k], part["first_doc"][k] + j, part["block"][k] * BLOCK + at, name, n, zlib.crc32(own), own)
-                        for c, v in zip(rows, row):  # noqa: B905 (ids only where asked for)
-                            c.append(v)
-                        at += n
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds)], names)  # noqa: B905
-
-    return run
-
-
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     """Pieces of documents with their ids: (shard, number, at, doc_id, n, crc, ids as little-endian 32-bit)."""
-    return spark.read.parquet(path).mapInArrow(_read_blocks(True), "shard int, number long, at long, doc_id long, n long, crc long, ids binary")
+    f = functions(spark)
+    ids = f["TokenDecode"]("payload", "n", "crc", "block", "shard")
+    whole = spark.read.parquet(path).select("shard", "block", "first_doc", F.arrays_zip("doc_ids", "lens", f["TokenPlaces"]("lens").alias("places"), f["TokenPieces"](ids, "lens").alias("ids")).alias("docs"))
+    # Outer, though no block is without documents: else Spark infers a filter and decodes once more for each of its terms.
+    each = whole.select("shard", "block", "first_doc", F.posexplode_outer("docs").alias("j", "d"))
+    return each.select(
+        "shard",
+        (F.col("first_doc") + F.col("j")).alias("number"),
+        (F.col("block") * BLOCK + F.col("d.places")).alias("at"),
+        F.col("d.doc_ids").alias("doc_id"),
+        F.col("d.lens").cast("bigint").alias("n"),
+        F.crc32("d.ids").alias("crc"),
+        "d.ids",
+    )
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32, from the decoded blocks."""
     blocks = spark.read.parquet(path)
-    pieces = blocks.mapInArrow(_read_blocks(False), "shard int, number long, at long, doc_id long, n long, crc long")
+    pieces = read_pieces(spark, path).drop("ids")
     docs = pieces.groupBy("shard", "number").agg(
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces")
     )

@@ -88,3 +88,58 @@ def test_ratio_on_prose(spark):
     assert all((a == b).all() for a, b in zip(decode(payloads, [BLOCK] * len(blocks)), blocks, strict=True))
     bits = 8 * sum(map(len, payloads)) / (BLOCK * len(blocks))
     assert bits < 8.8 and bits < 8 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 6)) for b in blocks) / (BLOCK * len(blocks))
+
+
+def test_compiled_coder_equals_numpy(spark):
+    """The executors' coder gives the payloads of range_coder byte for byte, and reads them back."""
+    from landloom.llm.jvm import functions
+
+    rng = np.random.default_rng(2)
+    blocks = [rng.integers(0, 1 << 17, BLOCK), np.zeros(BLOCK), rng.zipf(1.3, BLOCK) % 50257, rng.zipf(1.1, 3000) % 257, np.repeat(np.arange(700), 9), np.arange(33), [5], []]
+    blocks = [np.array(b, np.int32) for b in blocks]
+    f = functions(spark)
+    table = spark.createDataFrame([(k, bytearray(b.tobytes()), len(b), zlib.crc32(b.tobytes())) for k, b in enumerate(blocks)], "block long, ids binary, n int, crc long")
+    coded = table.withColumn("payload", f["TokenEncode"]("ids")).withColumn("back", f["TokenDecode"]("payload", "n", "crc", "block", "block")).orderBy("block").collect()
+    assert [bytes(r["payload"]) for r in coded] == encode(blocks)
+    assert [bytes(r["back"]) for r in coded] == [b.tobytes() for b in blocks]
+
+
+def test_blocks_are_decoded_once(spark, docs, tmp_path):
+    write_tokens(docs, str(tmp_path / "once"))
+    plan = read_digests(spark, str(tmp_path / "once"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TokenDecode") == 1
+
+
+def test_damaged_payloads(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    write_tokens(docs, str(tmp_path / "a"))
+    whole = spark.read.parquet(str(tmp_path / "a"))
+    for k, payload in enumerate((F.expr("substring(payload, 1, 40)"), F.expr("concat(substring(payload, 1, 90), X'ffff', substring(payload, 93))"))):
+        whole.withColumn("payload", payload).write.parquet(str(tmp_path / f"b{k}"))
+        with pytest.raises(Exception, match="damaged"):
+            read_digests(spark, str(tmp_path / f"b{k}")).collect()
+
+
+def test_runs_equal_whole_texts():
+    """Letters, digits, signs, contractions and white space in all neighbourhoods, with single spaces and without."""
+    import random
+
+    rng = random.Random(4)
+    bpe = ByteBpe(tokenizer_path())
+    parts = ["the", "Été", "ñ", "µ", "ª", "²", "½", "Ł", "中", "é", "7", "2026", "٣", ".", ",", "...", "'", "'s", "'ll", "n't", "<|", "|>", "<|endoftext|>", "_", "`", "~", "×", "\n", "\n\n", "\t", "\x1c", "\x85", "\xa0", "　", " ", "  ", " ", " ", " "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(6000)]
+    texts += [" ".join("".join(rng.choices(parts[:-5], k=rng.randint(1, 4))) for _ in range(8)) for _ in range(3000)]
+    for text in texts:
+        assert bpe.encode([text])[0].tolist() == bpe.own.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """What is not a plain byte-level BPE is not encoded by pieces."""
+    import json
+
+    spec = json.loads(open(tokenizer_path()).read())
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(spec))
+    bpe = ByteBpe(str(tmp_path / "lower.json"))
+    assert bpe.encode(["The CAT  sat."])[0].tolist() == bpe.own.encode("The CAT  sat.", add_special_tokens=False).ids
