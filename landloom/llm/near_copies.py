@@ -23,6 +23,7 @@ last when a row is chosen; extra columns stay; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -213,7 +214,8 @@ def near_prints(left, right, similarity: float, most: int):
     at = 0
     while at < len(n):
         lo = int(start[at])
-        end = min(len(n), at + max(1, BLOCK // max(1, int(stop[at]) - lo)))
+        # As many rows as keep the table within BLOCK at the stretch of the last of them, which may be far longer than the first's.
+        end = max(at + 1, bisect.bisect_right(range(len(n) + 1), BLOCK, at + 1, key=lambda e: (e - at) * (int(stop[e - 1]) - lo)) - 1)
         hi = int(stop[end - 1])
         rows = mine[at:end]
         differ = np.bitwise_count(own[0][None, lo:hi] ^ rows[:, :1])

@@ -227,3 +227,24 @@ def test_no_near_pair_beyond_the_radius():
             h = rng.integers(0, 1 << 63, both + left + right, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, both + left + right, dtype=np.uint64)
             bits = np.bitwise_count(near_copies.set_print(h[: both + left]) ^ near_copies.set_print(np.concatenate([h[:both], h[both + left :]])))
             assert bits.sum() <= near_copies.radius() and bits[:2].sum() <= near_copies.radius() * near_copies.HALF // 64
+
+
+def test_tiles_of_uneven_stretches_are_compared_in_blocks():
+    """A row that meets few sets, before rows that meet many, does not make a table of whole tiles; the ties stay right."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    prints = rng.integers(0, 1 << 63, (8000, near_copies.WORDS), dtype=np.uint64)
+    prints[5000:5040] = prints[:40] ^ np.uint64(5)
+    n = np.array([60] * 10 + [95] * 3990 + [76] * 20 + [100] * 3980)
+    keys = np.arange(8000)
+    left, right = ((keys[s], n[s], prints[s]) for s in (slice(0, 4000), slice(4000, 8000)))
+    most = near_copies.radius()
+    tracemalloc.start()
+    got = near_copies.near_prints(left, right, 0.8, most)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(map(sorted, got)) == [[k, 5000 + k] for k in range(10, 40)]  # 60 shingles and 100 are never that similar
+    assert peak < 100 * near_copies.BLOCK
+    empty = tuple(x[:0] for x in left)
+    assert near_copies.near_prints(left, empty, 0.8, most) == near_copies.near_prints(empty, right, 0.8, most) == []
